@@ -199,6 +199,14 @@ def build_vocab(df: DataFrame, source: str) -> DataFrame:
     return df.select(F.posexplode(source).alias("pos", "key")).select("key", (F.col("pos") + 1).cast("bigint").alias("id"))
 
 
+def vocab_of(df: DataFrame, key: str, position: str) -> DataFrame:
+    """``(key, id)`` of a table's distinct keys in the order of their first appearance, ids from 1."""
+    from roundhouse.operators.ordering import global_rank
+
+    firsts = df.groupBy(F.col(key).alias("key")).agg(F.min(position).alias("_first"))
+    return global_rank(firsts, ["_first", "key"], "_rank").select("key", (F.col("_rank") + 1).alias("id"))
+
+
 def build_trait_vocab(spark: SparkSession, dims: Dims) -> DataFrame:
     """``(trait, breakpoint, id)``: traits in dimension order, breakpoints ascending."""
     ordered = local_frame(

@@ -50,27 +50,25 @@ def _by_sort(left: DataFrame, right: DataFrame, on: str, right_on: str, by: Sequ
     two = left.select(
         *by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.struct(*kept).alias("_row"), F.lit(None).alias("_right")
     )
-    # the hash tells apart left rows of one key and one time, so that such a group can be split as well
-    both = one.unionByName(two).withColumn("_tie", F.xxhash64("_row"))
-    sliced = sorted_slices(both, [*by, "_t", "_side", "_tie"])
+    sliced = sorted_slices(one.unionByName(two), [*by, "_t", "_side"])
 
-    inside = W.partitionBy("slice", *by).orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("_slice", *by).orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
     filled = sliced.withColumn("_found", F.last("_right", ignorenulls=True).over(inside)).filter("_side = 1")
 
     group = F.struct(F.lit(0).alias("_all"), *by)
-    edges = sliced.groupBy("slice").agg(
-        F.struct(F.min_by(group, "place").alias("first"), F.max_by(group, "place").alias("last")).alias("edge")
+    edges = sliced.groupBy("_slice").agg(
+        F.struct(F.min_by(group, "_place").alias("first"), F.max_by(group, "_place").alias("last")).alias("edge")
     )
-    edge_groups = edges.select("slice", F.explode(F.array_distinct(F.array("edge.first", "edge.last"))).alias("_group"))
+    edge_groups = edges.select("_slice", F.explode(F.array_distinct(F.array("edge.first", "edge.last"))).alias("_group"))
     lasts = (
         sliced.withColumn("_group", group)
-        .join(F.broadcast(edge_groups), ["slice", "_group"])
-        .groupBy("slice", "_group")
-        .agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("place"))).alias("_last"))
+        .join(F.broadcast(edge_groups), ["_slice", "_group"])
+        .groupBy("_slice", "_group")
+        .agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_place"))).alias("_last"))
     )
-    earlier = W.partitionBy("_group").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    carry = lasts.select("slice", "_group", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
-    carried = filled.withColumn("_group", group).join(F.broadcast(carry), ["slice", "_group"], "left")
+    earlier = W.partitionBy("_group").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carry = lasts.select("_slice", "_group", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    carried = filled.withColumn("_group", group).join(F.broadcast(carry), ["_slice", "_group"], "left")
     return carried.select(
         *by, *[F.col(f"_row.{c}") for c in kept], F.coalesce("_found", "_carry").alias("_hit")
     ).select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in payload])

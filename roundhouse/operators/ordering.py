@@ -1,8 +1,8 @@
 """Exact order-dependent operators that never put one group, or the whole table, into one task.
 
 A window without ``PARTITION BY`` runs in one task, and a window over a hot key puts all its rows into one task. Here the
-rows are range-sorted into slices (a range sort splits a hot key as long as the sort columns tell its rows apart), numbered
-inside their slice, and corrected by one small summary per slice, of which there are as many as partitions.
+rows are range-sorted into slices (a range sort splits a hot key, because the sort tells its rows apart), numbered inside their
+slice, and corrected by one small summary per slice, of which there are as many as partitions.
 """
 
 from __future__ import annotations
@@ -24,27 +24,28 @@ PLACE_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
 def sorted_slices(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Sort globally and add ``slice`` (partition) and ``place`` (row number inside it, from 0).
+    """Sort globally and add ``_slice`` (partition) and ``_place`` (row number inside it, from 0).
 
-    ``order`` should identify a row, otherwise equal rows end up in one slice.
+    The input row number comes last in the sort, so that rows equal in ``order`` can be split over slices too.
     """
-    numbered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = df.withColumn("_row_id", F.monotonically_increasing_id())
+    numbered = rows.orderBy(*order, "_row_id").drop("_row_id").withColumn("_id", F.monotonically_increasing_id())
     return materialise(
-        numbered.withColumn("slice", F.shiftright("_id", PLACE_BITS))
-        .withColumn("place", F.col("_id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+        numbered.withColumn("_slice", F.shiftright("_id", PLACE_BITS))
+        .withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
         .drop("_id")
     )
 
 
 def _slice_offsets(sliced: DataFrame, totals: dict[str, Column]) -> DataFrame:
     """Per slice, the sum of each total over all earlier slices. One row per partition passes through the driver."""
-    rows = sliced.groupBy("slice").agg(*[total.alias(name) for name, total in totals.items()]).collect()
+    rows = sliced.groupBy("_slice").agg(*[total.alias(name) for name, total in totals.items()]).collect()
     running = dict.fromkeys(totals, 0)
     offsets = []
-    for row in sorted(rows, key=lambda r: r["slice"]):
-        offsets.append({"slice": row["slice"], **running})
+    for row in sorted(rows, key=lambda r: r["_slice"]):
+        offsets.append({"_slice": row["_slice"], **running})
         running = {name: value + (row[name] or 0) for name, value in running.items()}
-    fields = [("slice", pa.int64())] + [(name, pa.int64()) for name in totals]
+    fields = [("_slice", pa.int64())] + [(name, pa.int64()) for name in totals]
     return local_frame(sliced.sparkSession, offsets, fields)
 
 
@@ -53,9 +54,9 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     sliced = sorted_slices(df, order)
     offsets = _slice_offsets(sliced, {"_before": F.count(F.lit(1))})
     return (
-        sliced.join(F.broadcast(offsets), "slice")
-        .withColumn(name, F.col("_before") + F.col("place"))
-        .drop("slice", "place", "_before")
+        sliced.join(F.broadcast(offsets), "_slice")
+        .withColumn(name, F.col("_before") + F.col("_place"))
+        .drop("_slice", "_place", "_before")
     )
 
 
@@ -63,11 +64,11 @@ def running_totals(df: DataFrame, order: Sequence[str], columns: Sequence[str])
     """Add ``<column>_before``: the sum of a whole-number column over all rows that sort strictly earlier."""
     sliced = sorted_slices(df, order)
     offsets = _slice_offsets(sliced, {f"_off_{c}": F.sum(c) for c in columns})
-    earlier = W.partitionBy("slice").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    out = sliced.join(F.broadcast(offsets), "slice")
+    earlier = W.partitionBy("_slice").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    out = sliced.join(F.broadcast(offsets), "_slice")
     for c in columns:
         out = out.withColumn(f"{c}_before", F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(earlier), F.lit(0)))
-    return out.drop("slice", "place", *[f"_off_{c}" for c in columns])
+    return out.drop("_slice", "_place", *[f"_off_{c}" for c in columns])
 
 
 def same_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
@@ -101,10 +102,10 @@ def rank_in_group(
 def order_violations(df: DataFrame, position: Sequence[str], value: str) -> DataFrame:
     """One row with ``violations``: how often ``value`` falls from one position to the next (0 = sorted)."""
     sliced = sorted_slices(df.select(*position, value), position)
-    inside = W.partitionBy("slice").orderBy("place")
+    inside = W.partitionBy("_slice").orderBy("_place")
     falls = sliced.select((F.lag(value).over(inside) > F.col(value)).cast("bigint").alias("fall"))
-    edges = sliced.groupBy("slice").agg(F.min_by(value, "place").alias("first"), F.max_by(value, "place").alias("last")).collect()
-    edges.sort(key=lambda r: r["slice"])
+    edges = sliced.groupBy("_slice").agg(F.min_by(value, "_place").alias("first"), F.max_by(value, "_place").alias("last")).collect()
+    edges.sort(key=lambda r: r["_slice"])
     between = sum(
         before["last"] is not None and after["first"] is not None and before["last"] > after["first"]
         for before, after in zip(edges, edges[1:])
