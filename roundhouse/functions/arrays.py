@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,15 +21,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def literal_array(values: Sequence, element: str) -> Column:
-    """A constant array; nested sequences become nested arrays."""
-    parts = [literal_array(v, element.removeprefix("array<").removesuffix(">")) if isinstance(v, (list, tuple)) else F.lit(v) for v in values]
-    return F.array(*parts).cast(f"array<{element}>")
+    """A constant array, nested if the values are. Given as text that the optimiser parses once, while planning."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{element}>")
 
 
-def literal_map(pairs: dict, key: str, value: str) -> Column:
-    """A constant map."""
-    flat = [F.lit(part) for pair in pairs.items() for part in pair]
-    return F.create_map(*flat).cast(f"map<{key},{value}>")
+def literal_map(pairs: Mapping, key: str, value: str) -> Column:
+    """A constant map, given like :func:`literal_array`."""
+    return F.from_json(F.lit(json.dumps(dict(pairs))), f"map<{key},{value}>")
 
 
 def tally(values: Column) -> Column:
@@ -36,7 +35,7 @@ def tally(values: Column) -> Column:
     return let(
         values,
         lambda all_: F.transform(
-            F.array_sort(F.array_distinct(all_)),
+            F.sort_array(F.array_distinct(all_)),
             lambda v: F.struct(v.alias("idx"), F.size(F.filter(all_, lambda x: x == v)).alias("n")),
         ),
     )

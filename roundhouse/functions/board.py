@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roundhouse.dims import Dims
 from roundhouse.functions.arrays import dense, let, literal_array, literal_map, pad, tally
-from roundhouse.functions.cells import board_cell, cell_col, cell_row
+from roundhouse.functions.cells import bare, board_cell, cell_code, code_col, code_row
 from roundhouse.functions.scalars import item_at, tier_multiplier
 from roundhouse.schema import CELLS, CHANNELS, MAX_ITEMS, MAX_TRAITS, MAX_UNITS, TIERS
 
@@ -112,7 +112,7 @@ class BoardEncoder:
             self.trait_counts(board, distinct_units=distinct_units, emblems=emblems),
             lambda c: F.get(F.get(self._trait_ids, c["idx"]), self._level(c) - 1),
         )
-        return pad(F.array_sort(F.array_compact(ids)), self.max_traits)
+        return pad(F.sort_array(F.array_compact(ids)), self.max_traits)
 
     # -- both sides --------------------------------------------------------------------------------------------------
 
@@ -138,27 +138,37 @@ class BoardEncoder:
         ``array<struct<cell, row, col, unit_id, tier, item1, item2, item3, is_player>>``.
         """
 
-        def records(board: Column, is_player: bool) -> Column:
-            def record(u: Column) -> Column:
-                row, col = cell_row(u["loc"]), cell_col(u["loc"])
-                items = [
-                    F.coalesce(F.try_element_at(self._item_id, item_at(u["item_ids"], slot)), F.lit(0)).alias(f"item{slot + 1}")
-                    for slot in range(MAX_ITEMS)
-                ]
-                return F.struct(
-                    board_cell(row, col, F.lit(is_player)).alias("cell"),
-                    row.alias("row"),
-                    col.alias("col"),
+        def known(board: Column, is_player: bool) -> Column:
+            """Placed, known units as (u, code, unit_id, is_player); the dropped ones are not encoded any further."""
+            found = F.transform(
+                F.coalesce(board, F.array().cast(board_type())),
+                lambda u: F.struct(
+                    u.alias("u"),
+                    let(bare(u["loc"]), cell_code).alias("code"),
                     F.try_element_at(self._unit_id, u["unit"]).alias("unit_id"),
-                    F.coalesce(u["tier"], F.lit(0)).cast("int").alias("tier"),
-                    *items,
-                    F.lit(int(is_player)).alias("is_player"),
-                )
-
-            listed = F.coalesce(board, F.array().cast(board_type()))
-            return F.filter(F.transform(listed, record), lambda r: (r["row"] >= 0) & r["unit_id"].isNotNull())
+                    F.lit(is_player).alias("is_player"),
+                ),
+            )
+            return F.filter(found, lambda r: (r["code"] >= 0) & r["unit_id"].isNotNull())
+
+        def record(r: Column) -> Column:
+            row, col = code_row(r["code"]), code_col(r["code"])
+            items = [
+                F.coalesce(F.try_element_at(self._item_id, item_at(r["u"]["item_ids"], slot)), F.lit(0)).alias(f"item{slot + 1}")
+                for slot in range(MAX_ITEMS)
+            ]
+            return F.struct(
+                board_cell(row, col, r["is_player"]).alias("cell"),
+                row.alias("row"),
+                col.alias("col"),
+                r["unit_id"].alias("unit_id"),
+                F.coalesce(r["u"]["tier"], F.lit(0)).cast("int").alias("tier"),
+                *items,
+                r["is_player"].cast("int").alias("is_player"),
+            )
 
-        return F.slice(F.concat(records(player, True), records(opponent, False)), 1, self.max_units)
+        kept = F.slice(F.concat(known(player, True), known(opponent, False)), 1, self.max_units)
+        return F.transform(kept, record)
 
     def occupied_cells(self, player: Column, opponent: Column) -> Column:
         """:meth:`unit_records` with one entry per cell, ordered by cell; the later list element wins."""
@@ -182,14 +192,15 @@ def last_on_cell(records: Column) -> Column:
         records,
         lambda r, place: ~F.exists(F.slice(records, place + 2, F.size(records)), lambda later: later["cell"] == r["cell"]),
     )
-    return F.array_sort(F.transform(last, lambda r: F.struct(r["cell"].alias("cell"), *[r[c].alias(c) for c in CHANNELS])))
+    return F.sort_array(F.transform(last, lambda r: F.struct(r["cell"].alias("cell"), *[r[c].alias(c) for c in CHANNELS])))
 
 
 def tensor_of(records: Column) -> Column:
     """Flat board tensor of an array of records in list order with ``cell`` and the channel fields."""
 
     def channel(cells: Column, name: str) -> Column:
-        return dense(F.transform(cells, lambda r: F.struct(r["cell"].alias("idx"), r[name].alias("n"))), CELLS)
+        filled = F.filter(cells, lambda r: r[name] != 0)
+        return dense(F.transform(filled, lambda r: F.struct(r["cell"].alias("idx"), r[name].alias("n"))), CELLS)
 
     def channels(cells: Column) -> Column:
         return F.concat(*[channel(cells, name) for name in CHANNELS])

@@ -13,25 +13,49 @@ TOLERANT = r"^\s*([A-Da-d])\s*\+?0*([1-7])\s*$"
 STRICT = r"^[A-D][1-7]$"
 
 
-def _bare(loc: Column) -> Column:
+def bare(loc: Column) -> Column:
+    """Cell text without ``_``."""
     return F.replace(loc.cast("string"), F.lit("_"), F.lit(""))
 
 
+def cell_code(text: Column) -> Column:
+    """``row * 7 + col`` of a tolerant cell text given without ``_``, -1 when it is not a cell.
+
+    Two plain characters, the usual case, are looked up; only other spellings go through the pattern.
+    """
+
+    def code(letter: Column, digit: Column) -> Column:
+        row, col = F.instr(F.lit("ABCD"), F.upper(letter)), F.instr(F.lit("1234567"), digit)
+        return F.when((row > 0) & (col > 0) & (letter != ""), row * COLS + col - (COLS + 1)).otherwise(-1)
+
+    simple = code(F.substring(text, 1, 1), F.substring(text, 2, 1))
+    spelled = code(F.regexp_extract(text, TOLERANT, 1), F.regexp_extract(text, TOLERANT, 2))
+    return F.when(F.length(text) == 2, simple).when(text.isNull(), -1).otherwise(spelled)
+
+
+def code_row(code: Column) -> Column:
+    """Row of a cell code, -1 for none."""
+    return F.when(code >= 0, ((code - code % COLS) / COLS).cast("int")).otherwise(-1)
+
+
+def code_col(code: Column) -> Column:
+    """Column of a cell code, -1 for none."""
+    return F.when(code >= 0, code % COLS).otherwise(-1)
+
+
 def cell_row(loc: Column) -> Column:
     """Row 0-3 of a tolerant cell text, -1 when it is not a cell."""
-    letter = F.regexp_extract(_bare(loc), TOLERANT, 1)
-    return F.when(letter != "", F.ascii(F.upper(letter)) - F.lit(ord("A"))).otherwise(-1)
+    return code_row(cell_code(bare(loc)))
 
 
 def cell_col(loc: Column) -> Column:
     """Column 0-6 of a tolerant cell text, -1 when it is not a cell."""
-    digit = F.regexp_extract(_bare(loc), TOLERANT, 2)
-    return F.when(digit != "", F.ascii(digit) - F.lit(ord("1"))).otherwise(-1)
+    return code_col(cell_code(bare(loc)))
 
 
 def is_strict_cell(loc: Column) -> Column:
     """True for ``A1`` .. ``D7`` (with or without ``_``), upper case only; null counts as not a cell."""
-    return F.coalesce(_bare(loc).rlike(STRICT), F.lit(False))
+    return F.coalesce(bare(loc).rlike(STRICT), F.lit(False))
 
 
 def format_cell(row: Column, col: Column) -> Column:

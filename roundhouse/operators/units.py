@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from roundhouse.dims import Dims
 from roundhouse.functions.arrays import literal_map
-from roundhouse.functions.cells import board_cell, cell_col, cell_row
+from roundhouse.functions.cells import bare, board_cell, cell_code, code_col, code_row
 from roundhouse.functions.scalars import item_at, tier_multiplier
 from roundhouse.schema import CHANNELS, MAX_ITEMS, MAX_UNITS, TEAMS, TIERS
 
@@ -46,6 +46,11 @@ def team_cost(units: DataFrame, key: Sequence[str]) -> DataFrame:
     return units.groupBy(*key, "team").agg(F.sum(unit_cost()).alias("total_cost"))
 
 
+def both_sides() -> Column:
+    """Aggregate over the unit rows of a round: neither board is empty."""
+    return F.bool_or(F.col("team") == TEAMS[0]) & F.bool_or(F.col("team") == TEAMS[1])
+
+
 def unit_tier_names(dims: Dims) -> list[str]:
     """``team_unit_tier`` in canonical order."""
     return [f"{team}_{unit}_{tier}" for team in TEAMS for unit in dims.units for tier in TIERS]
@@ -62,7 +67,9 @@ def unit_tier_pivot(units: DataFrame, key: Sequence[str], dims: Dims) -> DataFra
 def place_units(units: DataFrame, dims: Dims) -> DataFrame:
     """Unit rows with a valid cell and a known unit, plus ``row, col, unit_id``; the rest is dropped."""
     vocab = dims.unit_frame(units.sparkSession).select("unit", "unit_id")
-    placed = units.withColumn("row", cell_row(F.col("loc"))).withColumn("col", cell_col(F.col("loc"))).filter("row >= 0")
+    code = F.col("_code")
+    placed = units.withColumn("_code", cell_code(bare(F.col("loc")))).filter(code >= 0)
+    placed = placed.withColumn("row", code_row(code)).withColumn("col", code_col(code)).drop("_code")
     return placed.join(F.broadcast(vocab), "unit")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from roundhouse.dims import local_frame
 from roundhouse.functions.arrays import let
+from roundhouse.operators.assemble import quoted
 from roundhouse.operators.augment import augment_sides, with_recency_weight
 from roundhouse.operators.metrics import best_trial, brier, class_report, log_loss, roc_auc
 from roundhouse.operators.split import chrono_split
@@ -45,7 +46,8 @@ def short_names(names: Sequence[str]) -> list[str]:
 def assembled(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Feature columns renamed by position, other columns kept."""
     others = [c for c in df.columns if c not in set(names)]
-    return df.select(*others, *[F.col(f"`{name}`").alias(short) for name, short in zip(names, short_names(names))])
+    renamed = [f"{quoted(name)} AS {short}" for name, short in zip(names, short_names(names))]
+    return df.selectExpr(*map(quoted, others), *renamed)
 
 
 def probability(model_output: DataFrame) -> Column:

@@ -60,6 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that comes in fewer splits, as a file with one row group does; else leave it alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _text(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("string")
 
@@ -84,7 +90,7 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unit row per lineitem. ``pos`` is a struct that sorts like the list order, so no window is needed to make it."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread_out(table(spark, sf_dir, "lineitem"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     i_part, i_supp = (F.concat(F.lit("I"), _text(F.col(c) % 12)) for c in ("l_partkey", "l_suppkey"))
     return line.join(part, line.l_partkey == part.p_partkey).select(
@@ -104,7 +110,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds with both boards as arrays, every board computed inside its row."""
-    base = rounds(spark, sf_dir).withColumn("cust", F.substring("match_uuid", 2, 30).cast("bigint"))
+    base = spread_out(rounds(spark, sf_dir)).withColumn("cust", F.substring("match_uuid", 2, 30).cast("bigint"))
     k, c = F.col("round_key"), F.col("cust")
     sizes = {
         "player": F.when(k % 50 == 0, 0).when(k % 97 == 0, 30).otherwise(1 + k % 10),
@@ -116,10 +122,12 @@ def nested_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.slice(F.sequence(F.lit(0), F.lit(29)), F.lit(1), sizes[team].cast("int")), _unit_maker(k, c, side)
         )
         boards[team] = F.when(k % 61 == 0, F.lit(None)).otherwise(board) if side else board
+    made = F.struct(*[board.alias(f"{team}_board") for team, board in boards.items()])
+    # exploding a single element computes the boards once per row, where a projection would be inlined into every use
     return base.select(
         "round_key",
         *["match_uuid", "player_uuid", "round_name", "round_type", "round_outcome", "timestamp"],
-        F.struct(*[board.alias(f"{team}_board") for team, board in boards.items()]).alias("board_data"),
+        F.explode(F.array(made)).alias("board_data"),
     )
 
 

@@ -51,8 +51,8 @@ def usable_rounds(spark, d):
 
 @query("usable_rounds_flat", f"{FLAT}{USABLE} SELECT round_key, match_uuid, round_name, ts FROM usable")
 def usable_rounds_flat(spark, d):
-    # one row per round and side leaves the map side, then one per round is joined
-    sides = adapter.units(spark, d).groupBy("round_key").agg(F.count_distinct("team").alias("sides")).filter("sides = 2")
+    # one row per round leaves the map side, and only those rows are joined
+    sides = adapter.units(spark, d).groupBy("round_key").agg(units.both_sides().alias("both")).filter("both")
     wanted = adapter.rounds(spark, d).filter(rounds.countable_round())
     return wanted.join(sides, KEY, "left_semi").select("round_key", "match_uuid", "round_name", F.col("timestamp").alias("ts"))
 

@@ -37,7 +37,7 @@ def wide_ctes(usable: str) -> str:
 
 
 def wide_as_bigint(df):
-    return df.select("round_key", *[F.col(f"`{c}`").cast("bigint").alias(c) for c in WIDE])
+    return df.selectExpr("round_key", *[f"cast(`{c}` AS bigint) AS `{c}`" for c in WIDE])
 
 
 @query("wide_features", f"{FLAT}{ENRICHED}{USABLE}{COPIES}{REACHED.format(counts='copies')}{wide_ctes('usable')} SELECT * FROM wide")
