@@ -126,10 +126,12 @@ def select_ranks(df: DataFrame, column: str, ranks: Sequence[int]) -> list[tuple
         for number, s in enumerate(state):
             s["width"] = max(1, -(-(s["high"] - s["low"] + 1) // BINS))
             if s["low"] < s["high"]:
-                offset = F.col(column) - F.lit(s["low"])
                 inside = F.col(column).between(s["low"], s["high"])
-                bin_ = F.when(inside, F.floor((offset - offset % s["width"]) / s["width"]))
-                binned.append(F.struct(F.lit(number).alias("number"), bin_.cast("bigint").alias("bin")))
+                # an interval over most of the 64-bit range, as hashes have, needs wider arithmetic for its first pass
+                kind = "bigint" if s["high"] - s["low"] < 1 << 62 else "decimal(20,0)"
+                offset = F.when(inside, F.col(column).cast(kind) - F.lit(s["low"]).cast(kind))
+                bin_ = F.call_function("div", offset, F.lit(s["width"]).cast(kind))
+                binned.append(F.struct(F.lit(number).alias("number"), bin_.alias("bin")))
         span = (min(s["low"] for s in state), max(s["high"] for s in state))
         counts = (
             df.filter(F.col(column).between(*span))

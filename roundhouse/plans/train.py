@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -82,12 +83,13 @@ def train_tabular(
 ) -> Trained:
     """Gradient-boosted trees on the wide columns: oldest rounds train, newest test."""
     split = chrono_split(with_tie(features, key), "timestamp", "_tie", (1.0 - test_size,)).drop("_tie")
-    rows = assembled(split, names).withColumn(LABEL, F.col(LABEL).cast("double"))
+    rows = assembled(split, names).withColumn(LABEL, F.col(LABEL).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     boosted = GBTClassifier(labelCol=LABEL, featuresCol="features", seed=0, **{"maxIter": 20, "maxDepth": 5, **(params or {})})
     stages = [VectorAssembler(inputCols=short_names(names), outputCol="features"), boosted]
     model = Pipeline(stages=stages).fit(rows.filter("split = 'train'"))
     scored = model.transform(rows.filter("split = 'test'"))
     metrics, report = evaluate(scored.select(LABEL, probability(scored).alias("score")))
+    rows.unpersist()
     return Trained(model, metrics, report, list(names))
 
 
@@ -154,12 +156,13 @@ def train_board(
         F.col(LABEL).cast("double").alias(LABEL),
         *kept,
         board_tokens(F.col("tensor"), F.col("traits"), trait_ids=trait_ids).alias("words"),
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     hashing = HashingTF(inputCol="words", outputCol="features", numFeatures=width, binary=True)
     options = {"maxIter": 30, "regParam": 0.01, **(params or {})}
     model = Pipeline(stages=[hashing, LogisticRegression(labelCol=LABEL, **weights, **options)]).fit(words.filter("split = 'train'"))
     scored = model.transform(words.filter(F.col("split") == measured))
     metrics, report = evaluate(scored.select(LABEL, probability(scored).alias("score")))
+    words.unpersist()
     return Trained(model, metrics, report, ["words"])
 
 
@@ -226,6 +229,7 @@ def search_board(
 ) -> tuple[DataFrame, DataFrame]:
     """Search the board model's parameters; each trial is measured by its log-loss on the validation split."""
     rows = chrono_split(with_tie(features, key), "timestamp", "_tie").drop("_tie").filter("split <> 'test'")
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def loss(params: dict) -> float:
         options = dict(params)
@@ -235,4 +239,6 @@ def search_board(
         )
         return trained.metrics.filter("metric = 'log_loss'").first()["value"]
 
-    return search(features.sparkSession, space, n_trials, seed, loss, parallelism=parallelism)
+    found = search(features.sparkSession, space, n_trials, seed, loss, parallelism=parallelism)
+    rows.unpersist()
+    return found

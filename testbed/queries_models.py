@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from roundhouse import dims as dimensions
 from roundhouse.functions import scalars
 from roundhouse.operators import catalog, metrics, ordering
-from roundhouse.plans import score, train
+from roundhouse.plans import extract, score, train
+from roundhouse.session import materialise
 from testbed import adapter
 from testbed.adapter import dims
 from testbed.queries_rounds import requests, usable_nested
-from testbed.queries_vectors import nested_tensor
 from testbed.registry import query
 
 # -- metrics over events: a class, a guess and a score per event --------------------------------------------------------
@@ -274,15 +274,17 @@ def item_order(spark, d):
 # -- models: rows depend on the fitted parameters, so they have no SQL ---------------------------------------------------
 
 
-def wide_training(spark, d):
-    from testbed.queries_vectors import nested_wide_features
+# training reads a written feature table, as it does in the jobs
+
 
-    labels = usable_nested(spark, d).select("round_key", "timestamp", F.col("outcome").cast("int").alias("outcome"))
-    return nested_wide_features(spark, d).join(labels, "round_key").withColumnRenamed("round_key", "round_idx")
+def wide_training(spark, d):
+    prepared = usable_nested(spark, d).withColumn("round_idx", F.col("round_key").cast("string"))
+    return materialise(extract.wide_rows(prepared, dims()))
 
 
 def board_training(spark, d):
-    return nested_tensor(spark, d).withColumnRenamed("round_key", "round_idx")
+    prepared = usable_nested(spark, d).withColumn("round_idx", F.col("round_key").cast("string"))
+    return materialise(extract.trait_id_rows(prepared, dims()))
 
 
 def tabular(spark, d) -> train.Trained:
