@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from roundhouse.functions.arrays import literal_array
 from roundhouse.schema import COLS, ROWS
 
 # The accepted spellings of a cell once every "_" is removed. The tolerant one takes what an integer
 # parser takes for the column (blanks, a plus sign, leading zeros); the strict one is a clean snapshot cell.
 TOLERANT = r"^\s*([A-Da-d])\s*\+?0*([1-7])\s*$"
 STRICT = r"^[A-D][1-7]$"
+CELL_NAMES = [f"{chr(ord('A') + row)}{col + 1}" for row in range(ROWS) for col in range(COLS)]
 
 
 def bare(loc: Column) -> Column:
@@ -23,14 +25,8 @@ def cell_code(text: Column) -> Column:
 
     Two plain characters, the usual case, are looked up; only other spellings go through the pattern.
     """
-
-    def code(letter: Column, digit: Column) -> Column:
-        row, col = F.instr(F.lit("ABCD"), F.upper(letter)), F.instr(F.lit("1234567"), digit)
-        return F.when((row > 0) & (col > 0) & (letter != ""), row * COLS + col - (COLS + 1)).otherwise(-1)
-
-    simple = code(F.substring(text, 1, 1), F.substring(text, 2, 1))
-    spelled = code(F.regexp_extract(text, TOLERANT, 1), F.regexp_extract(text, TOLERANT, 2))
-    return F.when(F.length(text) == 2, simple).when(text.isNull(), -1).otherwise(spelled)
+    plain = F.when(F.length(text) == 2, text).otherwise(F.regexp_replace(text, TOLERANT, "$1$2"))
+    return F.coalesce(F.array_position(literal_array(CELL_NAMES, "string"), F.upper(plain)), F.lit(0)).cast("int") - 1
 
 
 def code_row(code: Column) -> Column:

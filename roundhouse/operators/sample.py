@@ -15,6 +15,9 @@ from roundhouse.functions.scalars import clamp_tier, compact_then_take, stage_of
 from roundhouse.operators.ordering import seeded_shuffle
 from roundhouse.operators.rounds import sample_eligible, sample_valid
 
+MAP_SIDE_LIMIT = 999  # spark.sql.optimizer.windowGroupLimitThreshold is 1000
+PREFIX = 3
+
 
 def first_per_match(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Earliest row of each ``by`` group in shuffle order: a minimum, so it combines on the map side."""
@@ -24,8 +27,18 @@ def first_per_match(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
 
 
 def top_per_stage(rows: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` rows per stage in shuffle order."""
+    """First ``limit`` rows per stage in shuffle order.
+
+    Up to ``MAP_SIDE_LIMIT`` Spark cuts each stage in the map tasks. Beyond it, rows whose shuffle key lies behind the prefix
+    that fills the stage are dropped first: a count per stage and prefix decides, at most ``16 ** PREFIX`` rows per stage.
+    """
     order = W.partitionBy("stage").orderBy("shuffle_key")
+    if limit > MAP_SIDE_LIMIT:
+        prefixed = rows.withColumn("_prefix", F.substring("shuffle_key", 1, PREFIX))
+        earlier = W.partitionBy("stage").orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
+        counts = prefixed.groupBy("stage", "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
+        open_ = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).filter(F.col("_before") < limit)
+        rows = prefixed.join(F.broadcast(open_.select("stage", "_prefix")), ["stage", "_prefix"]).drop("_prefix")
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
 
 

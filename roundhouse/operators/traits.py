@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from roundhouse.dims import Dims
 from roundhouse.functions.arrays import dense, literal_map, pad
 from roundhouse.functions.scalars import trait_class
+from roundhouse.operators.units import enrich_units
 from roundhouse.schema import MAX_TRAITS, TEAMS
 
 
-def innate_counts(units: DataFrame, key: Sequence[str], *, distinct_units: bool) -> DataFrame:
-    """``key, team, trait, n`` from enriched unit rows; ``distinct_units`` counts each unit of a board once."""
-    if distinct_units:
-        # traits follow from the unit, so the first copy stands for all of them
-        units = units.groupBy(*key, "team", "unit").agg(F.first("traits").alias("traits"))
-    return units.select(*key, "team", F.explode("traits").alias("trait")).groupBy(*key, "team", "trait").agg(F.count(F.lit(1)).alias("n"))
+def innate_counts(units: DataFrame, key: Sequence[str], dims: Dims, *, distinct_units: bool) -> DataFrame:
+    """``key, team, trait, n`` from unit rows; ``distinct_units`` counts each unit of a board once.
+
+    Copies are dropped before the traits are attached, so only names are shuffled.
+    """
+    rows = units.select(*key, "team", "unit")
+    rows = enrich_units(rows.distinct() if distinct_units else rows, dims)
+    return rows.select(*key, "team", F.explode("traits").alias("trait")).groupBy(*key, "team", "trait").agg(F.count(F.lit(1)).alias("n"))
 
 
 def emblem_counts(units: DataFrame, key: Sequence[str], dims: Dims) -> DataFrame:
@@ -30,7 +33,7 @@ def emblem_counts(units: DataFrame, key: Sequence[str], dims: Dims) -> DataFrame
 
 def trait_counts(units: DataFrame, key: Sequence[str], dims: Dims, *, distinct_units: bool, emblems: bool) -> DataFrame:
     """Innate counts, plus emblem counts when asked, summed per trait."""
-    counts = innate_counts(units, key, distinct_units=distinct_units)
+    counts = innate_counts(units, key, dims, distinct_units=distinct_units)
     if not emblems:
         return counts
     return (

@@ -241,7 +241,7 @@ def unit_tier_pivot(spark, d):
 
 @query("trait_count_copies", f"{FLAT}{ENRICHED}{COPIES} SELECT * FROM copies")
 def trait_count_copies(spark, d):
-    return traits.innate_counts(enriched(spark, d), KEY, distinct_units=False)
+    return traits.innate_counts(adapter.units(spark, d), KEY, dims(), distinct_units=False)
 
 
 @query(
@@ -250,7 +250,7 @@ def trait_count_copies(spark, d):
     (SELECT round_key, team, unnest(traits) AS trait FROM (SELECT DISTINCT round_key, team, unit, traits FROM enriched)) GROUP BY ALL""",
 )
 def trait_count_distinct(spark, d):
-    return traits.innate_counts(enriched(spark, d), KEY, distinct_units=True)
+    return traits.innate_counts(adapter.units(spark, d), KEY, dims(), distinct_units=True)
 
 
 @query(
@@ -263,7 +263,7 @@ def emblem_bonus(spark, d):
 
 
 def totals(spark, d):
-    return traits.trait_counts(enriched(spark, d), KEY, dims(), distinct_units=True, emblems=True)
+    return traits.trait_counts(adapter.units(spark, d), KEY, dims(), distinct_units=True, emblems=True)
 
 
 @query("trait_count_total", f"{FLAT}{ENRICHED}{TOTALS} SELECT round_key, team, trait, cast(n AS bigint) AS n FROM totals")

@@ -140,6 +140,16 @@ def test_exact_sample_equals_the_walk(spark, seed):
     assert len({r.match for r in relaxed}) == len(relaxed)
 
 
+@pytest.mark.parametrize("limit", [7, 1500])
+def test_top_per_stage(spark, monkeypatch, limit):
+    monkeypatch.setattr(sample, "PREFIX", 1)
+    rows = [(n, str(n % 5 // 3)) for n in range(4000)]
+    shuffled = ordering.seeded_shuffle(table(spark, rows, "id bigint, stage string"), "id", 1)
+    got = sorted(r.id for r in sample.top_per_stage(shuffled, limit).collect())
+    ordered = sorted(shuffled.collect(), key=lambda r: r.shuffle_key)
+    assert got == sorted(r.id for stage in "01" for r in [r for r in ordered if r.stage == stage][:limit])
+
+
 def test_augmentation(spark):
     rows = [(n, 1, list(range(280)), [1, 2, 3, 4, 5, 6]) for n in range(60)]
     df = table(spark, rows, "k int, outcome int, tensor array<int>, traits array<int>")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import unit
 from roundhouse import BoardEncoder
-from roundhouse.operators import traits, units
+from roundhouse.operators import traits
 
 KEY = ["round_key"]
 UNITS = "round_key string, team string, pos int, unit string, tier bigint, item_ids array<string>, loc string"
@@ -32,7 +32,7 @@ def boards(spark):
 
 
 def test_ids_from_unit_rows(spark, dims):
-    rows = units.enrich_units(boards(spark), dims)
+    rows = boards(spark)
     counts = traits.trait_counts(rows, KEY, dims, distinct_units=True, emblems=True)
     vectors = traits.trait_id_vector(traits.active_traits(counts, dims), rows.select(*KEY).distinct(), KEY, dims)
     got = {r.round_key: r.trait_ids for r in vectors.collect()}
@@ -76,7 +76,7 @@ def test_more_than_fifteen_ids_are_cut(spark):
 def test_partitioning_does_not_matter(spark, dims):
     found = []
     for partitions in (1, 4, 17):
-        rows = units.enrich_units(boards(spark).repartition(partitions), dims)
+        rows = boards(spark).repartition(partitions)
         counts = traits.trait_counts(rows, KEY, dims, distinct_units=True, emblems=True)
         found.append({(r.round_key, r.team, r.trait): r.n for r in counts.collect()})
     assert found[0] == found[1] == found[2]
