@@ -81,7 +81,7 @@ class BoardEncoder:
         positions = self._positions(board)
         if distinct_units:
             positions = F.array_distinct(positions)
-        carried = F.flatten(F.transform(positions, lambda p: F.get(self._unit_traits, p)))
+        carried = self.carried_traits(positions)
         if emblems:
             items = F.flatten(F.transform(board, lambda u: F.coalesce(u["item_ids"], F.array().cast("array<string>"))))
             carried = F.concat(
@@ -92,35 +92,42 @@ class BoardEncoder:
     def _level(self, count: Column) -> Column:
         return F.size(F.filter(F.get(self._breakpoints, count["idx"]), lambda b: b <= count["n"]))
 
-    def trait_onehot(self, board: Column, *, distinct_units: bool = False, emblems: bool = False) -> Column:
-        """One flag per (trait, level): only the reached level is 1, in canonical order."""
-        return dense(self.trait_level_entries(board, distinct_units=distinct_units, emblems=emblems), self.trait_slots)
-
-    def trait_level_entries(self, board: Column, *, distinct_units: bool, emblems: bool) -> Column:
-        """Sparse entries of :meth:`trait_onehot`."""
+    def level_entries(self, counts: Column) -> Column:
+        """Trait counts ordered by trait -> sparse flags of the level each trait reaches, in canonical order."""
         reached = F.transform(
-            self.trait_counts(board, distinct_units=distinct_units, emblems=emblems),
+            counts,
             lambda c: F.struct((F.get(self._trait_offset, c["idx"]) + self._level(c) - 1).alias("idx"), self._level(c).alias("n")),
         )
         return F.transform(
-            F.filter(reached, lambda e: e["n"] > 0), lambda e: F.struct(e["idx"].alias("idx"), F.lit(1).alias("n"))
+            F.filter(reached, lambda e: e["n"] > 0), lambda e: F.struct(e["idx"].alias("idx"), F.lit(1).cast("bigint").alias("n"))
         )
 
-    def trait_ids(self, board: Column, *, distinct_units: bool = True, emblems: bool = True) -> Column:
-        """Vocabulary ids of the highest reached breakpoints, ascending, cut and 0-padded to ``max_traits``."""
-        ids = F.transform(
-            self.trait_counts(board, distinct_units=distinct_units, emblems=emblems),
-            lambda c: F.get(F.get(self._trait_ids, c["idx"]), self._level(c) - 1),
-        )
+    def ids_of(self, counts: Column) -> Column:
+        """Trait counts -> ids of the highest breakpoints reached, ascending, cut and 0-padded to ``max_traits``."""
+        ids = F.transform(counts, lambda c: F.get(F.get(self._trait_ids, c["idx"]), self._level(c) - 1))
         return pad(F.sort_array(F.array_compact(ids)), self.max_traits)
 
+    def carried_traits(self, positions: Column) -> Column:
+        """Trait positions of units given by dimension position, one entry per unit and trait."""
+        return F.flatten(F.transform(positions, lambda p: F.get(self._unit_traits, p)))
+
+    def trait_onehot(self, board: Column, *, distinct_units: bool = False, emblems: bool = False) -> Column:
+        """One flag per (trait, level): only the reached level is 1, in canonical order."""
+        counts = self.trait_counts(board, distinct_units=distinct_units, emblems=emblems)
+        return dense(self.level_entries(counts), self.trait_slots)
+
+    def trait_ids(self, board: Column, *, distinct_units: bool = True, emblems: bool = True) -> Column:
+        """Vocabulary ids of the traits a side has active: distinct units and emblems by default."""
+        return self.ids_of(self.trait_counts(board, distinct_units=distinct_units, emblems=emblems))
+
     # -- both sides --------------------------------------------------------------------------------------------------
 
     def wide_vector(self, player: Column, opponent: Column, kind: str = "int") -> Column:
         """The wide layout as one array in the order of :attr:`wide_names`."""
         sides = (player, opponent)
         units = [dense(self.unit_tier_entries(side), self.unit_slots, kind) for side in sides]
-        traits = [dense(self.trait_level_entries(side, distinct_units=False, emblems=False), self.trait_slots, kind) for side in sides]
+        counts = [self.trait_counts(side, distinct_units=False, emblems=False) for side in sides]
+        traits = [dense(self.level_entries(count), self.trait_slots, kind) for count in counts]
         costs = F.array(*[self.total_cost(side).cast(kind) for side in sides])
         return F.concat(*units, *traits, costs)
 

@@ -24,7 +24,7 @@ def catalog_units(dims_units: DataFrame, metadata: DataFrame, *, hidden: Sequenc
     )
     shown = dims_units.filter(~F.col("unit").isin(*hidden)) if hidden else dims_units
     known = F.coalesce("_known", F.lit(False))
-    return shown.join(F.broadcast(meta), "unit", "left").select(
+    return shown.join(meta, "unit", "left").select(
         "unit",
         F.coalesce(F.nullif("_name", F.lit("")), "unit").alias("name"),
         F.when(known, F.col("_cost")).otherwise(F.col("cost")).alias("cost"),
@@ -43,7 +43,7 @@ def catalog_items(items: DataFrame, emblems: DataFrame, metadata: DataFrame, *,
     """``item, name, category, is_emblem, emblem_trait, has_icon``; ``metadata`` has ``item, name, tags, icon``."""
     meta = metadata.select("item", F.col("name").alias("_name"), F.col("tags").alias("_tags"), F.col("icon").alias("_icon"))
     shown = items.filter(~F.col("item").isin(*hidden)) if hidden else items
-    joined = shown.join(F.broadcast(meta), "item", "left").join(F.broadcast(emblems.withColumnRenamed("trait", "emblem_trait")), "item", "left")
+    joined = shown.join(meta, "item", "left").join(emblems.withColumnRenamed("trait", "emblem_trait"), "item", "left")
     is_emblem = F.col("emblem_trait").isNotNull()
     return joined.select(
         "item",
@@ -63,7 +63,7 @@ def item_order() -> list:
 def catalog_traits(traits: DataFrame, metadata: DataFrame) -> DataFrame:
     """``trait, breakpoints, unique, icon_name, has_icon``; ``metadata`` has ``trait, icon``."""
     meta = metadata.select("trait", F.col("icon").alias("_icon"))
-    return traits.join(F.broadcast(meta), "trait", "left").select(
+    return traits.join(meta, "trait", "left").select(
         "trait",
         F.sort_array("breakpoints").alias("breakpoints"),
         (F.size("breakpoints") == 1).alias("unique"),

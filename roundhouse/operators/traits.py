@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundhouse.dims import Dims
-from roundhouse.functions.arrays import dense, literal_map, pad
+from roundhouse.functions.arrays import pad
 from roundhouse.functions.scalars import trait_class
 from roundhouse.operators.units import enrich_units
 from roundhouse.schema import MAX_TRAITS, TEAMS
@@ -66,21 +66,6 @@ def trait_onehot_pivot(active: DataFrame, rounds: DataFrame, key: Sequence[str],
     return rounds.select(*key).join(wide, list(key), "left").fillna(0, names)
 
 
-def trait_onehot_vector(active: DataFrame, rounds: DataFrame, key: Sequence[str], dims: Dims, name: str = "onehot") -> DataFrame:
-    """The same flags as one array per round, canonical order."""
-    slots = trait_slot_names(dims)
-    place = {slot: number for number, slot in enumerate(slots)}
-    feature = F.concat("team", F.lit("_"), "trait", F.lit("_"), F.col("level").cast("string"))
-    entry = F.struct(F.try_element_at(literal_map(place, "string", "int"), feature).alias("idx"), F.lit(1).alias("n"))
-    vectors = active.groupBy(*key).agg(F.sort_array(F.collect_set(entry)).alias("entries"))
-    empty = F.array().cast("array<struct<idx:int,n:int>>")
-    return (
-        rounds.select(*key)
-        .join(vectors, list(key), "left")
-        .select(*key, dense(F.coalesce("entries", empty), len(slots)).alias(name))
-    )
-
-
 def trait_id_vector(
     active: DataFrame, rounds: DataFrame, key: Sequence[str], dims: Dims, *, max_traits: int = MAX_TRAITS, name: str = "trait_ids"
 ) -> DataFrame:

@@ -167,7 +167,7 @@ def seeded_shuffle(spark, d):
 
 @query(
     "patch_asof",
-    f"""{FLAT} SELECT round_key, coalesce((SELECT max(patch_id) FROM patch_dim p WHERE p.release_ts <= r.ts), 0) AS patch_id FROM rounds r""",
+    f"""{FLAT} SELECT round_key, cast(coalesce((SELECT max(patch_id) FROM patch_dim p WHERE p.release_ts <= r.ts), 0) AS bigint) AS patch_id FROM rounds r""",
 )
 def patch_asof(spark, d):
     r = adapter.rounds(spark, d).select("round_key", "timestamp")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roundhouse.functions import cells, scalars
-from roundhouse.operators import catalog, rounds, traits, units
+from roundhouse.operators import assemble, catalog, rounds, traits, units
 from testbed import adapter
 from testbed.adapter import KEY, dims
 from testbed.queries_rounds import usable_nested
@@ -318,9 +318,9 @@ def trait_onehot(spark, d):
     + ") AS onehot FROM usable LEFT JOIN reached USING (round_key) GROUP BY round_key",
 )
 def trait_onehot_vector(spark, d):
-    active = traits.active_traits(trait_count_copies(spark, d), dims())
-    vector = traits.trait_onehot_vector(active, usable_flat(spark, d), KEY, dims())
-    return vector.select("round_key", F.array_join("onehot", ",").alias("onehot"))
+    vector = assemble.onehot_vectors(enriched(spark, d), KEY, dims()).filter("both_sides")
+    wanted = adapter.rounds(spark, d).filter(rounds.countable_round()).select("round_key")
+    return vector.join(wanted, KEY).select("round_key", F.array_join("onehot", ",").alias("onehot"))
 
 
 IDS_SQL = """, ids AS (
@@ -334,6 +334,16 @@ IDS_SQL = """, ids AS (
     f"{FLAT}{ENRICHED}{USABLE}{TOTALS}{REACHED.format(counts='totals')}{IDS_SQL.format(usable='usable')} SELECT * FROM ids",
 )
 def trait_ids(spark, d):
+    vector = assemble.trait_id_vectors(adapter.units(spark, d), KEY, dims()).filter("both_sides")
+    wanted = adapter.rounds(spark, d).filter(rounds.countable_round()).select("round_key")
+    return vector.join(wanted, KEY).select("round_key", F.array_join("trait_ids", ",").alias("trait_ids"))
+
+
+@query(
+    "trait_ids_from_counts",
+    f"{FLAT}{ENRICHED}{USABLE}{TOTALS}{REACHED.format(counts='totals')}{IDS_SQL.format(usable='usable')} SELECT * FROM ids",
+)
+def trait_ids_from_counts(spark, d):
     active = traits.active_traits(totals(spark, d), dims())
     vector = traits.trait_id_vector(active, usable_flat(spark, d), KEY, dims())
     return vector.select("round_key", F.array_join("trait_ids", ",").alias("trait_ids"))

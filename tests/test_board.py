@@ -71,6 +71,9 @@ def test_unit_rows_and_row_expressions_agree(spark, dims):
     outside = {r.round_idx: r.wide for r in wide.collect()}
     tensors = {r.round_idx: r.tensor for r in tensor.collect()}
     assert {k: v[0] for k, v in expected.items()} == outside
+    flags = assemble.onehot_vectors(units.enrich_units(exploded, dims), KEY, dims).collect()
+    onehot = df.select("round_idx", encoder.onehot_pair(F.col(P), F.col(O)).alias("onehot"))
+    assert {r.round_idx: r.onehot for r in flags} == {r.round_idx: r.onehot for r in onehot.collect()}
     assert {k: v[1] for k, v in expected.items() if any(v[1])} == {k: v for k, v in tensors.items() if any(v)}
 
 

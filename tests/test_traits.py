@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import unit
 from roundhouse import BoardEncoder
-from roundhouse.operators import traits
+from roundhouse.operators import assemble, traits
 
 KEY = ["round_key"]
 UNITS = "round_key string, team string, pos int, unit string, tier bigint, item_ids array<string>, loc string"
@@ -40,6 +40,19 @@ def test_ids_from_unit_rows(spark, dims):
         assert got[f"r{number}"] == ids + [0] * (15 - len(ids)) + [3] + [0] * 14, name
 
 
+def test_ids_in_one_pass(spark, dims):
+    vectors = assemble.trait_id_vectors(boards(spark), KEY, dims)
+    got = {r.round_key: r.trait_ids for r in vectors.filter("both_sides").collect()}
+    for number, (name, _, ids) in enumerate(CASES):
+        assert got[f"r{number}"] == ids + [0] * (15 - len(ids)) + [3] + [0] * 14, name
+
+
+def test_a_side_without_units_is_told(spark, dims):
+    one_sided = boards(spark).filter("team = 'player'")
+    assert assemble.trait_id_vectors(one_sided, KEY, dims).filter("both_sides").count() == 0
+    assert assemble.trait_id_vectors(one_sided, KEY, dims).count() == len(CASES)
+
+
 def test_ids_inside_the_row(spark, dims):
     rows = [(n, [unit(name, items=items) for name, items in board]) for n, (_, board, _) in enumerate(CASES)]
     kind = "n int, board array<struct<unit:string,tier:bigint,item_ids:array<string>,loc:string>>"
