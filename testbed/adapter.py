@@ -60,10 +60,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes in fewer splits, as a file with one row group does; else leave it alone."""
+def spread_out(df: DataFrame, *columns: str) -> DataFrame:
+    """Use all cores on a table that comes in fewer splits, as a file with one row group does; else leave it alone.
+
+    ``columns`` should tell the rows apart, so that no key gathers in one partition.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
 
 
 def _text(value: Column | str) -> Column:
@@ -90,7 +93,7 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unit row per lineitem. ``pos`` is a struct that sorts like the list order, so no window is needed to make it."""
-    line = spread_out(table(spark, sf_dir, "lineitem"))
+    line = spread_out(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     i_part, i_supp = (F.concat(F.lit("I"), _text(F.col(c) % 12)) for c in ("l_partkey", "l_suppkey"))
     return line.join(part, line.l_partkey == part.p_partkey).select(
@@ -110,7 +113,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds with both boards as arrays, every board computed inside its row."""
-    base = spread_out(rounds(spark, sf_dir)).withColumn("cust", F.substring("match_uuid", 2, 30).cast("bigint"))
+    base = spread_out(rounds(spark, sf_dir), "round_key").withColumn("cust", F.substring("match_uuid", 2, 30).cast("bigint"))
     k, c = F.col("round_key"), F.col("cust")
     sizes = {
         "player": F.when(k % 50 == 0, 0).when(k % 97 == 0, 30).otherwise(1 + k % 10),
