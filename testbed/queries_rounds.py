@@ -8,7 +8,7 @@ from roundhouse.functions import cells, scalars
 from roundhouse.operators import asof, augment, ordering, rounds, sample, split, units, validate
 from testbed import adapter
 from testbed.adapter import KEY, dims
-from testbed.registry import CELL, COL_SQL, FLAT, NESTED, ROW_SQL, USABLE, query
+from testbed.registry import COL_SQL, FLAT, NESTED, ROW_SQL, USABLE, query
 
 ROUND_COLS = ["round_key", "match_uuid", "player_uuid", "round_name", "round_type", "round_outcome"]
 

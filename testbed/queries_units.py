@@ -14,7 +14,6 @@ from testbed.registry import (
     COPIES,
     ENRICHED,
     FLAT,
-    ITEMS_SQL,
     NESTED,
     REACHED,
     ROW_SQL,

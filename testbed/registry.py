@@ -38,9 +38,6 @@ REACHED = """, reached AS (
 CELL = r"^\s*([A-Da-d])\s*\+?0*([1-7])\s*$"
 ROW_SQL = f"CASE WHEN coalesce(regexp_matches(replace(loc, '_', ''), '{CELL}'), false) THEN ascii(upper(regexp_extract(replace(loc, '_', ''), '{CELL}', 1))) - 65 ELSE -1 END"
 COL_SQL = f"CASE WHEN coalesce(regexp_matches(replace(loc, '_', ''), '{CELL}'), false) THEN cast(regexp_extract(replace(loc, '_', ''), '{CELL}', 2) AS int) - 1 ELSE -1 END"
-ITEMS_SQL = ", ".join(
-    f"coalesce((SELECT item_id FROM item_vocab v WHERE v.item = item_ids[{n}]), 0) AS item{n}" for n in (1, 2, 3)
-)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
