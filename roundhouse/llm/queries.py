@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundhouse.llm import exact_dedup, minhash, packing, separators, token_files_zstd
+from roundhouse.llm import exact_dedup, languages, minhash, mixing, neighbours, packing, phrases, separators, templates, token_files_zstd
 from roundhouse.llm.shared import Scratch
 from roundhouse.llm.tokens import BYTE_BPE, WORD_BPE
 
@@ -31,6 +31,24 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op3_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without passages of 35 words that recur."""
+    return phrases.digests(table(spark, folder, "documents"), length=35)
+
+
+ORACLES["op3_phrases"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN again USING (h)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN covered USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, counted by the separators in flat files."""
@@ -43,6 +61,22 @@ def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+ORACLES["op5_minhash"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM docs WHERE len(w) > 1)
+  UNION ALL SELECT doc_id, w[1] FROM docs WHERE len(w) = 1),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(y) AS component_id, d.doc_id = min(y) AS kept
+FROM documents d JOIN reached ON x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id, n
+"""
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts; the largest id stays."""
@@ -62,3 +96,44 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     manifest = token_files_zstd.write(table(spark, folder, "documents"), Scratch(spark, "tokz-files").folder, WORD_BPE, end_id=2)
     back = token_files_zstd.read(spark, manifest)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth, by inner product."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), k=20, every=20)
+
+
+@query
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = templates.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op7_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    return languages.identify(table(spark, folder, "documents"))
+
+
+def domain() -> Column:
+    """Domain of a document in the example mixture: sources by their number (fixed values), others apart."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"^src(\d+)$", 1)
+    return F.when(number == "", "other").when(number.cast("int") == 0, "crawl").when(number.cast("int") % 2 == 0, "books").otherwise("forums")
+
+
+#: target weights of the example mixture; languages and sources that aren't named have weight 1
+WEIGHTS = {("crawl",): 4.0, ("books",): 3.0, ("forums",): 2.0, ("other",): 1.0, ("crawl", "en"): 2.0, ("books", "en"): 2.0, ("forums", "en"): 2.0, ("books", "de", "src2"): 3.0}
+
+
+def target(path: tuple[str, ...]) -> float:
+    return WEIGHTS.get(path, 1.0)
+
+
+@query
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is taken into a mixture of 0.8 of the corpus's tokens, at most two epochs of a source."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, domain(), target, share=0.8, max_epochs=2, seed=10)
+    return mixed.select("doc_id", "lang", "source", "copies")

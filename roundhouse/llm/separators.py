@@ -22,6 +22,7 @@ from roundhouse.llm.tokenfiles import create, own_path, read_range
 from roundhouse.llm.tokens import encoder
 
 BLOCK_IDS = 1 << 20
+BLOCKS_PER_TASK = 32
 BATCH = 256
 FOUND = pa.schema([("part", pa.int64()), ("path", pa.string()), ("begin", pa.int64()), ("n", pa.int64()), ("found", pa.binary()), ("seps", pa.int64()), ("last", pa.int64())])
 LABELS = pa.schema([("part", pa.int32()), ("k", pa.int64()), ("path", pa.string()), ("n_ids", pa.int64())])
@@ -78,7 +79,8 @@ def scan(spark: SparkSession, files: pd.DataFrame, separator: int, dtype: str =
     table = spark.createDataFrame(listed, "part bigint, path string, n_ids bigint")
     begins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n_ids") - 1, F.lit(0)), F.lit(block_ids).cast("bigint")))
     blocks = table.where("n_ids > 0").select("part", "path", begins.alias("begin"), "n_ids")
-    tasks = max(1, min(4096, int((listed["n_ids"] // block_ids + 1).sum())))
+    n_blocks = max(1, int((-(-listed["n_ids"] // block_ids)).sum()))
+    tasks = max(-(-n_blocks // BLOCKS_PER_TASK), min(n_blocks, spark.sparkContext.defaultParallelism))
     blocks = blocks.select("part", "path", "begin", F.least(F.lit(block_ids), F.col("n_ids") - F.col("begin")).cast("bigint").alias("n")).repartition(tasks)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
