@@ -8,9 +8,11 @@ sketches estimates similarity with sharp concentration. With the defaults (64 ba
 probability (1 - 0.8 ** 8) ** 64, under 1e-5, and lower above.
 
 Candidates: nodes that share a band meet in a bucket. A bucket's nodes are compared with one pivot, not with each other; links are put
-together into components, and only buckets that still span several components go on, with more pivots in each round, until every
-pair of unconnected nodes of every bucket has been compared. So no link is lost to a cap, and a large group costs one comparison a
-member. All comparisons are of whole sets.
+together into components, and only buckets that still span several components go on, then with blocks of pivots, until
+every pair of unconnected nodes of every bucket has been compared. Before the second round, elements that only one of the remaining nodes
+has are counted: they can be in no common part, which bounds the similarity of every pair without comparing it, and nodes with the
+fewest of them, the middle of a crowd, are the next pivots. So no link is lost to a cap, and a large group costs one comparison a member.
+All comparisons are of whole sets.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from roundhouse.llm.words import U, documents, mix, runs
 BANDS, ROWS = 64, 8
 PLACED = 4096
 BATCH = 256
+#: members and pivots that are compared at a time
+BLOCK = 1024
 _RANDOM = np.random.default_rng(5)
 ROUND_KEYS = _RANDOM.integers(0, 1 << 63, 4096, dtype=U) * U(2) + U(1)
 FULL = np.iinfo(U).max
@@ -145,6 +149,63 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.col("c") * 100 >= (F.col("both") - F.col("c")) * percent).select("u", "v")
 
 
+def shared_in_batch(sets: DataFrame) -> DataFrame:
+    """``row, settled, single, many`` of ``row, elements``: how many of a set's elements another set of its batch has, and which none has.
+
+    ``many`` lists the elements that the batch holds more than once, on one row for each batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements = [np.frombuffer(b, U) for b in batch.column(1).to_pylist()]
+            found, inverse, counts = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+            alone, ends = (counts == 1)[inverse], np.cumsum([0] + [len(e) for e in elements])
+            single = [e[alone[a:b]].view(np.int64) for e, a, b in zip(elements, ends[:-1], ends[1:])]
+            settled = [int((~alone[a:b]).sum()) for a, b in zip(ends[:-1], ends[1:])]
+            many = [found[counts > 1].view(np.int64)] + [found[:0].view(np.int64)] * (len(elements) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(settled, pa.int64()), pa.array(single, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.int64()))], names=["row", "settled", "single", "many"])
+
+    return sets.mapInArrow(run, "row bigint, settled bigint, single array<bigint>, many array<bigint>")
+
+
+def element_counts(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``row, c``: how many of a set's elements are shared among these sets. A written table."""
+    found = scratch.save(shared_in_batch(sets))
+    single = found.select("row", F.explode("single").alias("e"))
+    twice = single.select("e", F.lit(1).alias("k")).unionAll(found.select(F.explode("many").alias("e"), F.lit(2).alias("k"))).groupBy("e").agg(F.sum("k").alias("k")).where("k > 1").select("e")
+    more = single.join(twice, "e").groupBy("row").agg(F.count("*").alias("more"))
+    return scratch.save(found.join(more, "row", "left").select("row", (F.col("settled") + F.coalesce("more", F.lit(0))).alias("c")))
+
+
+def block_links(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """``u, v`` of near members and pivots with different labels. Both have ``bucket, row, label, elements`` and the bucket's ``parts``.
+
+    A bucket's members are dealt to parts of about ``BLOCK``, each compared with the bucket's pivots, of which there are at most as many.
+    """
+    left = members.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).drop("parts")
+    right = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = ([np.frombuffer(x, U) for x in f["elements"]] for f in (a, b))
+        own = np.concatenate(mine) if mine else np.zeros(0, U)
+        vocabulary, number = np.unique(own, return_inverse=True)
+        size = np.array([len(x) for x in mine])
+        begins = np.cumsum(size) - size
+        labels, rows = a["label"].to_numpy(), a["row"].to_numpy()
+        us, vs = [], []
+        for x, label, row in zip(theirs, b["label"], b["row"]) if len(own) else ():
+            mark = np.zeros(len(vocabulary), np.int32)
+            at = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
+            mark[at[vocabulary[at] == x]] = 1
+            common = np.add.reduceat(mark[number], begins)
+            near = rows[(common * 100 >= (size + len(x) - common) * percent) & (labels != label)]
+            us.append(near)
+            vs.append(np.full(len(near), row))
+        return pd.DataFrame({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+
+    return left.groupBy("bucket", "part").cogroup(right.groupBy("bucket", "part")).applyInPandas(compare, "u bigint, v bigint").distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """``node, label`` of all nodes that have a link, or None if no two share a band.
 
@@ -152,33 +213,44 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, scratch:
     """
     members = nodes.select("row", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "row", "n")
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    left = scratch.save(members.join(shared, "bucket"))
-    known = label = None
-    pivots, seed = 1, 0
+    # until elements have been counted, all of a node's may be shared
+    left = scratch.save(members.join(shared, "bucket").withColumn("c", F.col("n")))
+    label = sets = None
+    step = 0
     while True:
         at = left if label is None else left.join(label.withColumnRenamed("node", "row"), "row", "left")
         at = at.withColumn("label", F.coalesce(F.col("label"), F.col("row")) if label is not None else F.col("row"))
         open_buckets = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        at = scratch.save(at.join(open_buckets, "bucket").withColumn("h", F.xxhash64("row", F.lit(seed))))
+        at = scratch.save(at.join(open_buckets, "bucket"))
         if at.isEmpty():
             break
-        if pivots == 1:
-            chosen = at.groupBy("bucket").agg(F.min(F.struct("h", "row", "n", "label")).alias("p")).select("bucket", F.col("p.row").alias("v"), F.col("p.n").alias("m"), F.col("p.label").alias("other"), F.col("p.h").alias("k"))
+        if step == 1:
+            sets = scratch.save(sets_of(docs, nodes.select("row", "doc_id", "d1", "d2").join(at.select("row").distinct(), "row"), words))
+            at = at.drop("c").join(element_counts(sets, scratch), "row").where(F.col("c") * 100 >= F.col("n") * percent)
+        at = at.withColumn("h", F.struct((F.col("n") - F.col("c")) / F.col("n"), F.xxhash64("row", F.lit(step))))
+        if step < 2:
+            chosen = at.groupBy("bucket").agg(F.min(F.struct("h", "row", "n", "c", "label")).alias("p"))
+            chosen = scratch.save(chosen.select("bucket", F.col("p.row").alias("v"), F.col("p.n").alias("m"), F.col("p.c").alias("d"), F.col("p.label").alias("other")))
+            most = F.least("c", "d")  # elements that the two can have in common
+            pairs = at.join(chosen, "bucket").where((F.col("label") != F.col("other")) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent))
+            pairs = scratch.save(pairs.select(F.col("row").alias("u"), "v").distinct())
+            ends = pairs.select(F.col("u").alias("row")).unionAll(pairs.select(F.col("v").alias("row"))).distinct()
+            own = sets if sets is not None else scratch.save(sets_of(docs, nodes.select("row", "doc_id", "d1", "d2").join(ends, "row"), words))
+            new = scratch.save(verified(pairs, own, percent))
+            done = chosen.select("bucket", F.col("v").alias("row"))
         else:
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "row"))
-            chosen = at.withColumn("rank", rank).where(F.col("rank") <= pivots).select("bucket", F.col("row").alias("v"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("h").alias("k"))
-        pairs = at.join(chosen, "bucket").where((F.col("label") != F.col("other")) & (F.struct("k", "v") < F.struct("h", "row")))
-        near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("row") != F.col("v"))
-        pairs = scratch.save(pairs.where(near).select(F.col("row").alias("u"), "v").distinct())
-        ends = pairs.select(F.col("u").alias("row")).unionAll(pairs.select(F.col("v").alias("row"))).distinct()
-        sets = scratch.save(sets_of(docs, nodes.select("row", "doc_id", "d1", "d2").join(ends, "row"), words))
-        new = scratch.save(verified(pairs, sets, percent))
-        scratch.drop(pairs, sets)
+            chosen = scratch.save(at.withColumn("rank", rank).where(F.col("rank") <= BLOCK).select("bucket", "row", "label"))
+            parts = scratch.save(at.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
+            everyone = at.select("bucket", "row", "label").join(sets, "row").join(parts, "bucket")
+            middle = scratch.again(chosen).join(scratch.again(sets), "row").join(scratch.again(parts), "bucket")
+            new = scratch.save(block_links(everyone, middle, percent))
+            done = chosen.select("bucket", "row")
         if not new.isEmpty():
-            known = new if known is None else known.unionAll(new)
+            known = new if label is None else new.unionAll(label.select(F.col("node").alias("u"), F.col("label").alias("v")))
             label = scratch.save(components(known, scratch))
-        left = scratch.save(at.join(chosen.select("bucket", F.col("v").alias("row")), ["bucket", "row"], "left_anti").select("bucket", "row", "n"))
-        pivots, seed = pivots * 4, seed + 1
+        left = scratch.save(at.join(done, ["bucket", "row"], "left_anti").select("bucket", "row", "n", "c"))
+        step += 1
     return label
 
 

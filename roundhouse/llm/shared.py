@@ -41,6 +41,10 @@ class Scratch:
         frame.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def again(self, frame: DataFrame) -> DataFrame:
+        """A written table read anew, with columns of its own."""
+        return self.spark.read.schema(frame.schema).parquet(*{file.rsplit("/", 1)[0] for file in frame.inputFiles()})
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete written tables that no later step reads."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
