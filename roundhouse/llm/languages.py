@@ -19,12 +19,15 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from roundhouse.llm.words import STEP, buffers
+from roundhouse.llm.shared import bound_batches
+from roundhouse.llm.words import buffers
 
 #: training rows of a language: those of the least hashed ids; learning needs no more, and every group that trains stays bounded
 SAMPLE_PER_LANGUAGE = 400
 SIZES = (2, 3, 4)
 SLOTS = 1 << 16
+#: bytes of text that are looked up at a time
+STEP = 1 << 18
 SCALE = 30.0
 COST, EPOCHS = 4.0, 12
 STEEPNESS = 4.0
@@ -175,6 +178,7 @@ class Model:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of every language that rows outside the held-out part are labelled with, or None if there is none."""
+    bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("text"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
     chosen = labelled.where("text IS NOT NULL").select("i", "l").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).select("i", "l").distinct()

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: rows and bytes of text that a Python task is handed at a time, unless the session says otherwise; long texts make small batches
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "8m")}
 _LOCAL: dict[str, str] = {}
 
 
@@ -21,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='llm-')}")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Set the limits that the session leaves at Spark's defaults."""
+    for name, (default, limit) in BATCH_LIMITS.items():
+        if spark.sparkContext.getConf().get(name) is None and spark.conf.get(name, None) in (default, None, "67108864", "64m", "64MB", "9223372036854775807", "9223372036854775807b", "-1"):
+            spark.conf.set(name, limit)
+
+
 class Scratch:
     """Intermediate tables of one call. Each is written once and read back, so later steps neither repeat nor depend on lost executors.
 
@@ -31,6 +40,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        bound_batches(spark)
 
     def path(self) -> str:
         self.count += 1

@@ -22,7 +22,7 @@ RUNS = re.compile(r"[ \t\n\r\x0b\x0c]{3}|[ \t\n\r\x0b\x0c]{2}\Z")
 RUN_STARTS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 PUNCTUATION = ".,;:!?()[]{}*#$%&|/+-=_<>@^~\"`"
 #: pieces and matches that a worker keeps, in each of two generations
-KEPT = 250_000
+KEPT = 120_000
 #: longest text that is cut into pieces at once, in characters
 STEP = 1 << 20
 
