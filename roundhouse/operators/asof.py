@@ -3,30 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roundhouse.dims import MAX_DIM_ROWS
 from roundhouse.operators.ordering import sorted_slices
 
 
 def asof_backward(
-    left: DataFrame, right: DataFrame, on: str, right_on: str, *, by: Sequence[str] = (), small: bool | None = None
+    left: DataFrame, right: DataFrame, on: str, right_on: str, *, by: Sequence[str] = (), small: bool = False
 ) -> DataFrame:
     """Left rows with the columns of the latest right row whose ``right_on <= on`` within ``by``; nulls when there is none.
 
-    A right side of at most ``MAX_DIM_ROWS`` rows is broadcast as validity intervals; any other one goes through one sort
-    of both sides. ``small`` skips the size check when the caller knows. ``right_on`` must be unique within ``by``.
+    Both sides go through one sort. A caller who knows the right side to be a dimension of bounded size says ``small``, and
+    it is broadcast as validity intervals; the answer is the same. Right rows with a null time or a null in ``by`` match
+    nothing, and left rows with one stay unmatched. Of right rows with equal times, the one with the greatest hash counts.
     """
-    if small is None:
-        small = right.limit(MAX_DIM_ROWS + 1).count() <= MAX_DIM_ROWS
+    right = right.dropna(subset=[right_on, *by])
     return _by_intervals(left, right, on, right_on, by) if small else _by_sort(left, right, on, right_on, by)
 
 
 def _by_intervals(left: DataFrame, right: DataFrame, on: str, right_on: str, by: Sequence[str]) -> DataFrame:
-    following = W.partitionBy(*by).orderBy(right_on)
+    following = W.partitionBy(*by).orderBy(right_on, _tie(right))
     keys = [F.col(c).alias(f"_by_{c}") for c in by]
     payload = [c for c in right.columns if c not in by]
     intervals = right.select(*keys, *payload, F.lead(right_on).over(following).alias("_until"))
@@ -36,6 +36,11 @@ def _by_intervals(left: DataFrame, right: DataFrame, on: str, right_on: str, by:
     return left.join(F.broadcast(intervals), match, "left").drop("_until", *[f"_by_{c}" for c in by])
 
 
+def _tie(right: DataFrame) -> Column:
+    """A hash of the row's columns; maps can't be hashed."""
+    return F.xxhash64(*[name for name, kind in right.dtypes if "map<" not in kind])
+
+
 def _by_sort(left: DataFrame, right: DataFrame, on: str, right_on: str, by: Sequence[str]) -> DataFrame:
     """Sort both sides together, carry the last right row forward inside a slice, then across slices.
 
@@ -44,13 +49,16 @@ def _by_sort(left: DataFrame, right: DataFrame, on: str, right_on: str, by: Sequ
     """
     payload = [c for c in right.columns if c not in by]
     kept = [c for c in left.columns if c not in by]
+    usable = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (on, *by)])
+    unmatched = left.filter(~usable).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in payload])
+    left = left.filter(usable)
     one = right.select(
-        *by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(*payload).alias("_right")
+        *by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), _tie(right).alias("_tie"), F.lit(None).alias("_row"), F.struct(*payload).alias("_right")
     )
     two = left.select(
-        *by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.struct(*kept).alias("_row"), F.lit(None).alias("_right")
+        *by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), F.struct(*kept).alias("_row"), F.lit(None).alias("_right")
     )
-    sliced = sorted_slices(one.unionByName(two), [*by, "_t", "_side"])
+    sliced = sorted_slices(one.unionByName(two), [*by, "_t", "_side", "_tie"])
 
     inside = W.partitionBy("_slice", *by).orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
     filled = sliced.withColumn("_found", F.last("_right", ignorenulls=True).over(inside)).filter("_side = 1")
@@ -71,4 +79,4 @@ def _by_sort(left: DataFrame, right: DataFrame, on: str, right_on: str, by: Sequ
     carried = filled.withColumn("_group", group).join(F.broadcast(carry), ["_slice", "_group"], "left")
     return carried.select(
         *by, *[F.col(f"_row.{c}") for c in kept], F.coalesce("_found", "_carry").alias("_hit")
-    ).select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in payload])
+    ).select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in payload]).unionAll(unmatched)

@@ -14,12 +14,18 @@ from roundhouse.functions.arrays import literal_array
 NO_COST = 99  # sorts units without a cost behind all others
 
 
+def _one_each(metadata: DataFrame, key: str) -> DataFrame:
+    """One metadata row per key: of several, the greatest by its other columns."""
+    rest = [c for c in metadata.columns if c != key]
+    return metadata.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def catalog_units(dims_units: DataFrame, metadata: DataFrame, *, hidden: Sequence[str] = (), special: Sequence[str] = ()) -> DataFrame:
     """``unit, name, cost, traits, has_icon, special``: the vocabulary's units with their metadata where there is any.
 
     ``metadata`` has ``unit, name, cost, traits``; its cost wins when the unit is described there, the dimension's traits win.
     """
-    meta = metadata.select(
+    meta = _one_each(metadata.select("unit", "name", "cost", "traits"), "unit").select(
         "unit", F.col("name").alias("_name"), F.col("cost").alias("_cost"), F.col("traits").alias("_traits"), F.lit(True).alias("_known")
     )
     shown = dims_units.filter(~F.col("unit").isin(*hidden)) if hidden else dims_units
@@ -41,7 +47,7 @@ def unit_order() -> list:
 
 def catalog_items(items: DataFrame, emblems: DataFrame, metadata: DataFrame, *, set_prefix: str, hidden: Sequence[str] = ()) -> DataFrame:
     """``item, name, category, is_emblem, emblem_trait, has_icon``; ``metadata`` has ``item, name, tags, icon``."""
-    meta = metadata.select("item", F.col("name").alias("_name"), F.col("tags").alias("_tags"), F.col("icon").alias("_icon"))
+    meta = _one_each(metadata.select("item", "name", "tags", "icon"), "item").select("item", F.col("name").alias("_name"), F.col("tags").alias("_tags"), F.col("icon").alias("_icon"))
     shown = items.filter(~F.col("item").isin(*hidden)) if hidden else items
     joined = shown.join(meta, "item", "left").join(emblems.withColumnRenamed("trait", "emblem_trait"), "item", "left")
     is_emblem = F.col("emblem_trait").isNotNull()
@@ -62,7 +68,7 @@ def item_order() -> list:
 
 def catalog_traits(traits: DataFrame, metadata: DataFrame) -> DataFrame:
     """``trait, breakpoints, unique, icon_name, has_icon``; ``metadata`` has ``trait, icon``."""
-    meta = metadata.select("trait", F.col("icon").alias("_icon"))
+    meta = _one_each(metadata.select("trait", "icon"), "trait").select("trait", F.col("icon").alias("_icon"))
     return traits.join(meta, "trait", "left").select(
         "trait",
         F.sort_array("breakpoints").alias("breakpoints"),

@@ -82,16 +82,18 @@ def rank_in_group(
     """Exact 0-based row number inside each group.
 
     Groups up to ``hot_rows`` rows take a plain window. Larger ones, of which there are at most ``rows / hot_rows``, are found
-    by a count with map-side combine and ranked from their global order instead.
+    by a count with map-side combine and ranked from their global order instead. Rows equal in ``order`` are ranked by a hash
+    of their columns, so the way a group takes doesn't change its ranks.
     """
-    window = W.partitionBy(*by).orderBy(*order)
+    tie = F.xxhash64(*[column for column, kind in df.dtypes if "map<" not in kind])
+    window = W.partitionBy(*by).orderBy(*order, tie)
     large = materialise(df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by))
     if large.isEmpty():
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
     match = same_keys(df, large, by)
     cold = df.join(F.broadcast(large), match, "left_anti")
     cold = cold.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
-    ranked = global_rank(df.join(F.broadcast(large), match, "left_semi"), [*by, *order], "_rank")
+    ranked = global_rank(df.join(F.broadcast(large), match, "left_semi"), [*by, *order, tie], "_rank")
     starts = ranked.groupBy(*by).agg(F.min("_rank").alias("_start"))
     starts = starts.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_start")
     found = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by])

@@ -191,6 +191,21 @@ def asof_join_union(spark, d):
     return joined.select("event_id", "signup_id", "signup_value")
 
 
+@query(
+    "asof_nulls",
+    """WITH e AS (SELECT event_id, event_type, value, CASE WHEN event_id % 7 <> 0 THEN user_id END AS u, CASE WHEN event_id % 11 <> 0 THEN ts END AS t FROM events)
+    SELECT l.event_id, r.event_id AS signup_id FROM (SELECT * FROM e WHERE event_type <> 'signup') l
+    ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'signup' AND u IS NOT NULL AND t IS NOT NULL) r ON l.u = r.u AND l.t >= r.t""",
+)
+def asof_nulls(spark, d):
+    """As-of join in which keys and times are missing on both sides."""
+    e = adapter.table(spark, d, "events")
+    e = e.select("event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("u"), F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("t"))
+    left = e.filter("event_type <> 'signup'").select("event_id", "u", "t")
+    right = e.filter("event_type = 'signup'").select("u", F.col("t").alias("signup_t"), F.col("event_id").alias("signup_id"))
+    return asof.asof_backward(left, right, "t", "signup_t", by=["u"]).select("event_id", "signup_id")
+
+
 @query(
     "recency_weight",
     f"""{FLAT}, p AS (SELECT round_key, coalesce((SELECT max(patch_id) FROM patch_dim p WHERE p.release_ts <= r.ts), 0) AS patch_id FROM rounds r)

@@ -112,9 +112,33 @@ def test_asof_backward(spark, small, by):
     assert got == expected
 
 
-def test_asof_size_check_gives_the_same(spark):
-    left, right = table(spark, [(1, 5), (2, 1)], "id int, ts bigint"), table(spark, [(3, "x")], "at bigint, name string")
-    assert {r.id: r.name for r in asof.asof_backward(left, right, "ts", "at").collect()} == {1: "x", 2: None}
+@pytest.mark.parametrize("small", [True, False])
+def test_asof_nulls_and_ties(spark, small):
+    left = [(1, "a", 5), (2, None, 5), (3, "a", None), (4, "b", 9), (5, "c", 9)]
+    right = [(3, "a", "x"), (None, "a", "never"), (3, None, "never"), (9, "b", "y"), (9, "b", "z"), (None, "c", "never")]
+    one, two = table(spark, left, "id int, g string, ts bigint", 2), table(spark, right, "at bigint, g string, name string", 3)
+    got = {r.id: r.name for r in asof.asof_backward(one, two, "ts", "at", by=["g"], small=small).collect()}
+    other = {r.id: r.name for r in asof.asof_backward(one, two.repartition(1), "ts", "at", by=["g"], small=not small).collect()}
+    assert got == other and got.pop(4) in ("y", "z") and got == {1: "x", 2: None, 3: None, 5: None}
+
+
+def test_split_leaves_rows_without_a_time(spark):
+    rows = [(n, None if n % 10 == 0 else n, n) for n in range(100)]
+    frame = table(spark, rows, "id int, ts bigint, tie bigint", 3)
+    got = {r.id: r.split for r in split.chrono_split(frame, "ts", "tie").collect()}
+    timed = [n for n in range(100) if n % 10]
+    assert all(got[n] is None for n in range(0, 100, 10))
+    assert [got[n] for n in timed] == ["train"] * 72 + ["val"] * 9 + ["test"] * 9
+    assert {r.split for r in split.chrono_split(frame.withColumn("ts", F.lit(None).cast("bigint")), "ts", "tie").collect()} == {None}
+
+
+def test_auc_of_many_rows(spark):
+    from roundhouse.operators import metrics
+
+    frame = table(spark, [(1, 0.9), (0, 0.1), (1, 0.1)], "label int, score double")
+    assert metrics.roc_auc(frame, "label", "score").first().roc_auc == 0.75
+    counts = spark.range(1).select(F.lit(10**10).alias("pos"), F.lit(10**10).alias("neg"))
+    assert counts.agg(F.sum("pos").cast("double") * F.sum("neg").cast("double")).first()[0] == 1e20
 
 
 def walk(rows, per_stage):
