@@ -91,9 +91,11 @@ def clean_board(board: Column, units: Sequence[str], items: Sequence[str]) -> Co
     )
 
 
-def sample_valid(rounds: DataFrame, dims: Dims, *, units: Sequence[str] | None = None, board: str = "board_data") -> DataFrame:
+def sample_valid(
+    rounds: DataFrame, dims: Dims, *, units: Sequence[str] | None = None, items: Sequence[str] | None = None, board: str = "board_data"
+) -> DataFrame:
     """Drop a round as a whole when any unit or item of it is unknown or unplaced."""
-    names, items = list(units if units is not None else dims.units), list(dims.items)
+    names, items = list(units if units is not None else dims.units), list(items if items is not None else dims.items)
     return rounds.filter(
         clean_board(F.col(f"{board}.player_board"), names, items) & clean_board(F.col(f"{board}.opponent_board"), names, items)
     )

@@ -15,8 +15,8 @@ from roundhouse.functions.scalars import clamp_tier, compact_then_take, stage_of
 from roundhouse.operators.ordering import seeded_shuffle
 from roundhouse.operators.rounds import sample_eligible, sample_valid
 
-MAP_SIDE_LIMIT = 999  # spark.sql.optimizer.windowGroupLimitThreshold is 1000
-PREFIX = 3
+PARTS = 64
+MAX_STAGES = 200  # a game has some dozens; more means that round names are not round names
 
 
 def first_per_match(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
@@ -29,17 +29,13 @@ def first_per_match(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
 def top_per_stage(rows: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` rows per stage in shuffle order.
 
-    Up to ``MAP_SIDE_LIMIT`` Spark cuts each stage in the map tasks. Beyond it, rows whose shuffle key lies behind the prefix
-    that fills the stage are dropped first: a count per stage and prefix decides, at most ``16 ** PREFIX`` rows per stage.
+    Each stage is cut in ``PARTS`` hashed parts first, so a stage with most rows is never sorted in one task.
     """
-    order = W.partitionBy("stage").orderBy("shuffle_key")
-    if limit > MAP_SIDE_LIMIT:
-        prefixed = rows.withColumn("_prefix", F.substring("shuffle_key", 1, PREFIX))
-        earlier = W.partitionBy("stage").orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
-        counts = prefixed.groupBy("stage", "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
-        open_ = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).filter(F.col("_before") < limit)
-        rows = prefixed.join(F.broadcast(open_.select("stage", "_prefix")), ["stage", "_prefix"]).drop("_prefix")
-    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+    part = F.pmod(F.xxhash64("shuffle_key"), F.lit(PARTS))
+    for by in (("stage", "_part"), ("stage",)):
+        order = W.partitionBy(*by).orderBy("shuffle_key")
+        rows = rows.withColumn("_part", part).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+    return rows.drop("_part")
 
 
 def pick_relaxed(rows: DataFrame, key: str, match: str, per_stage: int) -> DataFrame:
@@ -54,10 +50,12 @@ def pick_exact(rows: DataFrame, key: str, match: str, per_stage: int) -> DataFra
 
     Only a match's first row per stage can ever be taken, and while a stage has room the walk meets at most
     ``per_stage * stages`` different matches in it, so that many candidates per stage decide everything. The driver sees no
-    more than those.
+    more than those, and more than ``MAX_STAGES`` stages are refused.
     """
     firsts = first_per_match(rows, ["stage", match], key)
     stages = rows.agg(F.count_distinct("stage")).first()[0]
+    if stages > MAX_STAGES:
+        raise ValueError(f"{stages} stages; at most {MAX_STAGES} can be walked")
     candidates = top_per_stage(firsts, per_stage * max(stages, 1)).collect()
     room: dict[str, int] = {}
     used: set = set()
@@ -102,9 +100,13 @@ def sample_boards(
     seed: int = 16,
     exact: bool = True,
     units: Sequence[str] | None = None,
+    items: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``stage, outcome, player, opponent`` of the sampled rounds, ordered by stage; ``stage`` is the full round name."""
-    valid = sample_valid(sample_eligible(rounds, min_units=min_units), dims, units=units)
+    """``stage, outcome, player, opponent`` of the sampled rounds, ordered by stage; ``stage`` is the full round name.
+
+    ``units`` and ``items`` are those that may be shown; by default all of the dimensions.
+    """
+    valid = sample_valid(sample_eligible(rounds, min_units=min_units), dims, units=units, items=items)
     staged = valid.withColumn("stage", stage_of(F.col("round_name"))).filter("stage is not null")
     shuffled = seeded_shuffle(staged.select(key, match, "stage"), key, seed)
     pick = pick_exact if exact else pick_relaxed

@@ -32,13 +32,25 @@ def emblem_counts(units: DataFrame, key: Sequence[str], dims: Dims) -> DataFrame
 
 
 def trait_counts(units: DataFrame, key: Sequence[str], dims: Dims, *, distinct_units: bool, emblems: bool) -> DataFrame:
-    """Innate counts, plus emblem counts when asked, summed per trait."""
-    counts = innate_counts(units, key, dims, distinct_units=distinct_units)
+    """Innate counts, plus emblem counts when asked, summed per trait.
+
+    With emblems, unit rows are read once: names of units and items are counted per board, and the few that are left get
+    their traits. A unit then counts once or as often as it stands there, an emblem always as often.
+    """
     if not emblems:
-        return counts
-    return (
-        counts.unionByName(emblem_counts(units, key, dims)).groupBy(*key, "team", "trait").agg(F.sum("n").alias("n"))
+        return innate_counts(units, key, dims, distinct_units=distinct_units)
+    spark = units.sparkSession
+    items = F.coalesce("item_ids", F.array().cast("array<string>"))
+    entries = F.concat(
+        F.array(F.struct(F.col("unit").alias("_name"), F.lit(False).alias("_emblem"))),
+        F.transform(items, lambda i: F.struct(i.alias("_name"), F.lit(True).alias("_emblem"))),
     )
+    named = units.select(*key, "team", F.inline(entries)).groupBy(*key, "team", "_name", "_emblem").agg(F.count(F.lit(1)).alias("_times"))
+    own = dims.unit_frame(spark).select(F.col("unit").alias("_name"), F.lit(False).alias("_emblem"), "traits")
+    given = dims.emblem_frame(spark).select(F.col("item").alias("_name"), F.lit(True).alias("_emblem"), F.array("trait").alias("traits"))
+    times = F.col("_times") if not distinct_units else F.when(F.col("_emblem"), F.col("_times")).otherwise(1)
+    found = named.join(F.broadcast(own.unionByName(given)), ["_name", "_emblem"]).select(*key, "team", F.explode("traits").alias("trait"), times.alias("_times"))
+    return found.groupBy(*key, "team", "trait").agg(F.sum("_times").alias("n"))
 
 
 def active_traits(counts: DataFrame, dims: Dims) -> DataFrame:

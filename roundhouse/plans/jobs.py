@@ -54,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
     sub = job("extract-sample-boards", "raw-path", "out", "dims")
     for option, default in (("per-stage", 10), ("min-units", 3), ("seed", 16)):
         sub.add_argument(f"--{option}", type=int, default=default)
+    sub.add_argument("--catalog", help="folder of the written catalog tables units and items; only what they show is sampled")
     job("score", "requests", "out", "model-path", "dims").add_argument("--kind", choices=("vit", "cnn", "xgboost"), default="vit")
     sub = job("stream-score", "raw-path", "out", "model-path", "dims", "state")
     sub.add_argument("--kind", choices=("vit", "cnn", "xgboost"), default="vit")
@@ -61,6 +62,13 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def shown_names(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Units with an icon and items of a written catalog; hidden ones aren't in it, and both are as few as in the dimensions."""
+    units = spark.read.parquet(f"{path}/units").filter("has_icon").select("unit")
+    items = spark.read.parquet(f"{path}/items").select("item")
+    return {"units": [r[0] for r in units.collect()], "items": [r[0] for r in items.collect()]}
+
+
 def load_scorer(spark: SparkSession, path: str, kind: str) -> score.Scorer:
     """A saved model, with its feature order when it is tabular."""
     order = tuple(read_feature_order(spark, path)) if kind == "xgboost" else ()
@@ -97,8 +105,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         best.show(truncate=False)
     elif args.job == "extract-sample-boards":
         raw = read_rounds(spark, args.raw_path).withColumn("_key", F.xxhash64("match_uuid", "player_uuid", "round_name", "timestamp", "board_data"))
+        shown = shown_names(spark, args.catalog) if args.catalog else {}
         boards = sample_boards(
-            raw, Dims.from_json(args.dims), key="_key", per_stage=args.per_stage, min_units=args.min_units, seed=args.seed
+            raw, Dims.from_json(args.dims), key="_key", per_stage=args.per_stage, min_units=args.min_units, seed=args.seed, **shown
         )
         write_sample_boards(boards, args.out)
     elif args.job == "score":

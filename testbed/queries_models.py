@@ -288,11 +288,11 @@ def board_training(spark, d):
 
 
 def tabular(spark, d) -> train.Trained:
-    return train.train_tabular(wide_training(spark, d), dims().wide_names, params={"maxIter": 5, "maxDepth": 4})
+    return train.train_tabular(wide_training(spark, d), dims().wide_names)
 
 
 def board(spark, d) -> train.Trained:
-    return train.train_board(board_training(spark, d), trait_ids=True, width=1 << 14, params={"maxIter": 10})
+    return train.train_board(board_training(spark, d), trait_ids=True)
 
 
 @query("train_tabular")

@@ -165,8 +165,7 @@ def test_exact_sample_equals_the_walk(spark, seed):
 
 
 @pytest.mark.parametrize("limit", [7, 1500])
-def test_top_per_stage(spark, monkeypatch, limit):
-    monkeypatch.setattr(sample, "PREFIX", 1)
+def test_top_per_stage(spark, limit):
     rows = [(n, str(n % 5 // 3)) for n in range(4000)]
     shuffled = ordering.seeded_shuffle(table(spark, rows, "id bigint, stage string"), "id", 1)
     got = sorted(r.id for r in sample.top_per_stage(shuffled, limit).collect())
@@ -187,3 +186,9 @@ def test_augmentation(spark):
     assert some != {r.k: r.outcome for r in augment.augment_sides(df, "k", prob=0.5, seed=1, epoch=1).collect()}
     limited = augment.augment_sides(df, "k", prob=1.0, where=F.col("k") < 10).collect()
     assert {r.k for r in limited if r.outcome == 0} == set(range(10))
+
+
+def test_many_stages_are_refused(spark):
+    rows = ordering.seeded_shuffle(table(spark, [(n, n, str(n)) for n in range(sample.MAX_STAGES + 1)], "id bigint, match bigint, stage string"), "id", 1)
+    with pytest.raises(ValueError, match="stages"):
+        sample.pick_exact(rows, "id", "match", 1)
