@@ -92,6 +92,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         names = [c for c in features.columns if c not in extract.KEYS]
         trained = train.train_tabular(features, names, test_size=args.test_size)
         save(trained, spark, args.model_path)
+        print(f"accuracy on the training rows: {trained.train_accuracy}")
         train.top_importances(trained).show(truncate=False)
     elif args.job in ("train-cnn", "train-vit"):
         features = read_features(spark, args.feature_path)
