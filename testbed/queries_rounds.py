@@ -261,7 +261,23 @@ def stage_sample(spark, d):
     return picked.select("stage", "round_key", "match_uuid")
 
 
-@query("stage_sample_exact")
+@query(
+    "stage_sample_exact",
+    f"""{NESTED.replace("WITH", "WITH RECURSIVE", 1)}, eligible AS (
+      SELECT * FROM rounds WHERE round_type = 'PVP' AND round_outcome IN ('victory', 'defeat')
+        AND round_key IN (SELECT round_key FROM sizes GROUP BY round_key HAVING min(coalesce(n, 0)) >= 1)){BAD_UNITS},
+    hashed_rows AS (SELECT round_key, match_uuid, split_part(round_name, '-', 1) AS stage, md5(concat(round_key, '|16')) AS k
+      FROM eligible WHERE round_key NOT IN (SELECT round_key FROM bad)),
+    queue AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k) AS i FROM hashed_rows),
+    walk AS (
+      SELECT cast(0 AS bigint) AS i, cast([] AS varchar[]) AS used, cast([] AS varchar[]) AS stages, cast([] AS bigint[]) AS taken
+      UNION ALL
+      SELECT i, CASE WHEN ok THEN list_append(used, match_uuid) ELSE used END, CASE WHEN ok THEN list_append(stages, stage) ELSE stages END,
+        CASE WHEN ok THEN list_append(taken, round_key) ELSE taken END
+      FROM (SELECT q.*, used, stages, taken, NOT list_contains(used, match_uuid) AND len(list_filter(stages, lambda s: s = stage)) < 10 AS ok
+            FROM walk JOIN queue q ON q.i = walk.i + 1))
+    SELECT stage, round_key, match_uuid FROM queue WHERE round_key IN (SELECT unnest(taken) FROM (SELECT taken FROM walk ORDER BY i DESC LIMIT 1))""",
+)
 def stage_sample_exact(spark, d):
     picked = sample.pick_exact(staged(spark, d), "round_key", "match_uuid", 10)
     return picked.select("stage", "round_key", "match_uuid")
