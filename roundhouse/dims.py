@@ -119,30 +119,38 @@ class Dims:
 
     @classmethod
     def from_json(cls, folder: str | Path) -> Dims:
-        """Load ``unit/trait/emblem/item/patch.json`` and, when present, the ``vocabulary`` files beside them."""
-        root = Path(folder)
+        """Load ``unit/trait/emblem/item/patch.json`` and, when present, the ``vocabulary`` files from a folder of this machine."""
+        return cls.from_texts({path.stem: path.read_text(encoding="utf-8") for path in Path(folder).rglob("*.json")})
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str) -> Dims:
+        """The same from any folder that Spark reads; a name can be a file or, as :meth:`write` leaves it, a folder of one."""
+        files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+        name = F.regexp_extract("path", r"([a-z_]+)\.json(/[^/]*)?$", 1).alias("name")
+        return cls.from_texts({row["name"]: row["value"] for row in files.select(name, "value").filter("name <> ''").collect()})
+
+    @classmethod
+    def from_texts(cls, texts: Mapping[str, str]) -> Dims:
+        """Dimensions from JSON texts by name, such as ``unit`` or ``unit_vocab``."""
 
         def load(name: str, default: object = None) -> object:
-            path = root / name
-            return json.loads(path.read_text(encoding="utf-8")) if path.exists() else default
+            return json.loads(texts[name]) if name in texts else default
 
-        trait_vocab = load("vocabulary/trait_vocab.json")
+        trait_vocab = load("trait_vocab")
         return cls(
-            units={name: Unit(info.get("cost"), tuple(info.get("traits") or ())) for name, info in load("unit.json").items()},
-            traits={name: tuple(points) for name, points in load("trait.json").items()},
-            emblems=load("emblem.json", {}),
-            items=tuple(load("item.json", [])),
-            patches=tuple((name, int(ts)) for name, ts in load("patch.json", {}).items()),
-            unit_vocab=load("vocabulary/unit_vocab.json"),
-            item_vocab=load("vocabulary/item_vocab.json"),
+            units={name: Unit(info.get("cost"), tuple(info.get("traits") or ())) for name, info in load("unit").items()},
+            traits={name: tuple(points) for name, points in load("trait").items()},
+            emblems=load("emblem", {}),
+            items=tuple(load("item", [])),
+            patches=tuple((name, int(ts)) for name, ts in load("patch", {}).items()),
+            unit_vocab=load("unit_vocab"),
+            item_vocab=load("item_vocab"),
             trait_vocab=None if trait_vocab is None else {parse_trait_key(key): i for key, i in trait_vocab.items()},
-            patch_vocab=load("vocabulary/patch_vocab.json"),
+            patch_vocab=load("patch_vocab"),
         )
 
-    def write_json(self, folder: str | Path) -> None:
-        """Write dimensions and vocabularies in the layout that :meth:`from_json` reads."""
-        root = Path(folder)
-        (root / "vocabulary").mkdir(parents=True, exist_ok=True)
+    def texts(self) -> dict[str, str]:
+        """Dimensions and vocabularies as JSON texts by file name."""
         content = {
             "unit.json": {name: {"traits": list(u.traits), "cost": u.cost} for name, u in self.units.items()},
             "trait.json": {name: list(points) for name, points in self.traits.items()},
@@ -154,8 +162,19 @@ class Dims:
             "vocabulary/trait_vocab.json": {f"{t}_{b}": i for (t, b), i in self.trait_vocab.items()},
             "vocabulary/patch_vocab.json": dict(self.patch_vocab),
         }
-        for name, value in content.items():
-            (root / name).write_text(json.dumps(value, indent=2, ensure_ascii=False), encoding="utf-8")
+        return {name: json.dumps(value, ensure_ascii=False) for name, value in content.items()}
+
+    def write_json(self, folder: str | Path) -> None:
+        """Write dimensions and vocabularies in the layout that :meth:`from_json` reads."""
+        root = Path(folder)
+        (root / "vocabulary").mkdir(parents=True, exist_ok=True)
+        for name, text in self.texts().items():
+            (root / name).write_text(text, encoding="utf-8")
+
+    def write(self, spark: SparkSession, folder: str) -> None:
+        """Write them to any folder that Spark writes, in the layout that :meth:`read` reads."""
+        for name, text in self.texts().items():
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
 
 
 def parse_trait_key(key: str) -> tuple[str, int]:
@@ -188,6 +207,21 @@ def dims_from_metadata(metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     return units, traits
 
 
+def built_dims(metadata: DataFrame, rest: Dims | None = None) -> Dims:
+    """Dimensions with units and traits out of one set's metadata, in its order; of entries with one name the last counts.
+
+    Emblems, items and patches are those of ``rest``. More than ``MAX_DIM_ROWS`` entries are refused.
+    """
+    units, traits = (frame.limit(MAX_DIM_ROWS + 1).collect() for frame in dims_from_metadata(metadata))
+    return Dims(
+        units={row["unit"]: Unit(row["cost"], tuple(row["traits"])) for row in units},
+        traits={row["trait"]: tuple(row["breakpoints"]) for row in traits},
+        emblems=rest.emblems if rest else {},
+        items=rest.items if rest else (),
+        patches=rest.patches if rest else (),
+    )
+
+
 def ordered_mapping(df: DataFrame, text: str, value_type: str = "string") -> DataFrame:
     """A JSON object held as text -> ``(pos, key, value)`` rows in the order of the text, with 1-based ``id``."""
     parsed = F.from_json(F.col(text), f"map<string,{value_type}>")

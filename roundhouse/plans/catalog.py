@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundhouse.dims import Dims
+from roundhouse.functions.arrays import literal_array
 from roundhouse.operators.catalog import catalog_items, catalog_traits, catalog_units, item_order, unit_order
 
 
@@ -22,7 +23,7 @@ def build_catalog(
     special_units: Sequence[str] = (),
     hidden_items: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
-    """Units, items and traits in display order.
+    """Units and items in display order, traits in that of the dimension.
 
     ``metadata`` is one row of set metadata (``champions``, ``traits``); ``item_metadata`` has ``apiName, name, tags, icon``.
     """
@@ -36,5 +37,5 @@ def build_catalog(
         "items": catalog_items(
             dims.item_frame(spark).select("item"), dims.emblem_frame(spark), items, set_prefix=set_prefix, hidden=hidden_items
         ).orderBy(*item_order()),
-        "traits": catalog_traits(dims.trait_frame(spark), traits),
+        "traits": catalog_traits(dims.trait_frame(spark), traits).orderBy(F.array_position(literal_array(list(dims.traits), "string"), F.col("trait"))),
     }

@@ -8,12 +8,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from roundhouse.dims import Dims
+from roundhouse.dims import Dims, built_dims
 from roundhouse.operators.sample import sample_boards
 from roundhouse.plans import extract, score, train
+from roundhouse.plans.catalog import build_catalog
 from roundhouse.session import get_spark
 from roundhouse.sources.features import read_feature_order, read_features, write_feature_order
-from roundhouse.sources.rounds import read_requests, read_rounds, write_sample_boards
+from roundhouse.sources.rounds import read_items, read_requests, read_rounds, read_set, write_sample_boards
 from roundhouse.streaming.scorer import stream_score
 
 EXTRACTORS = {
@@ -41,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
         return sub
 
     for name in EXTRACTORS:
-        job(name, "raw-path", "feature-path", "dims")
+        job(name, "raw-path", "feature-path", "dims").add_argument("--short-key", action="store_true", help="leave the player out of the round key")
     job("train-baseline", "feature-path", "model-path").add_argument("--test-size", type=float, default=0.2)
     for name in ("train-cnn", "train-vit"):
         sub = job(name, "feature-path", "model-path")
@@ -49,13 +50,21 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--val-split", type=float, default=0.1)
     for name in ("hpo-cnn", "hpo-vit"):
         sub = job(name, "feature-path", "out")
-        sub.add_argument("--n-trials", type=int, default=50)
+        sub.add_argument("--n-trials", type=int, default=30)
         sub.add_argument("--seed", type=int, default=0)
     sub = job("extract-sample-boards", "raw-path", "out", "dims")
     for option, default in (("per-stage", 10), ("min-units", 3), ("seed", 16)):
         sub.add_argument(f"--{option}", type=int, default=default)
     sub.add_argument("--catalog", help="folder of the written catalog tables units and items; only what they show is sampled")
-    job("score", "requests", "out", "model-path", "dims").add_argument("--kind", choices=("vit", "cnn", "xgboost"), default="vit")
+    sub = job("build-dims", "metadata", "out")
+    sub.add_argument("--set", type=int, required=True)
+    sub.add_argument("--dims", help="folder whose emblems, items and patches are taken over")
+    sub = job("build-catalog", "metadata", "dims", "out", "set-prefix")
+    sub.add_argument("--set", type=int, required=True)
+    for option in ("hidden-units", "special-units", "hidden-items"):
+        sub.add_argument(f"--{option}", nargs="*", default=[])
+    sub = job("score", "requests", "out", "dims")
+    sub.add_argument("--model", action="append", required=True, metavar="KIND=PATH", help="once for each model that requests can name; the first is the default")
     sub = job("stream-score", "raw-path", "out", "model-path", "dims", "state")
     sub.add_argument("--kind", choices=("vit", "cnn", "xgboost"), default="vit")
     sub.add_argument("--keep-running", action="store_true")
@@ -86,7 +95,7 @@ def save(trained: train.Trained, spark: SparkSession, path: str) -> None:
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     """Run one parsed job."""
     if args.job in EXTRACTORS:
-        EXTRACTORS[args.job](spark, args.raw_path, args.feature_path, Dims.from_json(args.dims))
+        EXTRACTORS[args.job](spark, args.raw_path, args.feature_path, Dims.read(spark, args.dims), include_player=not args.short_key)
     elif args.job == "train-baseline":
         features = read_features(spark, args.feature_path)
         names = [c for c in features.columns if c not in extract.KEYS]
@@ -108,18 +117,27 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         raw = read_rounds(spark, args.raw_path).withColumn("_key", F.xxhash64("match_uuid", "player_uuid", "round_name", "timestamp", "board_data"))
         shown = shown_names(spark, args.catalog) if args.catalog else {}
         boards = sample_boards(
-            raw, Dims.from_json(args.dims), key="_key", per_stage=args.per_stage, min_units=args.min_units, seed=args.seed, **shown
+            raw, Dims.read(spark, args.dims), key="_key", per_stage=args.per_stage, min_units=args.min_units, seed=args.seed, **shown
         )
         write_sample_boards(boards, args.out)
+    elif args.job == "build-dims":
+        built_dims(read_set(spark, args.metadata, args.set), Dims.read(spark, args.dims) if args.dims else None).write(spark, args.out)
+    elif args.job == "build-catalog":
+        tables = build_catalog(
+            spark, Dims.read(spark, args.dims), read_set(spark, args.metadata, args.set), read_items(spark, args.metadata), set_prefix=args.set_prefix,
+            hidden_units=args.hidden_units, special_units=args.special_units, hidden_items=args.hidden_items,
+        )
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{args.out}/{name}")
     elif args.job == "score":
-        models = {args.kind: load_scorer(spark, args.model_path, args.kind)}
-        scored, rejected = score.score_requests(read_requests(spark, args.requests), models, Dims.from_json(args.dims))
+        models = {kind: load_scorer(spark, path, kind) for kind, _, path in (model.partition("=") for model in args.model)}
+        scored, rejected = score.score_requests(read_requests(spark, args.requests), models, Dims.read(spark, args.dims))
         scored.write.mode("overwrite").parquet(args.out)
         rejected.select("request_id", "violations").write.mode("overwrite").parquet(args.out + "_rejected")
     else:
         scorer = load_scorer(spark, args.model_path, args.kind)
         query = stream_score(
-            spark, args.raw_path, args.out, args.state, scorer, Dims.from_json(args.dims), once=not args.keep_running
+            spark, args.raw_path, args.out, args.state, scorer, Dims.read(spark, args.dims), once=not args.keep_running
         )
         query.awaitTermination()
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roundhouse.schema import REQUESTS, ROUNDS
+from roundhouse.schema import ITEM, REQUESTS, ROUNDS, SET
 
 
 def read_rounds(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = ROUNDS) -> DataFrame:
@@ -45,6 +46,21 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def read_set(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """One row ``champions, traits`` of set ``number`` out of a document whose ``sets`` are a list or an object."""
+    text = spark.read.text(path, wholetext=True)
+    chosen = F.coalesce(*[F.get_json_object("value", place) for place in (f"$.sets[{number}]", f"$.sets['{number}']")])
+    found = text.select(F.from_json(chosen, SET).alias("set"))
+    if found.filter("set is null").count():
+        raise ValueError(f"{path} has no set {number}")
+    return found.select("set.*")
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """``apiName, name, tags, icon`` of the items in the same document."""
+    return spark.read.schema(f"items array<{ITEM}>").option("multiLine", True).json(path).select(F.inline("items"))
+
+
 def write_sample_boards(boards: DataFrame, path: str) -> None:
     """Sampled boards as JSON lines, in their order; the sample is a bounded report, hence one file."""
     boards.coalesce(1).write.mode("overwrite").json(path)

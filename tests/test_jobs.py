@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from roundhouse.dims import Dims, Unit
 from roundhouse.plans import catalog, jobs
 from test_models import game
 
@@ -23,10 +24,10 @@ def test_extract_train_sample_score_and_stream(spark, dims, tmp_path):
     jobs.main(["extract-sample-boards", "--raw-path", path["raw"], "--out", path["boards"], "--per-stage", "4", *static])
     assert spark.read.json(path["boards"]).count() == 4
     request = {"request_id": "a", "model": "xgboost", "player": [{"unit": "U1", "tier": 2, "row": 0, "col": 0}], "opponent": []}
-    (tmp_path / "requests").write_text("\n".join(json.dumps(r) for r in (request, {**request, "request_id": "b", "model": "tree"})))
-    jobs.main(["score", "--requests", path["requests"], "--out", path["scores"], "--model-path", path["tree"], "--kind", "xgboost", *static])
-    (scored,) = spark.read.parquet(path["scores"]).collect()
-    assert scored.request_id == "a" and 0 < scored.win_probability < 1
+    (tmp_path / "requests").write_text("\n".join(json.dumps(r) for r in (request, {**request, "request_id": "b", "model": "tree"}, {**request, "request_id": "c", "model": "ViT"})))
+    jobs.main(["score", "--requests", path["requests"], "--out", path["scores"], "--model", f"xgboost={path['tree']}", "--model", f"vit={path['board']}", *static])
+    scored = {r.request_id: r for r in spark.read.parquet(path["scores"]).collect()}
+    assert {k: r.model for k, r in scored.items()} == {"a": "xgboost", "c": "vit"} and all(0 < r.win_probability < 1 for r in scored.values())
     assert [r.violations for r in spark.read.parquet(path["scores"] + "_rejected").collect()] == [["model"]]
     jobs.main(["stream-score", "--raw-path", path["raw"], "--out", path["stream"], "--model-path", path["board"], "--state", path["state"], *static])
     assert spark.read.parquet(path["stream"]).count() == 80
@@ -46,6 +47,33 @@ def test_catalog_job(spark, dims):
     assert {r.trait: (r.breakpoints, r.unique, r.has_icon) for r in built["traits"].collect()} == {"TraitA": ([2, 4], False, True), "TraitB": ([1, 3], False, False)}
 
 
+@pytest.mark.parametrize("as_list", [True, False])
+def test_dims_and_catalog_from_metadata(spark, dims, tmp_path, as_list):
+    chosen = {
+        "champions": [{"apiName": "U9", "name": "Nine", "cost": 4, "traits": ["Zeta"]}, {"apiName": "U1", "name": "One"}, {"apiName": "U2", "cost": 2, "traits": []}],
+        "traits": [{"name": "Zeta", "icon": "z.tex", "effects": [{"minUnits": 2}, {}, {"minUnits": 4}]}, {"name": "Alpha"}],
+    }
+    items = [{"apiName": "Item1", "name": "Zap", "tags": ["component"], "icon": "i"}, {"apiName": "Other"}]
+    (tmp_path / "meta.json").write_text(json.dumps({"sets": [{}, {}, chosen] if as_list else {"2": chosen}, "items": items}, indent=1))
+    dims.write_json(tmp_path / "old")
+    folder = {name: str(tmp_path / name) for name in ("meta.json", "old", "new", "catalog")}
+    jobs.main(["build-dims", "--metadata", folder["meta.json"], "--set", "2", "--dims", folder["old"], "--out", folder["new"]])
+    built = Dims.read(spark, folder["new"])
+    assert built == Dims(
+        units={"U9": Unit(4, ("Zeta",)), "U1": Unit(None, ()), "U2": Unit(2, ())},
+        traits={"Zeta": (2, 4), "Alpha": ()}, emblems=dims.emblems, items=dims.items, patches=dims.patches,
+    )
+    assert list(built.unit_vocab) == ["U9", "U1", "U2"] and Dims.read(spark, folder["old"]) == dims
+    command = ["build-catalog", "--metadata", folder["meta.json"], "--set", "2", "--dims", folder["new"], "--out", folder["catalog"], "--set-prefix", "S"]
+    jobs.main([*command, "--hidden-units", "U2", "--hidden-items", "Item2"])
+    tables = {name: spark.read.parquet(f"{folder['catalog']}/{name}").collect() for name in ("units", "items", "traits")}
+    assert {r.unit: r.name for r in tables["units"]} == {"U9": "Nine", "U1": "One"}
+    assert {r.item: (r.name, r.has_icon) for r in tables["items"]} == {"Item1": ("Zap", True), "Item3": ("Item3", False)}
+    assert {r.trait: (r.breakpoints, r.has_icon) for r in tables["traits"]} == {"Zeta": ([2, 4], True), "Alpha": ([], False)}
+    with pytest.raises(ValueError, match="no set 7"):
+        jobs.main(["build-dims", "--metadata", folder["meta.json"], "--set", "7", "--out", folder["new"]])
+
+
 def test_unknown_job_is_refused():
     with pytest.raises(SystemExit):
         jobs.main(["nothing"])
