@@ -74,9 +74,19 @@ def unit_enrich(spark, d):
     UNION ALL SELECT round_key, team, {P}, 0 FROM units WHERE unit NOT IN (SELECT unit FROM unit_dim)""",
 )
 def catalog_semi_anti(spark, d):
-    rows = adapter.units(spark, d)
-    known, unknown = (catalog.catalog_known(rows, dims(), known=k).withColumn("known", F.lit(int(k))) for k in (True, False))
-    return known.unionByName(unknown).select("round_key", "team", *pos(), "known")
+    """Both sides at once, as a flag."""
+    flagged = catalog.catalog_flagged(adapter.units(spark, d), dims())
+    return flagged.select("round_key", "team", *pos(), F.col("known").cast("int").alias("known"))
+
+
+@query("catalog_semi", f"{FLAT} SELECT round_key, team, {P} FROM units WHERE unit IN (SELECT unit FROM unit_dim)")
+def catalog_semi(spark, d):
+    return catalog.catalog_known(adapter.units(spark, d), dims()).select("round_key", "team", *pos())
+
+
+@query("catalog_anti", f"{FLAT} SELECT round_key, team, {P} FROM units WHERE unit NOT IN (SELECT unit FROM unit_dim)")
+def catalog_anti(spark, d):
+    return catalog.catalog_known(adapter.units(spark, d), dims(), known=False).select("round_key", "team", *pos())
 
 
 # -- cells and items ---------------------------------------------------------------------------------------------------
@@ -296,20 +306,36 @@ def usable_flat(spark, d):
 SLOT_NAMES = [(f"{t}_{name}_{level}", t, name, level) for t in ("player", "opponent") for name, level in dims().trait_levels]
 
 
-@query(
-    "trait_onehot",
+ONEHOT_SQL = (
     f"{FLAT}{ENRICHED}{USABLE}{COPIES}{REACHED.format(counts='copies')} SELECT round_key, "
     + ", ".join(
         f"""cast(coalesce(max(CASE WHEN team = '{t}' AND trait = '{n}' AND level = {v} THEN 1 END), 0) AS int) AS "{c}" """
         for c, t, n, v in SLOT_NAMES
     )
-    + " FROM usable LEFT JOIN reached USING (round_key) GROUP BY round_key",
+    + " FROM usable LEFT JOIN reached USING (round_key) GROUP BY round_key"
 )
+
+
+@query("trait_onehot", ONEHOT_SQL)
 def trait_onehot(spark, d):
+    """The columns in one pass over the unit rows."""
+    flags = onehot_flags(spark, d)
+    return assemble.spread(flags, "onehot", [c for c, *_ in SLOT_NAMES]).select("round_key", *[F.col(f"`{c}`").cast("int").alias(c) for c, *_ in SLOT_NAMES])
+
+
+@query("trait_onehot_long", ONEHOT_SQL)
+def trait_onehot_long(spark, d):
+    """The same from trait counts as rows."""
     active = traits.active_traits(trait_count_copies(spark, d), dims())
     return traits.trait_onehot_pivot(active, usable_flat(spark, d), KEY, dims())
 
 
+def onehot_flags(spark, d):
+    vector = assemble.onehot_vectors(enriched(spark, d), KEY, dims()).filter("both_sides").drop("both_sides")
+    wanted = adapter.rounds(spark, d).filter(rounds.countable_round()).select("round_key")
+    return vector.join(wanted, KEY)
+
+
 @query(
     "trait_onehot_vector",
     f"{FLAT}{ENRICHED}{USABLE}{COPIES}{REACHED.format(counts='copies')} SELECT round_key, concat_ws(',', "
@@ -317,9 +343,7 @@ def trait_onehot(spark, d):
     + ") AS onehot FROM usable LEFT JOIN reached USING (round_key) GROUP BY round_key",
 )
 def trait_onehot_vector(spark, d):
-    vector = assemble.onehot_vectors(enriched(spark, d), KEY, dims()).filter("both_sides")
-    wanted = adapter.rounds(spark, d).filter(rounds.countable_round()).select("round_key")
-    return vector.join(wanted, KEY).select("round_key", F.array_join("onehot", ",").alias("onehot"))
+    return onehot_flags(spark, d).select("round_key", F.array_join("onehot", ",").alias("onehot"))
 
 
 IDS_SQL = """, ids AS (
