@@ -1,14 +1,13 @@
 """Main text of web pages by deducing each host's template from classes of tokens that occur alike.
 
-Tokens of a page are its structural tags and words, each told apart by its role: the path of block elements it stands in. A token's
-occurrence vector holds its count on every page of the host. Vectors aren't kept: each is summed up as ``count * r(page)`` with a random
-64-bit number for each page, so equal vectors have equal sums and a host's pages, however many, are summed on the map side.
-
-1. Classes: tokens of a host with equal vectors. Large and frequent ones (several tokens, most pages of the host) are the template. A class
-   is valid if its roles nest, that is, hang below one element; a class lies in the slot of the class above its path.
-2. The template cuts a page into slots. Slots below elements that hold menus, forms, notices and the like are dropped, and so are text
-   nodes made of template tokens only. If the pages name no article, the host's slots are weighed by the text in them that isn't
-   linked, and the heaviest path is the article.
+Tokens of a page are its elements, words and blocks of text, each told apart by its role: the path of block elements it stands in. A
+token's occurrence vector holds its count on every page of the host. Vectors aren't kept: each is summed up as ``count * r(page)`` with a
+random 64-bit number for each page, so equal vectors have equal sums and a host's pages, however many, are summed on the map side.
+
+1. Classes: frequent tokens of a host (on most of its pages) with equal vectors that lie in one slot. Large ones (several words or elements)
+   are the template, and form a tree: a class's slot is an element of the class above it.
+2. Blocks made of template tokens only are dropped wherever they stand, in ``article`` and ``main`` too, and so are slots below elements
+   that hold menus, forms, notices and the like. ``article`` and ``main`` are hints: they are followed if they hold most of what is left.
 3. What the remaining slots hold is the text, in page order.
 """
 
@@ -17,7 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,65 +62,126 @@ def role(name: str, attributes: str) -> tuple[str, bool]:
     return (f"{name}.{step}" if step else name), dropped
 
 
-def text_nodes(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """Blocks of a page, in order: path, text, whether it is outside the article by its elements, inside an article element, and in a link.
+class Page:
+    """A page's elements and blocks of text, in order.
 
     Inline elements don't cut a block, ``br`` is a space. Open paragraphs and items end where HTML says; what isn't closed is open.
+    Of each element: ``names``, ``paths``, ``parents`` (-1: none; always before the element) and ``marks`` (outside the article by itself).
+    ``blocks`` are ``(element, text, linked)``.
     """
-    stack: list[tuple[str, str, bool, bool]] = []  # name, step, dropped, in an article
-    parts: list[str] = []
-    linked = total = 0
-    in_link = False
-    at = 0
-
-    def state() -> tuple[str, bool, bool]:
-        return ">".join(s[1] for s in stack), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]
-
-    def block() -> Iterator[tuple[str, str, bool, bool, bool]]:
-        nonlocal linked, total
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        if text:
-            path, dropped, inside = state()
-            yield path, text, dropped, inside, linked * 2 > total
-        parts.clear()
-        linked = total = 0
 
-    for found in iter(lambda: TAG.search(page, at), None):
-        if found.start() > at:
-            parts.append(page[at : found.start()])
-            total += found.start() - at
-            linked += (found.start() - at) * in_link
-        at = found.end()
-        name = found[2]
-        if name is None:
-            continue
-        name, closing = name.lower(), bool(found[1])
-        if name == "a":
-            in_link = not closing
-        if name == "br":
-            parts.append(" ")
-        if name in INLINE or name == "br":
-            continue
+    def __init__(self, page: str):
+        self.names: list[str] = []
+        self.paths: list[str] = []
+        self.parents: list[int] = []
+        self.marks: list[bool] = []
+        self.blocks = list(self.read(page))
+
+    def path(self, element: int) -> str:
+        return self.paths[element] if element >= 0 else ""
+
+    def read(self, page: str) -> Iterator[tuple[int, str, bool]]:
+        stack: list[int] = []
+        parts: list[str] = []
+        linked = total = 0
+        in_link = False
+        at = 0
+
+        def block() -> Iterator[tuple[int, str, bool]]:
+            nonlocal linked, total
+            text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+            if text:
+                yield stack[-1] if stack else -1, text, linked * 2 > total
+            parts.clear()
+            linked = total = 0
+
+        for found in iter(lambda: TAG.search(page, at), None):
+            if found.start() > at:
+                parts.append(page[at : found.start()])
+                total += found.start() - at
+                linked += (found.start() - at) * in_link
+            at = found.end()
+            name = found[2]
+            if name is None:
+                continue
+            name, closing = name.lower(), bool(found[1])
+            if name == "a":
+                in_link = not closing
+            if name == "br":
+                parts.append(" ")
+            if name in INLINE or name == "br":
+                continue
+            yield from block()
+            if name in RAW and not closing:
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            if closing:
+                for k in range(len(stack) - 1, -1, -1):
+                    if self.names[stack[k]] == name:
+                        del stack[k:]
+                        break
+                continue
+            if stack and (self.names[stack[-1]] in CLOSES.get(name, ()) or self.names[stack[-1]] == "p"):
+                stack.pop()
+            if name not in VOID:
+                step, marked = role(name, found[3])
+                parent = stack[-1] if stack else -1
+                stack.append(len(self.names))
+                self.names.append(name)
+                self.paths.append(f"{self.paths[parent]}>{step}" if stack[0] != stack[-1] else step)
+                self.parents.append(parent)
+                self.marks.append(marked)
+        parts.append(page[at:])
+        total += len(page) - at
+        linked += (len(page) - at) * in_link
         yield from block()
-        if name in RAW and not closing:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            continue
-        if stack and stack[-1][0] in CLOSES.get(name, ()) or (stack and stack[-1][0] == "p"):
-            stack.pop()
-        step, dropped = role(name, found[3])
-        dropped |= bool(stack) and stack[-1][2]
-        inside = name in ARTICLE or (bool(stack) and stack[-1][3])
-        if name not in VOID:
-            stack.append((name, step, dropped, inside))
-    parts.append(page[at:])
-    yield from block()
+
+    def inherited(self, own: Iterable[bool]) -> list[bool]:
+        """For each element, whether it or one above it has the property."""
+        out: list[bool] = []
+        for parent, x in zip(self.parents, own):
+            out.append(bool(x) or (parent >= 0 and out[parent]))
+        return out
+
+    def mass(self, blocks: Iterable[tuple[int, str, bool]]) -> list[int]:
+        """For each element, the characters of these blocks in it that aren't linked."""
+        out = [0] * len(self.names)
+        for element, text, linked in blocks:
+            if element >= 0 and not linked:
+                out[element] += len(text)
+        for k in range(len(out) - 1, -1, -1):
+            if self.parents[k] >= 0:
+                out[self.parents[k]] += out[k]
+        return out
+
+    def tokens(self) -> Iterator[tuple[str, str]]:
+        """Path and word of each token: ``""`` for an element, the words of a path with one block, and a space and the text for a block.
+
+        Where a path repeats, as in running text, a word doesn't tell its place; there the block as a whole is the token.
+        """
+        often = Counter(self.path(b[0]) for b in self.blocks)
+        yield "", ""
+        for path in self.paths:
+            yield path, ""
+        for element, text, _ in self.blocks:
+            path = self.path(element)
+            yield path, f" {text}"
+            if often[path] == 1:
+                for word in text.split():
+                    yield path, word
+
+    def without(self, fixed: frozenset[int]) -> list[tuple[int, str, bool]]:
+        """Blocks that aren't of the template's tokens only."""
+        if not fixed:
+            return self.blocks
+        often = Counter(self.path(b[0]) for b in self.blocks)
+
+        def of_template(block: tuple[int, str, bool]) -> bool:
+            path = self.path(block[0])
+            return spark_hash(path, f" {block[1]}") in fixed or (often[path] == 1 and all(spark_hash(path, w) in fixed for w in block[1].split()))
+
+        return [b for b in self.blocks if not of_template(b)]
 
 
 def hashed(text: str) -> int:
@@ -131,79 +191,90 @@ def hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
 
-TOKENS = pa.schema([("host", pa.string()), ("path", pa.string()), ("word", pa.string()), ("vector", pa.int64()), ("pages", pa.int64()), ("count", pa.int64()), ("mass", pa.int64()), ("article", pa.int64())])
+#: ``words`` is 0 for elements, and what a block has for blocks
+TOKENS = pa.schema([("host", pa.string()), ("path", pa.string()), ("token", pa.int64()), ("words", pa.int64()), ("vector", pa.int64()), ("pages", pa.int64()), ("count", pa.int64())])
+#: sums that a task keeps before it hands them on
+HELD = 100_000
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """Sums for each host and token of ``row, host, html``: a row for each batch. Paths that repeat on a page hold data, so their words aren't tokens."""
+    """Sums for each host and token of ``row, host, html``, in parts."""
+
+    def handed(sums: dict[tuple[str, str, str], list[int]]) -> pa.RecordBatch:
+        keys, values = list(sums), np.array([[v[0] - (1 << 64) if v[0] >> 63 else v[0], *v[1:]] for v in sums.values()], np.int64).reshape(-1, 3)
+        ids = [spark_hash(path, word) for _, path, word in keys]
+        words = [len(word.split()) for _, _, word in keys]
+        arrays = [pa.array([k[i] for k in keys], pa.string()) for i in range(2)] + [pa.array(x, pa.int64()) for x in (ids, words)] + [pa.array(values[:, i]) for i in range(3)]
+        return pa.RecordBatch.from_arrays(arrays, schema=TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
+            sums: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
             for row, host, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 weight = hashed(f"page {row}")
-                nodes = [n for n in text_nodes(page or "")]
-                often = Counter(n[0] for n in nodes)
-                found: Counter[tuple[str, str]] = Counter()
-                mass: Counter[str] = Counter()
-                for path, text, dropped, inside, linked in nodes:
-                    if often[path] == 1 and not inside:
-                        found.update((path, w) for w in text.split())
-                    if not dropped and not linked:
-                        mass[path.rpartition(">")[0]] += len(text)
-                for path, n in often.items():
-                    found[path, ""] = n
-                found["", ""] = 1
-                article = int(any(n[3] and not n[2] for n in nodes))
-                for (path, word), n in found.items():
+                for (path, word), n in Counter(Page(page or "").tokens()).items():
                     own = sums[host, path, word]
                     own[0] = (own[0] + n * weight) & 0xFFFFFFFFFFFFFFFF
                     own[1] += 1
                     own[2] += n
-                for path, n in mass.items():
-                    sums[host, path, ""][3] += n
-                sums[host, "", ""][4] += article
-            keys, values = list(sums), np.array([[v[0] - (1 << 64) if v[0] >> 63 else v[0], *v[1:]] for v in sums.values()], np.int64).reshape(-1, 5)
-            arrays = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(values[:, i]) for i in range(5)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=TOKENS)
+                if len(sums) >= HELD:
+                    yield handed(sums)
+                    sums.clear()
+            yield handed(sums)
+
+    return pages.mapInArrow(run, "host string, path string, token bigint, words bigint, vector bigint, pages bigint, count bigint")
+
 
-    return pages.mapInArrow(run, "host string, path string, word string, vector bigint, pages bigint, count bigint, mass bigint, article bigint")
+def template(found: list[dict]) -> list[int]:
+    """The template's words and blocks among a host's frequent tokens (``path, token, words, vector, count``), sorted.
+
+    A class lies in a slot: the lowest element above its tokens that occurs otherwise than they do. Tokens with equal vectors in different
+    slots don't nest, so they are classes of their own, and each must be large enough.
+    """
+    elements = {t["path"]: (t["vector"], t["count"]) for t in found if t["words"] == 0}
+    classes: dict[tuple, list[dict]] = defaultdict(list)
+    for t in found:
+        vector, slot = (t["vector"], t["count"]), t["path"]
+        while slot and elements.get(slot) == vector:
+            slot = slot.rpartition(">")[0]
+        classes[vector, slot].append(t)
+    valid = [c for c in classes.values() if sum(max(1, t["words"]) for t in c) >= CLASS_TOKENS]
+    return sorted({t["token"] for c in valid for t in c if t["words"]})
 
 
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """``host, fixed, region``: hashes of template words with their paths, and the path of the article where pages name none.
+    """``host, fixed``: hashes of the template's words and blocks with their paths, for hosts with enough pages.
 
-    ``pages`` has ``row, host, html``. One row for each host; ``fixed`` is as long as what most pages of the host share.
+    ``pages`` has ``row, host, html``. ``fixed`` is as long as what most pages of the host share.
     """
     # sums of sums: the vector's sum runs modulo 2 ** 64, which decimal keeps apart from overflow
     wide = F.sum(F.col("vector").cast("decimal(38,0)"))
-    found = tokens(pages).groupBy("host", "path", "word").agg(wide.alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "count", "mass", "article")))
+    found = tokens(pages).groupBy("host", "path", "token", "words").agg(wide.alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "count")))
     two64 = F.lit(str(1 << 64)).cast("decimal(38,0)")
-    found = scratch.save(found.withColumn("vector", ((F.col("vector") % two64) + two64) % two64))
-    hosts = found.where("path = '' AND word = ''").select("host", F.col("pages").alias("of"), "article")
-    often = found.join(hosts.drop("article"), "host").where((F.col("of") >= ENOUGH_PAGES) & (F.col("pages") >= FREQUENT * F.col("of")))
-    classes = often.groupBy("host", "vector", "count").agg(F.count("*").alias("size"), F.min("path").alias("top"), F.collect_list(F.struct("path", "word")).alias("tokens"))
-    # roles nest below one element: every path goes on from the part that the class shares
-    nested = F.forall("tokens", lambda t: t["path"].startswith(F.substring_index("top", ">", 1)))
-    fixed = classes.where((F.col("size") >= CLASS_TOKENS) & nested).select("host", F.explode("tokens").alias("t")).where("t.word <> ''")
-    fixed = fixed.groupBy("host").agg(F.sort_array(F.collect_set(F.xxhash64("t.path", "t.word"))).alias("fixed"))
-    heavy = found.where("mass > 0").groupBy("host").agg(F.max_by("path", F.struct("mass", "path")).alias("region"))
-    unnamed = heavy.join(hosts, "host").select("host", F.when(F.col("article") * 2 < F.col("of"), F.col("region")).alias("region"))
-    return hosts.select("host").join(fixed, "host", "left").join(unnamed, "host", "left")
-
-
-def main_text(page: str, fixed: frozenset[tuple[str, str]] | frozenset[int], region: str | None, key=None) -> str:
+    found = found.where(F.col("pages") >= FREQUENT * ENOUGH_PAGES)  # fewer are never frequent
+    found = scratch.save(found.withColumn("vector", (((F.col("vector") % two64) + two64) % two64).cast("string")))
+    hosts = found.where("path = '' AND words = 0").select("host", F.col("pages").alias("of"))
+    often = found.join(hosts, "host").where((F.col("of") >= ENOUGH_PAGES) & (F.col("pages") >= FREQUENT * F.col("of")))
+    listed = often.groupBy("host").agg(F.collect_list(F.struct("path", "token", "words", "vector", "count")).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fixed = [template(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, pa.list_(pa.int64()))], names=["host", "fixed"])
+
+    return listed.mapInArrow(run, "host string, fixed array<bigint>")
+
+
+def main_text(page: str, fixed: frozenset[int] = frozenset()) -> str:
     """Text of the slots that are left of a page."""
-    nodes = [n for n in text_nodes(page) if not n[2]]
-    inside = [n[1] for n in nodes if n[3]]
-    if inside:
-        return " ".join(inside)
-    if region:
-        own = [n for n in nodes if n[0] == region or n[0].startswith(region + ">")]
-        nodes = own or nodes
-    if fixed and key:
-        nodes = [n for n in nodes if not all(key(n[0], w) in fixed for w in n[1].split())]
-    return " ".join(n[1] for n in nodes)
+    read = Page(page)
+    dropped = read.inherited(read.marks)
+    blocks = [b for b in read.without(fixed) if b[0] < 0 or not dropped[b[0]]]
+    named = read.inherited(n in ARTICLE for n in read.names)
+    inside = [b for b in blocks if b[0] >= 0 and named[b[0]]]
+    if 2 * sum(len(b[1]) for b in inside if not b[2]) >= sum(len(b[1]) for b in blocks if not b[2]):
+        blocks = inside or blocks
+    return " ".join(b[1] for b in blocks)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -213,26 +284,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     hosts with few pages are cut by their elements alone. An empty table gives no rows.
     """
     scratch = Scratch(pages.sparkSession, "templates")
-    host, fixed, region, out = fresh(pages.columns, "host_", "fixed_", "region_", "main_text")
+    host, fixed, out = fresh(pages.columns, "host_", "fixed_", "main_text")
     of_host: Column = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), HOST, 1), F.lit("")))
     rows = pages.select(F.xxhash64(id_col, url_col, html_col).alias("row"), of_host.alias("host"), F.col(html_col).alias("html"))
-    found = scratch.save(templates(rows, scratch).where("fixed IS NOT NULL OR region IS NOT NULL"))
-    words = found.select(F.col("host").alias(host), F.col("fixed").alias(fixed), F.col("region").alias(region))
+    found = scratch.save(templates(rows, scratch).where("size(fixed) > 0"))
+    words = found.select(F.col("host").alias(host), F.col("fixed").alias(fixed))
 
     @arrow_udf(T.StringType())
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, fixed_words, regions in batches:
-            texts, regions = texts.to_pylist(), regions.to_pylist()
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, fixed_words in batches:
             out, last, known = [], None, frozenset()
-            for k, page in enumerate(texts):
+            for k, page in enumerate(texts.to_pylist()):
                 listed = fixed_words[k]
                 if listed.is_valid and (last is None or not listed.equals(last)):
                     last, known = listed, frozenset(listed.as_py())
-                out.append(main_text(page or "", known if listed.is_valid else frozenset(), regions[k], spark_hash))
+                out.append(main_text(page or "", known if listed.is_valid else frozenset()))
             yield pa.array(out, pa.string())
 
     joined = pages.withColumn(host, of_host).join(words, host, "left")
-    return joined.withColumn(out, run(F.col(html_col), F.col(fixed), F.col(region))).select(*pages.columns, out)
+    return joined.withColumn(out, run(F.col(html_col), F.col(fixed))).select(*pages.columns, out)
 
 
 def spark_hash(path: str, word: str) -> int:

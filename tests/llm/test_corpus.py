@@ -99,6 +99,32 @@ def test_pages(spark):
     assert templates.extract(frame.where("page_id < 0")).collect() == []
 
 
+def texts_of(spark, pages):
+    """Main texts of (url, html), in order."""
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r.main_text for r in templates.extract(frame).orderBy("page_id").collect()]
+
+
+def test_template_decides_inside_articles(spark):
+    notice = "<p>Share this story with the people you know</p>"
+    pages = [(f"http://n.org/{k}", f"<body><article><h1>T{k}</h1><p>Story{k} of this page</p>{notice if k else ''}<p>End{k}</p><div class=x>Sent to you by us</div></article></body>") for k in range(12)]
+    cards = "<article><h2>Card {k}</h2></article><article><h2>Tease {k}</h2></article>"
+    pages += [(f"http://c.org/{k}", f"<body><div class=text><p>{f'story{k} ' * 30}</p></div>{cards.replace('{k}', str(k))}</body>") for k in range(12)]
+    got = texts_of(spark, pages)
+    assert got[:12] == [f"T{k} Story{k} of this page End{k}" for k in range(12)]
+    assert all(f"story{k} story{k}" in got[12 + k] for k in range(12))
+
+
+def test_template_classes_nest():
+    def token(path, token, words, vector):
+        return {"path": path, "token": token, "words": words, "vector": vector, "count": 12}
+
+    tree = [token("", 0, 0, "1"), token("a", 1, 0, "1"), token("a>b", 2, 0, "2"), token("a>c", 3, 0, "3")]
+    # equal vectors in two slots: neither is large enough by itself
+    assert templates.template([*tree, token("a>b", 4, 1, "9"), token("a>b", 5, 1, "9"), token("a>c", 6, 1, "9")]) == []
+    assert templates.template([*tree, token("a>b", 4, 1, "9"), token("a>b", 5, 2, "9"), token("a>c", 6, 1, "9")]) == [4, 5]
+
+
 def test_spark_hash(spark):
     for a, b in (("html>body", "word"), ("", "é" * 40), ("x" * 100, "")):
         assert templates.spark_hash(a, b) == spark.range(1).select(F.xxhash64(F.lit(a), F.lit(b))).first()[0]
