@@ -7,8 +7,10 @@ random 64-bit number for each page, so equal vectors have equal sums and a host'
 1. Classes: frequent tokens of a host (on most of its pages) with equal vectors that lie in one slot. Large ones (several words or elements)
    are the template, and form a tree: a class's slot is an element of the class above it.
 2. Blocks made of template tokens only are dropped wherever they stand, in ``article`` and ``main`` too, and so are slots below elements
-   that hold menus, forms, notices and the like. ``article`` and ``main`` are hints: they are followed if they hold most of what is left.
-3. What the remaining slots hold is the text, in page order.
+   that hold menus, forms, notices and the like.
+3. The article is the lowest element of the page that holds nearly all text that is left and isn't linked, with the elements around it
+   that add more text than links or cards. ``article`` and ``main`` are hints: one that stands alone is followed if it holds most of that text.
+4. What the article's slots hold is the text, in page order.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from roundhouse.llm.shared import Scratch, fresh
 
 #: a template class has at least so many tokens, and is on at least this share of a host's pages, of which there are enough to tell
 CLASS_TOKENS, FREQUENT, ENOUGH_PAGES = 3, 0.8, 10
+#: share of a page's text that counts as nearly all
+NEARLY = 0.9
 
 # fixed values: elements of HTML by what they mean here
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -265,16 +269,59 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return listed.mapInArrow(run, "host string, fixed array<bigint>")
 
 
+def article_root(read: Page, blocks: list[tuple[int, str, bool]]) -> int:
+    """The element that holds the article (-1: the page) among blocks that neither the template nor a mark has dropped.
+
+    An article or main element that stands alone and holds most of the text is it. Otherwise it is the lowest element with nearly all
+    text; then the elements around it, as long as they add more text than links. A heading, a lead or a short section beside a long one adds
+    text. Cards, several article elements that hold the lesser part of the text, count as links.
+    """
+    total = sum(len(b[1]) for b in blocks if not b[2])
+    mass = read.mass(blocks)
+    named = [k for k, n in enumerate(read.names) if n in ARTICLE and mass[k]]
+    inner = read.inherited(n in ARTICLE for n in read.names)
+    outer = [k for k in named if read.parents[k] < 0 or not inner[read.parents[k]]]
+    held = sum(mass[k] for k in outer)
+    if len(outer) == 1 and 2 * held >= total:
+        return outer[0]
+    cards = len(outer) > 1 and 2 * held < total
+    other = [b[2] or (cards and b[0] >= 0 and inner[b[0]]) for b in blocks]
+    mass = read.mass(b for b, x in zip(blocks, other) if not x)
+    total = sum(len(b[1]) for b, x in zip(blocks, other) if not x)
+    if not total:
+        return -1
+    # below an element that has nearly all text, at most one has; the last of them is the lowest
+    root = max((k for k, n in enumerate(mass) if n >= NEARLY * total), default=-1)
+    furniture = read.mass((e, text, False) for (e, text, _), x in zip(blocks, other) if x)
+    while root >= 0:
+        parent = read.parents[root]
+        links = furniture[parent] if parent >= 0 else sum(len(b[1]) for b, x in zip(blocks, other) if x)
+        if links - furniture[root] > (mass[parent] if parent >= 0 else total) - mass[root]:
+            break
+        root = parent
+    return root
+
+
+def of_article(read: Page, blocks: list[tuple[int, str, bool]]) -> list[tuple[int, str, bool]]:
+    """Blocks of the article: those in its root, and if its title stands before, what isn't linked from there on."""
+    root = article_root(read, blocks)
+    if root < 0:
+        return blocks
+    below = read.inherited(k == root for k in range(len(read.names)))
+    inside = [e >= 0 and below[e] for e, _, _ in blocks]
+    first = inside.index(True)
+    cards = read.inherited(n in ARTICLE for n in read.names)
+    plain = [not linked and not (e >= 0 and cards[e]) for e, _, linked in blocks]
+    title = next((k for k in range(first) if plain[k] and blocks[k][0] >= 0 and read.names[blocks[k][0]] == "h1"), first)
+    return [b for k, b in enumerate(blocks) if inside[k] or (title <= k < first and plain[k])]
+
+
 def main_text(page: str, fixed: frozenset[int] = frozenset()) -> str:
     """Text of the slots that are left of a page."""
     read = Page(page)
     dropped = read.inherited(read.marks)
     blocks = [b for b in read.without(fixed) if b[0] < 0 or not dropped[b[0]]]
-    named = read.inherited(n in ARTICLE for n in read.names)
-    inside = [b for b in blocks if b[0] >= 0 and named[b[0]]]
-    if 2 * sum(len(b[1]) for b in inside if not b[2]) >= sum(len(b[1]) for b in blocks if not b[2]):
-        blocks = inside or blocks
-    return " ".join(b[1] for b in blocks)
+    return " ".join(b[1] for b in of_article(read, blocks))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -125,6 +125,30 @@ def test_template_classes_nest():
     assert templates.template([*tree, token("a>b", 4, 1, "9"), token("a>b", 5, 2, "9"), token("a>c", 6, 1, "9")]) == [4, 5]
 
 
+def test_article_root_keeps_nested_parts(spark):
+    def side(k):
+        return f"<div class=more><p><a href=/1>other{k} one</a></p><p><a href=/2>other{k} two</a></p></div>"
+
+    def nested(k):
+        return f"<body>{side(k)}<div class=story><h1>Title{k}</h1><p>Lead{k} here</p><section class=a><p>{f'a{k} ' * 60}</p></section><section class=b><p>{f'b{k} ' * 3}</p></section></div></body>"
+
+    def items(k):
+        return f"<body>{side(k)}<div class=text><p>Before{k}</p><ul>{''.join(f'<li>item{k}x{i} of the list</li>' for i in range(20))}</ul><blockquote>Said{k}</blockquote><table><tr><td>cell{k}</td></tr></table></div></body>"
+
+    def apart(k):
+        return f"<body>{side(k)}<h1>Title{k}</h1><p><a href=/by>author</a></p><p>Lead{k} here</p><div class=text><p>{f'a{k} ' * 90}</p></div>{side(k) * 3}</body>"
+
+    makers = [nested, items, apart]
+    wanted = [
+        lambda k: f"Title{k} Lead{k} here " + " ".join([f"a{k}"] * 60 + [f"b{k}"] * 3),
+        lambda k: f"Before{k} " + " ".join(f"item{k}x{i} of the list" for i in range(20)) + f" Said{k} cell{k}",
+        lambda k: f"Title{k} Lead{k} here " + " ".join([f"a{k}"] * 90),
+    ]
+    # three layouts on one host, and the same without a host
+    pages = [(url and f"{url}/{k}", makers[k % 3](k)) for url in ("http://three.org", None) for k in range(24)]
+    assert texts_of(spark, pages) == [wanted[k % 3](k) for _ in range(2) for k in range(24)]
+
+
 def test_spark_hash(spark):
     for a, b in (("html>body", "word"), ("", "é" * 40), ("x" * 100, "")):
         assert templates.spark_hash(a, b) == spark.range(1).select(F.xxhash64(F.lit(a), F.lit(b))).first()[0]
