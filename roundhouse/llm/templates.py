@@ -7,7 +7,7 @@ random 64-bit number for each page, so equal vectors have equal sums and a host'
 1. Classes: frequent tokens of a host (on most of its pages) with equal vectors that lie in one slot. Large ones (several words or elements)
    are the template, and form a tree: a class's slot is an element of the class above it.
 2. Blocks made of template tokens only are dropped wherever they stand, in ``article`` and ``main`` too, and so are slots below elements
-   that hold menus, forms, notices and the like.
+   that hold menus, forms, notices and the like, unless they hold most of the page's text.
 3. The article is the lowest element of the page that holds nearly all text that is left and isn't linked, with the elements around it
    that add more text than links or cards. ``article`` and ``main`` are hints: one that stands alone is followed if it holds most of that text.
 4. What the article's slots hold is the text, in page order.
@@ -31,24 +31,36 @@ from roundhouse.llm.shared import Scratch, fresh
 
 #: a template class has at least so many tokens, and is on at least this share of a host's pages, of which there are enough to tell
 CLASS_TOKENS, FREQUENT, ENOUGH_PAGES = 3, 0.8, 10
-#: share of a page's text that counts as nearly all
-NEARLY = 0.9
+#: shares of a page's text that count as most and as nearly all
+MOST, NEARLY = 0.8, 0.9
 
 # fixed values: elements of HTML by what they mean here
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW = frozenset("script style textarea title template iframe svg annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head nav header footer aside form button select option menu dialog fieldset figure".split()) | RAW
+INLINE |= frozenset("math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts".split())
+DROPPED = frozenset("head nav footer aside form button select option menu dialog fieldset".split())
+#: these are dropped however much text they hold
+ALWAYS = frozenset("nav footer button select option menu".split())
+#: never dropped by a name in class, id or role
+KEPT = frozenset("html body main article".split())
+#: outside the article these aren't text; inside it they are
+INSIDE = frozenset("header noscript".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: an element that is none of these inside a paragraph ends the paragraph
 ARTICLE = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-#: words in class or id that mark what isn't the article
-MARKS = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|side|sidebar\w*|footer\w*|header|masthead|cookie\w*|consent\w*|notice\w*|gdpr"
-    r"|popup\w*|modal\w*|newsletter\w*|subscri\w*|share\w*|social\w*|comment\w*|reply|replies|disqus\w*|related\w*|recommend\w*|widget\w*|login\w*|signup\w*|search\w*|toolbar\w*|pagination\w*|pager)(?:$|[-_ ])",
-    re.I,
+# names in class or id that mark what isn't the article: whole names, made of a word that says so and of words that say nothing else
+_SAYS = (
+    r"(?:ad|ads|advert\w*|adbox|adslot|sponsor|sponsored|promo|promos|promotion|banner|banners|nav|navbar|navigation|menu|menus|submenu|breadcrumb|breadcrumbs|sidebar|sidebars|footer|masthead"
+    r"|cookie|cookies|cookiebar|consent|notice|gdpr|popup|modal|newsletter|subscribe|subscription|share|sharing|sharebar|social|comment|comments|reply|replies|disqus|related|recommended"
+    r"|recommendations|widget|widgets|login|signup|search|searchbar|searchbox|toolbar|pagination|pager)"
 )
+_PLAIN = (
+    r"(?:site|page|global|main|top|bottom|left|right|primary|secondary|mobile|desktop|sticky|google|the|box|bar|block|area|section|container|wrapper|wrap|inner|outer|holder|slot|unit|list|item|items"
+    r"|link|links|button|buttons|icon|icons|form|field|input|panel|overlay|message|posts|articles|stories|thread|respond|\d+)"
+)
+MARKS = re.compile(rf"(?:{_PLAIN}[-_]+)*{_SAYS}(?:[-_]+(?:{_SAYS}|{_PLAIN}))*|side|(?:site|page|global|top)[-_]+(?:header|head)", re.I)
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -61,7 +73,7 @@ def role(name: str, attributes: str) -> tuple[str, bool]:
     found = NAMES.findall(attributes)
     names = " ".join(a or b or c for kind, a, b, c in found if kind.lower() != "role")
     roles = {w.lower() for kind, a, b, c in found if kind.lower() == "role" for w in (a or b or c).split()}
-    dropped = name in DROPPED or bool(roles & ROLES) or bool(names and MARKS.search(names))
+    dropped = name in DROPPED or (name not in KEPT and (bool(roles & ROLES) or any(map(MARKS.fullmatch, names.split()))))
     step = re.sub(r"\d+", "0", names.strip().lower())
     return (f"{name}.{step}" if step else name), dropped
 
@@ -126,6 +138,8 @@ class Page:
                         del stack[k:]
                         break
                 continue
+            if name == "body" and stack and self.names[stack[-1]] == "head":
+                stack.pop()
             if stack and (self.names[stack[-1]] in CLOSES.get(name, ()) or self.names[stack[-1]] == "p"):
                 stack.pop()
             if name not in VOID:
@@ -159,6 +173,23 @@ class Page:
                 out[self.parents[k]] += out[k]
         return out
 
+    def dropped(self) -> list[bool]:
+        """For each element, whether it lies outside the article by a mark.
+
+        One that holds most of the page's text isn't outside, unless the page has one article or main element with text, and that elsewhere.
+        """
+        always = self.inherited(n in ALWAYS for n in self.names)
+        rest = [b for b in self.blocks if b[0] < 0 or not always[b[0]]]
+        mass, total = self.mass(rest), sum(len(text) for _, text, linked in rest if not linked)
+        inner = self.inherited(n in ARTICLE for n in self.names)
+        outer = [k for k, n in enumerate(self.names) if n in ARTICLE and mass[k] and (self.parents[k] < 0 or not inner[self.parents[k]])]
+        touched = self.inherited(k in outer for k in range(len(self.names)))
+        at = outer[0] if len(outer) == 1 else -1
+        while at >= 0:
+            touched[at], at = True, self.parents[at]
+        spared = [x >= MOST * total > 0 and (t or len(outer) != 1) for x, t in zip(mass, touched)]
+        return self.inherited(a or (m and not x) for a, m, x in zip(always, self.marks, spared))
+
     def tokens(self) -> Iterator[tuple[str, str]]:
         """Path and word of each token: ``""`` for an element, the words of a path with one block, and a space and the text for a block.
 
@@ -269,8 +300,8 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return listed.mapInArrow(run, "host string, fixed array<bigint>")
 
 
-def article_root(read: Page, blocks: list[tuple[int, str, bool]]) -> int:
-    """The element that holds the article (-1: the page) among blocks that neither the template nor a mark has dropped.
+def article_root(read: Page, blocks: list[tuple[int, str, bool]]) -> tuple[int, int]:
+    """The elements that hold nearly all of the article and all of it (-1: the page), among blocks that neither the template nor a mark has dropped.
 
     An article or main element that stands alone and holds most of the text is it. Otherwise it is the lowest element with nearly all
     text; then the elements around it, as long as they add more text than links. A heading, a lead or a short section beside a long one adds
@@ -283,15 +314,17 @@ def article_root(read: Page, blocks: list[tuple[int, str, bool]]) -> int:
     outer = [k for k in named if read.parents[k] < 0 or not inner[read.parents[k]]]
     held = sum(mass[k] for k in outer)
     if len(outer) == 1 and 2 * held >= total:
-        return outer[0]
+        return outer[0], outer[0]
     cards = len(outer) > 1 and 2 * held < total
     other = [b[2] or (cards and b[0] >= 0 and inner[b[0]]) for b in blocks]
     mass = read.mass(b for b, x in zip(blocks, other) if not x)
     total = sum(len(b[1]) for b, x in zip(blocks, other) if not x)
     if not total:
-        return -1
+        return -1, -1
     # below an element that has nearly all text, at most one has; the last of them is the lowest
-    root = max((k for k, n in enumerate(mass) if n >= NEARLY * total), default=-1)
+    core = root = max((k for k, n in enumerate(mass) if n >= NEARLY * total), default=-1)
+    if core >= 0 and core not in read.parents:  # a paragraph isn't an article
+        core = root = read.parents[core]
     furniture = read.mass((e, text, False) for (e, text, _), x in zip(blocks, other) if x)
     while root >= 0:
         parent = read.parents[root]
@@ -299,19 +332,41 @@ def article_root(read: Page, blocks: list[tuple[int, str, bool]]) -> int:
         if links - furniture[root] > (mass[parent] if parent >= 0 else total) - mass[root]:
             break
         root = parent
-    return root
+    return core, root
 
 
 def of_article(read: Page, blocks: list[tuple[int, str, bool]]) -> list[tuple[int, str, bool]]:
-    """Blocks of the article: those in its root, and if its title stands before, what isn't linked from there on."""
-    root = article_root(read, blocks)
-    if root < 0:
-        return blocks
+    """Blocks of the article: those in its root, and if its title stands before, what isn't linked from there on.
+
+    Headers and ``noscript`` don't decide on the root. They are kept below ``article`` and ``main``, and below the root, if that isn't the body.
+    """
+    apart = read.inherited(n in INSIDE for n in read.names)
+    named = read.inherited(n in ARTICLE for n in read.names)
+    core, root = article_root(read, [b for b in blocks if b[0] < 0 or not apart[b[0]]])
     below = read.inherited(k == root for k in range(len(read.names)))
-    inside = [e >= 0 and below[e] for e, _, _ in blocks]
-    first = inside.index(True)
-    cards = read.inherited(n in ARTICLE for n in read.names)
-    plain = [not linked and not (e >= 0 and cards[e]) for e, _, linked in blocks]
+    near = read.inherited(k == core for k in range(len(read.names)))
+    around = set()  # elements between the body and the core, in which a header with a title is the article's
+    at = core
+    while at >= 0 and read.names[at] not in ("html", "body"):
+        around.add(at)
+        at = read.parents[at]
+    titled = {e for e, _, linked in blocks if not linked and e >= 0 and read.names[e] in ("h1", "h2", "h3")}
+    heads = [False] * len(read.names)
+    for e in titled:
+        while e >= 0 and not heads[e]:
+            heads[e] = True
+            e = read.parents[e]
+    core_is_body = core < 0 or read.names[core] in ("html", "body")
+    own = read.inherited(n == "header" and heads[k] and read.parents[k] in around for k, n in enumerate(read.names))
+
+    def kept(e: int) -> bool:
+        if e < 0 or not apart[e]:
+            return root < 0 or (e >= 0 and below[e])
+        return (root < 0 or below[e]) and (named[e] or own[e] or (not core_is_body and near[e]))
+
+    inside = [kept(e) for e, _, _ in blocks]
+    first = inside.index(True) if any(inside) else 0
+    plain = [not linked and not (e >= 0 and (named[e] or (apart[e] and not own[e]))) for e, _, linked in blocks]
     title = next((k for k in range(first) if plain[k] and blocks[k][0] >= 0 and read.names[blocks[k][0]] == "h1"), first)
     return [b for k, b in enumerate(blocks) if inside[k] or (title <= k < first and plain[k])]
 
@@ -319,7 +374,7 @@ def of_article(read: Page, blocks: list[tuple[int, str, bool]]) -> list[tuple[in
 def main_text(page: str, fixed: frozenset[int] = frozenset()) -> str:
     """Text of the slots that are left of a page."""
     read = Page(page)
-    dropped = read.inherited(read.marks)
+    dropped = read.dropped()
     blocks = [b for b in read.without(fixed) if b[0] < 0 or not dropped[b[0]]]
     return " ".join(b[1] for b in of_article(read, blocks))
 

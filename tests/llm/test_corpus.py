@@ -149,6 +149,27 @@ def test_article_root_keeps_nested_parts(spark):
     assert texts_of(spark, pages) == [wanted[k % 3](k) for _ in range(2) for k in range(24)]
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "comments-open", "social-issues", "search-results", "sidebar", "comments"])
+@pytest.mark.parametrize("tag", ["body", "main", "article"])
+def test_marks_spare_whole_pages(tag, name):
+    page = "<html><body><main><article><h1>Title</h1><p>Story</p></article></main></body></html>".replace(f"<{tag}>", f'<{tag} class="{name}">')
+    assert templates.main_text(page) == "Title Story"
+
+
+def test_marks_spare_the_article():
+    story = "the story goes on " * 20
+    parts = f'<div class="entry-header"><h1>Title</h1></div><header><p>By me</p></header><p>{story}</p><figure><pre>x = 1</pre><figcaption>Caption</figcaption></figure>'
+    parts += '<p>Sum <math><mi>a</mi><mo>+</mo><mn>2</mn><annotation>a+2</annotation></math> here</p><noscript><p>Still</p></noscript>'
+    whole = f"Title By me {story}x = 1 Caption Sum a+2 here Still"
+    outside = '<header>Site</header><noscript>Scripts</noscript><div class="site-header">Name</div><div class="x share-buttons">Share</div><div id="cookie_notice">Cookies</div>'
+    for tag in ("article", "main", "div class=story", "form", "div class=comments"):
+        assert templates.main_text(f"<head><body class=home>{outside}<{tag}>{parts}</{tag.split()[0]}><nav><p>{story * 3}</p></nav></body>") == whole, tag
+    # an advertisement that is longer than the article
+    assert templates.main_text(f'<body><div class="ad">{story}</div><article><p>Short.</p></article></body>') == "Short."
+    # a title's header beside the text that holds nearly all
+    assert templates.main_text(f"<body>{outside}<div class=post><header class=post-header><h1>Title</h1></header><div><p>{story}</p></div></div></body>") == f"Title {story}".strip()
+
+
 def test_spark_hash(spark):
     for a, b in (("html>body", "word"), ("", "é" * 40), ("x" * 100, "")):
         assert templates.spark_hash(a, b) == spark.range(1).select(F.xxhash64(F.lit(a), F.lit(b))).first()[0]
