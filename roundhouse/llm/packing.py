@@ -25,10 +25,11 @@ WINDOW = 2048
 BATCH = 256
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", plain: bool = True) -> DataFrame:
     """Rows ``doc_id, part, before, n_tokens, ids``: ids as little-endian 32-bit bytes with ``end_id`` last, and the ids before it in the task.
 
     Null text counts as empty, so each row has at least the end id. Rows that repeat an id are encoded each for itself.
+    ``plain`` reads the strings of special tokens as text, so that no id of a text imitates the end id; else ids are the tokenizer's own.
     """
     end = int(end_id).to_bytes(4, "little")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -36,7 +37,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        tokens, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        tokens, part, before = encoder(tokenizer, plain), TaskContext.get().partitionId(), 0
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
@@ -92,13 +93,14 @@ def cut(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select("doc_id", "p.start", "p.length", "p.ids", "doc_tokens", "p.sequence_id", "p.offset")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", change: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", change: Callable[[DataFrame], DataFrame] | None = None, plain: bool = True) -> DataFrame:
     """Pieces of all documents, in sequences of ``window`` ids without gaps; only the last sequence can be shorter.
 
-    An empty table gives no rows. Other columns of ``docs`` are not carried; ``change`` may alter the encoded rows before they are written.
+    An empty table gives no rows. Other columns of ``docs`` are not carried; ``change`` may alter the encoded rows before they are written;
+    ``plain`` is that of :func:`encode`.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    encoded = encode(docs, tokenizer, end_id, id_col, text_col)
+    encoded = encode(docs, tokenizer, end_id, id_col, text_col, plain)
     return cut(placed(scratch.save(change(encoded) if change else encoded)), window)
 
 

@@ -27,7 +27,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document in sequences of 2048 ids."""
-    pieces = packing.pack(table(spark, folder, "documents"), BYTE_BPE, end_id=1, window=2048)
+    pieces = packing.pack(table(spark, folder, "documents"), BYTE_BPE, end_id=1, window=2048, plain=False)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -93,7 +93,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 @query
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's ids, written to compressed files with a shared dictionary and read back."""
-    manifest = token_files_zstd.write(table(spark, folder, "documents"), Scratch(spark, "tokz-files").folder, WORD_BPE, end_id=2)
+    manifest = token_files_zstd.write(table(spark, folder, "documents"), Scratch(spark, "tokz-files").folder, WORD_BPE, end_id=2, plain=False)
     back = token_files_zstd.read(spark, manifest)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

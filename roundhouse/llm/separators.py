@@ -32,7 +32,8 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dtype:
     """Write one flat file for each task and return a written table ``doc_id, part, k, path, n_ids`` of what went where.
 
     ``k`` numbers the documents of a task; ``n_ids`` is on a task's last row (else null) and counts the ids of its file. Null text
-    counts as empty and writes the end id alone. Ids must fit the dtype.
+    counts as empty and writes the end id alone. Special tokens' strings in a text are text, so no id of a text imitates a separator. Ids must
+    fit the dtype.
     """
     limit = np.iinfo(dtype).max
     kind = docs.schema[id_col].dataType.simpleString()
@@ -51,7 +52,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dtype:
                 if out is None:
                     path = own_path(folder, ".ids")
                     out = create(path)
-                ids = np.frombuffer(b"".join(b + end for b in encoder(tokenizer).encode(batch.column(1).to_pylist())), "<u4")
+                ids = np.frombuffer(b"".join(b + end for b in encoder(tokenizer, plain=True).encode(batch.column(1).to_pylist())), "<u4")
                 if ids.max() > limit:
                     raise ValueError(f"ids up to {ids.max()} don't fit {dtype}")
                 out.write(ids.astype(dtype).tobytes())

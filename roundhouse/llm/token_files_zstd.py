@@ -33,18 +33,18 @@ BATCH = 256
 MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint, bytes bigint, dictionary string"
 
 
-def encoded_ids(texts: list[str | None], tokenizer: str, end_id: int) -> list[bytes]:
+def encoded_ids(texts: list[str | None], tokenizer: str, end_id: int, plain: bool) -> list[bytes]:
     end = int(end_id).to_bytes(4, "little")
-    return [ids + end for ids in encoder(tokenizer).encode(texts)]
+    return [ids + end for ids in encoder(tokenizer, plain).encode(texts)]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, plain: bool = True) -> bytes:
     """Dictionary for serialized id arrays. The sample has a fixed bound; an empty table gives an empty dictionary."""
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(encoded_ids(batch.column(0).to_pylist(), tokenizer, end_id), pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(encoded_ids(batch.column(0).to_pylist(), tokenizer, end_id, plain), pa.binary())], names=["ids"])
 
     sample = docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS)
     samples = [bytes(r[0]) for r in sample.select("text").mapInArrow(run, "ids binary").collect()]
@@ -61,16 +61,17 @@ def dictionary_of(data: bytes):
     return zstandard.ZstdCompressionDict(data) if len(data) >= 8 else None
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", plain: bool = True) -> DataFrame:
     """Write every document's ids and return the manifest (a written table): one row for each shard, ``part`` in the order of ids.
 
     Null text counts as empty and has the end id alone. Null ids come first; rows that repeat an id are documents of their own, in the
     order of their texts. Ranges of ids are as even as Spark's range sample makes them; no row's neighbours are gathered.
+    ``plain`` reads the strings of special tokens as text; else ids are the tokenizer's own.
     """
     import zstandard
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    data = train_dictionary(rows, tokenizer, end_id)
+    data = train_dictionary(rows, tokenizer, end_id, plain)
     digest = hashlib.sha256(data).hexdigest()
     with create(f"{folder}/{digest}.dictionary") as out:
         out.write(data)
@@ -85,7 +86,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
                     path = own_path(folder, ".tokz")
                     out = create(path)
                     out.write(MAGIC + bytes.fromhex(digest))
-                ids = encoded_ids(batch.column(1).to_pylist(), tokenizer, end_id)
+                ids = encoded_ids(batch.column(1).to_pylist(), tokenizer, end_id, plain)
                 frames = [compress(b) for b in ids]
                 offsets = []
                 for frame in frames:

@@ -2,7 +2,8 @@
 
 The tokenizer's own steps are kept: its normaliser, its pattern, its merge model. What is added is memory: a text is cut at
 single spaces, where these tokenizers never join characters, and pieces and pattern matches that were met before are looked up.
-A text with characters or runs of white space for which that rule isn't proven goes through the tokenizer as a whole.
+A text with characters or runs of white space for which that rule isn't proven goes through the tokenizer as a whole, and so does one
+that holds an added token such as ``<|endoftext|>``, unless special tokens are to be read as text (``plain``).
 """
 
 from __future__ import annotations
@@ -66,14 +67,18 @@ class Memory(dict):
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, equal to those of the tokenizer on each whole text."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, equal to those of the tokenizer on each whole text.
 
-    def __init__(self, name: str):
+    With ``plain`` the strings of added special tokens are text like any other (the tokenizer's ``encode_special_tokens``).
+    """
+
+    def __init__(self, name: str, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special))
         self.merge = self.tokenizer.model.tokenize
         self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
         self.find = regex.compile(WORD_PATTERN if self.normal else BYTE_PATTERN).findall
@@ -113,7 +118,7 @@ class Encoder:
         for text in texts:
             if not text:
                 yield b""
-            elif UNSURE.search(text) or (any(x in text for x in RUN_STARTS) and RUNS.search(text)):
+            elif UNSURE.search(text) or any(x in text for x in self.added) or (any(x in text for x in RUN_STARTS) and RUNS.search(text)):
                 yield self.whole(text)
             elif len(text) <= STEP:
                 yield self.pieces(text, True)
@@ -135,11 +140,11 @@ class Encoder:
         return head + b"".join(map(self.known.__getitem__, pieces))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, plain: bool = True) -> Encoder:
     """The worker's encoder of this vocabulary."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
-    return _ENCODERS[name]
+    if (name, plain) not in _ENCODERS:
+        _ENCODERS[name, plain] = Encoder(name, plain)
+    return _ENCODERS[name, plain]

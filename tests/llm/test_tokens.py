@@ -100,6 +100,32 @@ def test_token_files(spark, edge_docs, no_docs):
     assert empty.count() == 0 and token_files_zstd.read(spark, empty).count() == 0
 
 
+def library_ids(texts, name, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_path(name))
+    return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
+
+
+SPECIAL = ["a <|endoftext|> is text", "<|endoftext|>", "x<|startoftext|>y <|endoftext|><|endoftext|>", "<|EndOfText|> <|endoftext", "plain words", None]
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_added_tokens_have_their_ids(name):
+    texts = edge_texts() + SPECIAL
+    assert [np.frombuffer(b, "<u4").tolist() + [7] for b in Encoder(name, plain=False).encode(texts)] == library_ids(texts, name, 7)
+    assert [np.frombuffer(b, "<u4").tolist() + [7] for b in Encoder(name).encode(texts)] == plain_ids(texts, name, 7)
+
+
+def test_registered_queries_take_added_tokens(spark, tmp_path):
+    from roundhouse.llm import queries
+
+    spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for run, name, end in ((queries.op1_packing, BYTE_BPE, 1), (queries.op9_token_files, WORD_BPE, 2)):
+        wanted = {k: zlib.crc32(np.asarray(ids, "<u4").tobytes()) for k, ids in enumerate(library_ids(SPECIAL, name, end))}
+        assert {r.doc_id: r.ids_crc32 for r in run(spark, str(tmp_path)).collect()} == wanted
+
+
 def test_token_file_checks_its_dictionary(spark, docs):
     folder = Scratch(spark, "t").folder
     row = token_files_zstd.write(docs, folder, WORD_BPE, 2).first()
