@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import raw_round, unit
+from round_rows import raw_round, unit
 from roundhouse import BoardEncoder
 from roundhouse.operators import assemble, rounds, units
 from roundhouse.plans import extract

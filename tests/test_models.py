@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from conftest import raw_round, unit
+from round_rows import raw_round, unit
 from roundhouse import Dims
 from roundhouse import dims as dimensions
 from roundhouse.operators import catalog, metrics, sample, validate

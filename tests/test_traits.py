@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import unit
+from round_rows import unit
 from roundhouse import BoardEncoder
 from roundhouse.operators import assemble, traits
 
