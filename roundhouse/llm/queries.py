@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundhouse.llm import exact_dedup, languages, minhash, mixing, neighbours, packing, phrases, separators, templates, token_files_zstd
+from roundhouse.llm import chat, exact_dedup, importance, languages, minhash, mixing, neighbours, packing, phrases, separators, spellings, templates, token_files_zstd
 from roundhouse.llm.shared import Scratch
 from roundhouse.llm.tokens import BYTE_BPE, WORD_BPE
 
@@ -137,3 +137,43 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     mixed = mixing.mix(docs, domain(), target, share=0.8, max_epochs=2, seed=10)
     return mixed.select("doc_id", "lang", "source", "copies")
+
+
+@query
+def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all conversations, read back from their examples; conversation -1 says control strings."""
+    said = "</s>[INST] ok [/INST]"
+    odd = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    return chat.read_back(chat.examples(rows))
+
+
+ORACLES["op11_chat"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length('<|im_start|><|im_sep|><|im_end|>') + length(role) + length(text)
+    + len(regexp_extract_all(role || chr(10) || text, '<\\*(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|SYS>>|/SYS>>)|\[\\*(INST\]|/INST\])')) AS size
+  FROM said),
+placed AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS many, sum(size) OVER w AS upto
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(upto) FILTER (role = 'assistant' OR i = many)::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
+@query
+def op12_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words and the form they stand for."""
+    return spellings.variants(table(spark, folder, "documents"), least_length=5, least_count=3, ratio=2, damage=97)
+
+
+@query
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the documents, drawn by how much they look like the benchmark."""
+    return importance.draw(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=25, least_words=20, buckets=10_000, seed=7)
