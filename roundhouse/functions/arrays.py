@@ -62,6 +62,26 @@ def dense(entries: Column, length: int, kind: str = "int") -> Column:
     return let(entries, build)
 
 
+def last_at_most(ordered: Column, value: Column) -> Column:
+    """0-based place of the last element of an ascending array that is at most ``value``, -1 if there is none or ``value`` is null.
+
+    A binary search: it takes as many steps as the array's length has binary digits.
+    """
+
+    def narrow(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["low"] + state["high"], 1)
+        found = F.coalesce(F.get(ordered, middle) <= value, F.lit(False))
+        open_ = state["high"] - state["low"] > 1
+        return F.struct(
+            F.when(open_ & found, middle).otherwise(state["low"]).alias("low"),
+            F.when(open_ & ~found, middle).otherwise(state["high"]).alias("high"),
+        )
+
+    start = F.struct(F.lit(-1).alias("low"), F.coalesce(F.size(ordered), F.lit(0)).alias("high"))
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.coalesce(F.size(ordered), F.lit(0)) + 1)))
+    return F.aggregate(steps, start, narrow, lambda state: state["low"])
+
+
 def pad(values: Column, length: int) -> Column:
     """First ``length`` values, 0-filled on the right."""
     return let(

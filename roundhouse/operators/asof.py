@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roundhouse.dims import MAX_DIM_ROWS
+from roundhouse.functions.arrays import last_at_most
 from roundhouse.operators.ordering import sorted_slices
 
 
@@ -17,23 +19,41 @@ def asof_backward(
 ) -> DataFrame:
     """Left rows with the columns of the latest right row whose ``right_on <= on`` within ``by``; nulls when there is none.
 
-    Both sides go through one sort. A caller who knows the right side to be a dimension of bounded size says ``small``, and
-    it is broadcast as validity intervals; the answer is the same. Right rows with a null time or a null in ``by`` match
-    nothing, and left rows with one stay unmatched. Of right rows with equal times, the one with the greatest hash counts.
+    Both sides go through one sort. A caller who knows the right side to be a dimension (at most ``MAX_DIM_ROWS`` rows, checked
+    when the query runs) says ``small``: then every left row searches a sorted array, and nothing is shuffled; the answer is the
+    same. Right rows with a null time or a null in ``by`` match nothing, and left rows with one stay unmatched. Of right rows
+    with equal times, the one with the greatest hash counts.
     """
     right = right.dropna(subset=[right_on, *by])
-    return _by_intervals(left, right, on, right_on, by) if small else _by_sort(left, right, on, right_on, by)
+    return _by_search(left, right, on, right_on, by) if small else _by_sort(left, right, on, right_on, by)
 
 
-def _by_intervals(left: DataFrame, right: DataFrame, on: str, right_on: str, by: Sequence[str]) -> DataFrame:
-    following = W.partitionBy(*by).orderBy(right_on, _tie(right))
-    keys = [F.col(c).alias(f"_by_{c}") for c in by]
+def _by_search(left: DataFrame, right: DataFrame, on: str, right_on: str, by: Sequence[str]) -> DataFrame:
+    """Binary search inside the row. Without ``by`` the array is a constant of the query, with it one for each key, broadcast."""
     payload = [c for c in right.columns if c not in by]
-    intervals = right.select(*keys, *payload, F.lead(right_on).over(following).alias("_until"))
-    match = (F.col(on) >= F.col(right_on)) & (F.col("_until").isNull() | (F.col(on) < F.col("_until")))
-    for c in by:
-        match = match & (left[c] == F.col(f"_by_{c}"))
-    return left.join(F.broadcast(intervals), match, "left").drop("_until", *[f"_by_{c}" for c in by])
+    entry = F.struct(F.col(right_on).alias("t"), _tie(right).alias("tie"), F.struct(*payload).alias("row"))
+    in_order = F.array_sort(F.collect_list(entry), _by_time)
+    table = F.struct(F.transform(in_order, lambda e: e["t"]).alias("times"), F.transform(in_order, lambda e: e["row"]).alias("rows"))
+    size = right.agg(F.count(F.lit(1)).alias("n")).scalar()
+    too_large = F.raise_error(F.lit(f"the right side has more than {MAX_DIM_ROWS} rows; leave out small"))
+    if by:
+        keys = [F.col(c).alias(f"_by_{c}") for c in by]
+        tables = right.groupBy(*keys).agg(table.alias("_table")).withColumn("_table", F.when(size <= MAX_DIM_ROWS, F.col("_table")).otherwise(too_large))
+        match = reduce(lambda a, b: a & b, [left[c] == F.col(f"_by_{c}") for c in by])
+        joined = left.join(F.broadcast(tables), match, "left")
+    else:
+        whole = right.agg(F.when(F.count(F.lit(1)) <= MAX_DIM_ROWS, table).otherwise(too_large).alias("t")).scalar()
+        joined = left.withColumn("_table", whole)
+    hit = F.get(F.col("_table.rows"), last_at_most(F.col("_table.times"), F.col(on)))
+    found = joined.withColumn("_hit", hit)
+    return found.select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in payload])
+
+
+def _by_time(a: Column, b: Column) -> Column:
+    """Comparison of entries by time, then tie; their rows may hold what can't be compared."""
+    return (
+        F.when(a["t"] < b["t"], -1).when(a["t"] > b["t"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0)
+    )
 
 
 def _tie(right: DataFrame) -> Column:

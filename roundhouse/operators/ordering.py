@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from roundhouse.dims import local_frame
 from roundhouse.session import materialise
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 1_000_000  # a group up to this size is sorted in one task anyway
+HOT_SHARE = 0.001  # and so is one with a smaller share of the rows than this
+TRACKED, CANDIDATES = 16_384, 4_096  # hashes a sketch of frequent groups tracks, and most of them looked at
+SKETCH_PARTS = 64
 BINS = 10_000
 PLACE_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33 and the row number below
 
@@ -76,19 +79,45 @@ def same_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in by])
 
 
+def heavy_groups(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE) -> DataFrame | None:
+    """The groups with more than ``hot_rows`` rows and more than ``hot_share`` of all, or None.
+
+    A sketch of frequent items is filled in every task and merged in two steps, so one row a task moves and no group is counted
+    but the candidates. The sketch tracks ``TRACKED`` hashes: it misses no group above ``7 / TRACKED`` of the rows, which is less
+    than ``HOT_SHARE``, and never counts a group short, so the exact count of the candidates decides.
+    """
+    keys = df.select(F.xxhash64(*by).alias("_key"))
+    parts = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_PARTS)).alias("_part")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(_key, {TRACKED})").alias("sketch")
+    )
+    # grouped, because combining without a group fails in tasks that have no rows
+    found = parts.groupBy((F.col("_part") * 0).alias("_all")).agg(
+        F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {CANDIDATES})").alias("top")
+    ).first()
+    if found is None:
+        return None
+    floor = max(hot_rows, int(hot_share * found["n"]))
+    hashes = [entry["item"] for entry in found["top"] if entry["count"] > floor]
+    if not hashes:
+        return None
+    large = df.filter(F.xxhash64(*by).isin(hashes)).groupBy(*by).count().filter(F.col("count") > floor).select(*by)
+    large = materialise(large)
+    return None if large.isEmpty() else large
+
+
 def rank_in_group(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, *, hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, *, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE
 ) -> DataFrame:
     """Exact 0-based row number inside each group.
 
-    Groups up to ``hot_rows`` rows take a plain window. Larger ones, of which there are at most ``rows / hot_rows``, are found
-    by a count with map-side combine and ranked from their global order instead. Rows equal in ``order`` are ranked by a hash
-    of their columns, so the way a group takes doesn't change its ranks.
+    Most groups take a plain window. Those that one task shouldn't sort (:func:`heavy_groups`, fewer than ``1 / hot_share``) are
+    ranked from their global order instead. Rows equal in ``order`` are ranked by a hash of their columns, so the way a group
+    takes doesn't change its ranks.
     """
     tie = F.xxhash64(*[column for column, kind in df.dtypes if "map<" not in kind])
     window = W.partitionBy(*by).orderBy(*order, tie)
-    large = materialise(df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by))
-    if large.isEmpty():
+    large = heavy_groups(df, by, hot_rows, hot_share)
+    if large is None:
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
     match = same_keys(df, large, by)
     cold = df.join(F.broadcast(large), match, "left_anti")

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roundhouse.dims import Dims, local_frame
+from roundhouse.dims import Dims
 from roundhouse.functions.cells import cell_col, cell_row
 from roundhouse.functions.scalars import clamp_tier, compact_then_take, stage_of
 from roundhouse.operators.ordering import seeded_shuffle
 from roundhouse.operators.rounds import sample_eligible, sample_valid
+from roundhouse.session import materialise
 
 PARTS = 64
-MAX_STAGES = 200  # a game has some dozens; more means that round names are not round names
+FEW_ROWS = 100_000  # a sample up to this size is broadcast to find its boards
 
 
 def first_per_match(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
@@ -46,33 +46,25 @@ def pick_relaxed(rows: DataFrame, key: str, match: str, per_stage: int) -> DataF
 
 
 def pick_exact(rows: DataFrame, key: str, match: str, per_stage: int) -> DataFrame:
-    """Walk all rows in shuffle order and take each one whose stage has room and whose match is unused.
+    """The rows that a walk in shuffle order takes: each one whose stage has room and whose match is unused.
 
-    Only a match's first row per stage can ever be taken, and while a stage has room the walk meets at most
-    ``per_stage * stages`` different matches in it, so that many candidates per stage decide everything. The driver sees no
-    more than those, and more than ``MAX_STAGES`` stages are refused.
+    Found in rounds instead of row by row. Each stage proposes its first ``per_stage`` rows, each match holds its earliest
+    proposal, and rows of a match behind the one it holds are out; the stages that lost one propose their next. All agree on
+    one order, so the rounds end, when every proposal is held, with what the walk takes. Only a match's first row per stage can
+    be taken, and while a stage has room the walk meets at most ``per_stage * stages`` matches in it, so no stage looks further.
     """
     firsts = first_per_match(rows, ["stage", match], key)
     stages = rows.agg(F.count_distinct("stage")).first()[0]
-    if stages > MAX_STAGES:
-        raise ValueError(f"{stages} stages; at most {MAX_STAGES} can be walked")
-    candidates = top_per_stage(firsts, per_stage * max(stages, 1)).collect()
-    room: dict[str, int] = {}
-    used: set = set()
-    taken = []
-    for row in sorted(candidates, key=lambda r: r["shuffle_key"]):
-        left = room.setdefault(row["stage"], per_stage)
-        if left and row[match] not in used:
-            room[row["stage"]] = left - 1
-            used.add(row[match])
-            taken.append({key: row[key], "stage": row["stage"], "shuffle_key": row["shuffle_key"], match: row[match]})
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-
-    def arrow(name: str) -> pa.DataType:
-        return pa.int64() if kinds[name].typeName() in ("long", "integer") else pa.string()
-
-    names = [match, "shuffle_key", "stage", key]
-    return local_frame(rows.sparkSession, taken, [(n, arrow(n)) for n in names])
+    candidates = materialise(top_per_stage(firsts, per_stage * max(stages, 1)))
+    place = F.struct("shuffle_key", key)
+    proposed = candidates
+    while True:
+        proposed = materialise(top_per_stage(proposed, per_stage))
+        held = proposed.groupBy(F.col(match).alias("_match")).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_held"))
+        if held.filter("_n > 1").isEmpty():
+            return proposed.select(match, "shuffle_key", "stage", key)
+        same = F.col(match).eqNullSafe(F.col("_match"))
+        proposed = candidates.join(materialise(held), same, "left").filter(F.col("_held").isNull() | (place <= F.col("_held"))).select(*candidates.columns)
 
 
 def shown_side(board: Column) -> Column:
@@ -110,9 +102,9 @@ def sample_boards(
     staged = valid.withColumn("stage", stage_of(F.col("round_name"))).filter("stage is not null")
     shuffled = seeded_shuffle(staged.select(key, match, "stage"), key, seed)
     pick = pick_exact if exact else pick_relaxed
-    chosen = pick(shuffled, key, match, per_stage).select(key, "stage", "shuffle_key")
+    chosen = materialise(pick(shuffled, key, match, per_stage).select(key, "stage", "shuffle_key"))
     return (
-        valid.join(F.broadcast(chosen), key)
+        valid.join(F.broadcast(chosen) if chosen.count() <= FEW_ROWS else chosen, key)
         .orderBy("stage", "shuffle_key")
         .select(
             F.col("round_name").alias("stage"),

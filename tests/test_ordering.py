@@ -188,7 +188,74 @@ def test_augmentation(spark):
     assert {r.k for r in limited if r.outcome == 0} == set(range(10))
 
 
-def test_many_stages_are_refused(spark):
-    rows = ordering.seeded_shuffle(table(spark, [(n, n, str(n)) for n in range(sample.MAX_STAGES + 1)], "id bigint, match bigint, stage string"), "id", 1)
-    with pytest.raises(ValueError, match="stages"):
-        sample.pick_exact(rows, "id", "match", 1)
+def test_exact_sample_of_many_stages(spark):
+    rng = random.Random(9)
+    rows = [(n, None if n % 50 == 0 else rng.randrange(700), str(rng.choice([0, rng.randrange(1000)]))) for n in range(4000)]
+    shuffled = ordering.seeded_shuffle(table(spark, rows, "id bigint, match bigint, stage string"), "id", 1)
+    assert sorted(r.id for r in sample.pick_exact(shuffled, "id", "match", 2).collect()) == walk(shuffled.collect(), 2)
+
+
+def test_heavy_groups_are_found_by_a_sketch(spark):
+    rows = [(n, None if n % 10 == 0 else "hot" if n % 4 == 0 else f"k{n}") for n in range(9000)]
+    df = table(spark, rows, "id int, g string", 9)
+    assert sorted(str(r.g) for r in ordering.heavy_groups(df, ["g"], 500).collect()) == ["None", "hot"]
+    assert [r.g for r in ordering.heavy_groups(df, ["g"], 1000).collect()] == ["hot"]
+    assert ordering.heavy_groups(df, ["g"], 5, hot_share=0.5) is None
+    assert ordering.heavy_groups(df.filter("id < 0"), ["g"], 0) is None
+
+
+def counted_source(spark, rows, schema):
+    """The rows and a counter of how many of them jobs have read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def scan(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return table(spark, rows, schema, 5).mapInArrow(scan, schema), read
+
+
+@pytest.mark.parametrize("kind", ["spread", "tied", "edge", "one"])
+def test_cut_points_take_three_scans(spark, kind):
+    rng = random.Random(5)
+    n = 6000
+    time = {
+        "spread": lambda i: rng.randrange(-(1 << 62), 1 << 62),
+        "tied": lambda i: rng.choice([7, 7, 7, 9, rng.randrange(20)]),
+        "edge": lambda i: 5 if i < int(0.8 * n) else 6 if i < int(0.9 * n) + 1 else 7 + i,
+        "one": lambda i: 3,
+    }[kind]
+    rows = [(time(i), rng.randrange(-(1 << 63), 1 << 63)) for i in range(n)]
+    df, read = counted_source(spark, rows, "ts bigint, tie bigint")
+    ordered = sorted(rows)
+    assert split.cut_points(df, "ts", "tie", (0.8, 0.1)) == [ordered[int(0.8 * n)], ordered[int(0.8 * n) + int(0.1 * n)]]
+    assert read.value <= 3 * n
+
+
+def test_cut_points_when_a_sketch_is_wrong(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.randrange(100), n) for n in range(3000)]
+    df = table(spark, rows, "ts bigint, tie bigint")
+    ordered = sorted(rows)
+    right = split._quantiles
+    monkeypatch.setattr(split, "_quantiles", lambda sketch, ranks: right(sketch, [0.1] * len(ranks)))
+    assert split.cut_points(df, "ts", "tie", (0.5, 0.2)) == [ordered[1500], ordered[2100]]
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_asof_refuses_a_large_right_side(spark, monkeypatch, by):
+    monkeypatch.setattr(asof, "MAX_DIM_ROWS", 10)
+    one = table(spark, [(1, "a", 5)], "id int, g string, ts bigint")
+    two = table(spark, [(n, "a", "x") for n in range(11)], "at bigint, g string, name string")
+    with pytest.raises(Exception, match="more than 10 rows"):
+        asof.asof_backward(one, two if by else two.drop("g"), "ts", "at", by=by, small=True).collect()
+
+
+def test_binary_search(spark):
+    from roundhouse.functions.arrays import last_at_most
+
+    arrays = [[], [5], [1, 3], [1, 1, 1, 4], list(range(0, 200, 3))]
+    rows = [(a, v) for a in arrays for v in (-1, 0, 1, 2, 3, 4, 5, 100, 198, 500, None)] + [(None, 1)]
+    got = spark.createDataFrame(rows, "a array<bigint>, v bigint").select("a", "v", last_at_most(F.col("a"), F.col("v")).alias("p")).collect()
+    assert all(r.p == (-1 if r.v is None else sum(x <= r.v for x in r.a or []) - 1) for r in got)

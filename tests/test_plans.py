@@ -38,6 +38,12 @@ def test_no_python_and_no_cartesian_product(spark, name):
         assert forbidden not in text
 
 
+def test_no_nested_loops(spark):
+    for name in ("patch_asof", "recency_weight", "extract_vit_job", "asof_join_union"):
+        assert "BroadcastNestedLoopJoin" not in plan(entry.queries()[name](spark, SF))
+    assert "Window" not in plan(entry.queries()["patch_asof"](spark, SF))
+
+
 def test_features_inside_the_row_do_not_shuffle(spark, raw):
     usable = rounds.labelled_rounds(rounds.usable_rounds(read_rounds(spark, raw)).withColumn("round_idx", F.col("match_uuid")))
     dims = adapter.dims()
