@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -25,20 +26,36 @@ def literal_array(values: Sequence, element: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{element}>")
 
 
-def literal_map(pairs: Mapping, key: str, value: str) -> Column:
-    """A constant map, given like :func:`literal_array`."""
-    return F.from_json(F.lit(json.dumps(dict(pairs))), f"map<{key},{value}>")
+def literal_lookup(pairs: Mapping[str, object], value: str) -> Callable[[Column], Column]:
+    """A constant map with text keys, as a function from a key to its value (null for other keys).
+
+    Spark searches a map's keys one by one. Here the keys are dealt to twice as many small maps by a checksum, so that a look-up takes
+    the same time however many keys there are.
+    """
+    slots = 2 * len(pairs) + 1
+    maps: list[dict] = [{} for _ in range(slots)]
+    for name, found in pairs.items():
+        maps[zlib.crc32(name.encode()) % slots][name] = found
+    table = literal_array(maps, f"map<string,{value}>")
+    return lambda name: F.try_element_at(F.get(table, F.pmod(F.crc32(name), F.lit(slots)).cast("int")), name)
 
 
 def tally(values: Column) -> Column:
-    """Count equal values: ``array<struct<idx, n>>`` ordered by value."""
-    return let(
-        values,
-        lambda all_: F.transform(
-            F.sort_array(F.array_distinct(all_)),
-            lambda v: F.struct(v.alias("idx"), F.size(F.filter(all_, lambda x: x == v)).alias("n")),
-        ),
-    )
+    """Count equal values: ``array<struct<idx, n>>`` ordered by value. One sort, one comparison of neighbours."""
+
+    def counted(ordered: Column) -> Column:
+        marked = F.transform(
+            ordered, lambda v, place: F.struct(v.alias("idx"), place.alias("at"), ((place == 0) | (F.get(ordered, place - 1) != v)).alias("first"))
+        )
+        heads = F.filter(marked, lambda h: h["first"])
+        return let(
+            heads,
+            lambda h: F.transform(
+                h, lambda e, k: F.struct(e["idx"].alias("idx"), (F.coalesce(F.get(h, k + 1)["at"], F.size(ordered)) - e["at"]).alias("n"))
+            ),
+        )
+
+    return let(F.sort_array(values), counted)
 
 
 def dense(entries: Column, length: int, kind: str = "int") -> Column:

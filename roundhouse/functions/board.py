@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roundhouse.dims import Dims
-from roundhouse.functions.arrays import dense, let, literal_array, literal_map, pad, tally
+from roundhouse.functions.arrays import dense, let, literal_array, literal_lookup, pad, tally
 from roundhouse.functions.cells import bare, board_cell, cell_code, code_col, code_row
 from roundhouse.functions.scalars import item_at, tier_multiplier
 from roundhouse.schema import CELLS, CHANNELS, MAX_ITEMS, MAX_TRAITS, MAX_UNITS, TIERS
@@ -31,33 +31,31 @@ class BoardEncoder:
             total += len(points)
         self.trait_slots = total
         self.unit_slots = len(dims.units) * len(TIERS)
-        self._unit_position = literal_map({name: place for place, name in enumerate(dims.units)}, "string", "int")
+        self._unit_position = literal_lookup({name: place for place, name in enumerate(dims.units)}, "int")
         self._unit_cost = literal_array([unit.cost for unit in dims.units.values()], "bigint")
         self._unit_traits = literal_array(
             [[trait_position[t] for t in unit.traits if t in trait_position] for unit in dims.units.values()], "array<int>"
         )
-        self._emblem_trait = literal_map(
-            {item: trait_position[trait] for item, trait in dims.emblems.items() if trait in trait_position}, "string", "int"
-        )
+        self._emblem_trait = literal_lookup({item: trait_position[trait] for item, trait in dims.emblems.items() if trait in trait_position}, "int")
         self._breakpoints = literal_array([list(points) for points in dims.traits.values()], "array<int>")
         self._trait_ids = literal_array(
             [[dims.trait_vocab.get((name, point)) for point in points] for name, points in dims.traits.items()], "array<int>"
         )
         self._trait_offset = literal_array(offsets, "int")
-        self._unit_id = literal_map(dict(dims.unit_vocab), "string", "int")
-        self._item_id = literal_map(dict(dims.item_vocab), "string", "int")
+        self._unit_id = literal_lookup(dict(dims.unit_vocab), "int")
+        self._item_id = literal_lookup(dict(dims.item_vocab), "int")
 
     # -- one side ----------------------------------------------------------------------------------------------------
 
     def _positions(self, board: Column) -> Column:
         """Dimension positions of the known units, in list order, copies kept."""
-        return F.array_compact(F.transform(board, lambda u: F.try_element_at(self._unit_position, u["unit"])))
+        return F.array_compact(F.transform(board, lambda u: self._unit_position(u["unit"])))
 
     def total_cost(self, board: Column) -> Column:
         """Sum of cost times tier multiplier; unknown units count nothing."""
 
         def add(total: Column, u: Column) -> Column:
-            cost = F.get(self._unit_cost, F.try_element_at(self._unit_position, u["unit"]))
+            cost = F.get(self._unit_cost, self._unit_position(u["unit"]))
             return total + F.coalesce(cost * tier_multiplier(u["tier"]), F.lit(0).cast("bigint"))
 
         return F.aggregate(board, F.lit(0).cast("bigint"), add)
@@ -68,7 +66,7 @@ class BoardEncoder:
             board,
             lambda u: F.when(
                 u["tier"].between(TIERS[0], TIERS[-1]),
-                F.try_element_at(self._unit_position, u["unit"]) * len(TIERS) + u["tier"].cast("int") - 1,
+                self._unit_position(u["unit"]) * len(TIERS) + u["tier"].cast("int") - 1,
             ),
         )
         return tally(F.array_compact(slots))
@@ -85,7 +83,7 @@ class BoardEncoder:
         if emblems:
             items = F.flatten(F.transform(board, lambda u: F.coalesce(u["item_ids"], F.array().cast("array<string>"))))
             carried = F.concat(
-                carried, F.array_compact(F.transform(items, lambda i: F.try_element_at(self._emblem_trait, i)))
+                carried, F.array_compact(F.transform(items, lambda i: self._emblem_trait(i)))
             )
         return tally(carried)
 
@@ -152,7 +150,7 @@ class BoardEncoder:
                 lambda u: F.struct(
                     u.alias("u"),
                     let(bare(u["loc"]), cell_code).alias("code"),
-                    F.try_element_at(self._unit_id, u["unit"]).alias("unit_id"),
+                    self._unit_id(u["unit"]).alias("unit_id"),
                     F.lit(is_player).alias("is_player"),
                 ),
             )
@@ -161,7 +159,7 @@ class BoardEncoder:
         def record(r: Column) -> Column:
             row, col = code_row(r["code"]), code_col(r["code"])
             items = [
-                F.coalesce(F.try_element_at(self._item_id, item_at(r["u"]["item_ids"], slot)), F.lit(0)).alias(f"item{slot + 1}")
+                F.coalesce(self._item_id(item_at(r["u"]["item_ids"], slot)), F.lit(0)).alias(f"item{slot + 1}")
                 for slot in range(MAX_ITEMS)
             ]
             return F.struct(
@@ -194,25 +192,40 @@ class BoardEncoder:
 
 
 def last_on_cell(records: Column) -> Column:
-    """One record per ``cell``, ordered by cell: of several in list order the last wins."""
-    last = F.filter(
-        records,
-        lambda r, place: ~F.exists(F.slice(records, place + 2, F.size(records)), lambda later: later["cell"] == r["cell"]),
-    )
-    return F.sort_array(F.transform(last, lambda r: F.struct(r["cell"].alias("cell"), *[r[c].alias(c) for c in CHANNELS])))
+    """One record per ``cell``, ordered by cell: of several in list order the last wins. One sort, one comparison of neighbours."""
+    placed = F.transform(records, lambda r, place: F.struct(r["cell"].alias("cell"), place.alias("place"), *[r[c].alias(c) for c in CHANNELS]))
+
+    def last(ordered: Column) -> Column:
+        return F.filter(ordered, lambda r, k: F.coalesce(F.get(ordered, k + 1)["cell"] != r["cell"], F.lit(True)))
+
+    return F.transform(let(F.sort_array(placed), last), lambda r: F.struct(r["cell"].alias("cell"), *[r[c].alias(c) for c in CHANNELS]))
 
 
 def tensor_of(records: Column) -> Column:
-    """Flat board tensor of an array of records in list order with ``cell`` and the channel fields."""
+    """Flat board tensor of an array of records in list order with ``cell`` and the channel fields.
+
+    All channels are scattered at once: the run of empty cells before each record is made once, every channel lines these runs up with
+    its own values, and one flattening joins all pieces.
+    """
+
+    def zeros(count: Column) -> Column:
+        return F.array_repeat(F.lit(0), count)
+
+    def gaps(occupied: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(occupied, k - 1)["cell"]).otherwise(-1)
+        return F.transform(occupied, lambda r, k: F.struct(zeros(r["cell"] - before(k) - 1).alias("gap"), *[r[c].alias(c) for c in CHANNELS]))
+
+    def pieces(runs: Column, rest: Column) -> Column:
+        def channel(name: str) -> Column:
+            return F.concat(F.flatten(F.transform(runs, lambda r: F.array(r["gap"], F.array(r[name])))), F.array(rest))
 
-    def channel(cells: Column, name: str) -> Column:
-        filled = F.filter(cells, lambda r: r[name] != 0)
-        return dense(F.transform(filled, lambda r: F.struct(r["cell"].alias("idx"), r[name].alias("n"))), CELLS)
+        return F.flatten(F.concat(*[channel(name) for name in CHANNELS]))
 
-    def channels(cells: Column) -> Column:
-        return F.concat(*[channel(cells, name) for name in CHANNELS])
+    def scattered(occupied: Column) -> Column:
+        after = F.lit(CELLS - 1) - F.coalesce(F.get(occupied, F.size(occupied) - 1)["cell"], F.lit(-1))
+        return let(zeros(after), lambda rest: let(gaps(occupied), lambda runs: pieces(runs, rest)))
 
-    return let(let(records, last_on_cell), channels)
+    return let(last_on_cell(records), scattered)
 
 
 def board_type() -> str:

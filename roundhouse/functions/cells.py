@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from roundhouse.functions.arrays import literal_array
+from roundhouse.functions.arrays import let
 from roundhouse.schema import COLS, ROWS
 
 # The accepted spellings of a cell once every "_" is removed. The tolerant one takes what an integer
 # parser takes for the column (blanks, a plus sign, leading zeros); the strict one is a clean snapshot cell.
 TOLERANT = r"^\s*([A-Da-d])\s*\+?0*([1-7])\s*$"
 STRICT = r"^[A-D][1-7]$"
-CELL_NAMES = [f"{chr(ord('A') + row)}{col + 1}" for row in range(ROWS) for col in range(COLS)]
 
 
 def bare(loc: Column) -> Column:
@@ -23,10 +22,17 @@ def bare(loc: Column) -> Column:
 def cell_code(text: Column) -> Column:
     """``row * 7 + col`` of a tolerant cell text given without ``_``, -1 when it is not a cell.
 
-    Two plain characters, the usual case, are looked up; only other spellings go through the pattern.
+    Two plain characters, the usual case, are read directly; only other spellings go through the pattern.
     """
-    plain = F.when(F.length(text) == 2, text).otherwise(F.regexp_replace(text, TOLERANT, "$1$2"))
-    return F.coalesce(F.array_position(literal_array(CELL_NAMES, "string"), F.upper(plain)), F.lit(0)).cast("int") - 1
+
+    def plain(two: Column) -> Column:
+        row, col = F.ascii(F.upper(two)) - ord("A"), F.ascii(F.substring(two, 2, 1)) - ord("1")
+        return F.when(row.between(0, ROWS - 1) & col.between(0, COLS - 1), row * COLS + col).otherwise(-1)
+
+    def other(spelled: Column) -> Column:
+        return F.when(F.length(spelled) == 2, plain(spelled)).otherwise(-1)
+
+    return F.when(F.length(text) == 2, plain(text)).otherwise(let(F.regexp_replace(text, TOLERANT, "$1$2"), other))
 
 
 def code_row(code: Column) -> Column:

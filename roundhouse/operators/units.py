@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roundhouse.dims import Dims
-from roundhouse.functions.arrays import literal_map
+from roundhouse.functions.arrays import literal_lookup
 from roundhouse.functions.cells import bare, board_cell, cell_code, code_col, code_row
 from roundhouse.functions.scalars import item_at, tier_multiplier
 from roundhouse.schema import CHANNELS, MAX_ITEMS, MAX_UNITS, TEAMS, TIERS
@@ -75,9 +75,9 @@ def place_units(units: DataFrame, dims: Dims) -> DataFrame:
 
 def encode_items(units: DataFrame, dims: Dims) -> DataFrame:
     """Add ``item1..3``: vocabulary ids of the first three slots by position, 0 for an empty, null or unknown slot."""
-    ids = literal_map(dict(dims.item_vocab), "string", "bigint")
+    ids = literal_lookup(dict(dims.item_vocab), "bigint")
     for slot in range(MAX_ITEMS):
-        found = F.try_element_at(ids, item_at(F.col("item_ids"), slot))
+        found = ids(item_at(F.col("item_ids"), slot))
         units = units.withColumn(f"item{slot + 1}", F.coalesce(found, F.lit(0).cast("bigint")))
     return units
 
