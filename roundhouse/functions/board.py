@@ -60,8 +60,8 @@ class BoardEncoder:
 
         return F.aggregate(board, F.lit(0).cast("bigint"), add)
 
-    def unit_tier_entries(self, board: Column) -> Column:
-        """Counts per (unit, tier) as sparse entries over ``len(units) * 4`` slots; other tiers are dropped."""
+    def unit_tier_slots(self, board: Column) -> Column:
+        """Slot of every known unit by unit and tier, copies kept, in list order; other tiers are dropped."""
         slots = F.transform(
             board,
             lambda u: F.when(
@@ -69,7 +69,11 @@ class BoardEncoder:
                 self._unit_position(u["unit"]) * len(TIERS) + u["tier"].cast("int") - 1,
             ),
         )
-        return tally(F.array_compact(slots))
+        return F.array_compact(slots)
+
+    def unit_tier_entries(self, board: Column) -> Column:
+        """Counts per (unit, tier) as sparse entries over ``len(units) * 4`` slots."""
+        return tally(self.unit_tier_slots(board))
 
     def trait_counts(self, board: Column, *, distinct_units: bool, emblems: bool) -> Column:
         """``array<struct<idx: trait position, n>>`` of one side.
@@ -129,6 +133,17 @@ class BoardEncoder:
         costs = F.array(*[self.total_cost(side).cast(kind) for side in sides])
         return F.concat(*units, *traits, costs)
 
+    def wide_words(self, player: Column, opponent: Column) -> Column:
+        """The wide layout but for the costs as names of its features, each as often as its value says."""
+        names = literal_array(self.dims.wide_names, "string")
+        sides = (player, opponent)
+        units = [_named(names, self.unit_tier_slots(board), k * self.unit_slots) for k, board in enumerate(sides)]
+        traits = []
+        for k, board in enumerate(sides):
+            flags = self.level_entries(self.trait_counts(board, distinct_units=False, emblems=False))
+            traits.append(_named(names, F.transform(flags, lambda e: e["idx"]), len(sides) * self.unit_slots + k * self.trait_slots))
+        return F.concat(*units, *traits)
+
     def onehot_pair(self, player: Column, opponent: Column) -> Column:
         """Trait one-hot of both sides, player first: copies count, emblems do not."""
         return F.concat(self.trait_onehot(player), self.trait_onehot(opponent))
@@ -191,6 +206,11 @@ class BoardEncoder:
         return F.coalesce(F.get(ids, F.size(F.filter(releases, lambda r: r <= timestamp)) - 1), F.lit(0))
 
 
+def _named(names: Column, places: Column, first: int) -> Column:
+    """Names at the given places, counted from ``first``."""
+    return F.transform(places, lambda place: F.get(names, place.cast("int") + first))
+
+
 def last_on_cell(records: Column) -> Column:
     """One record per ``cell``, ordered by cell: of several in list order the last wins. One sort, one comparison of neighbours."""
     placed = F.transform(records, lambda r, place: F.struct(r["cell"].alias("cell"), place.alias("place"), *[r[c].alias(c) for c in CHANNELS]))

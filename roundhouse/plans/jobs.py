@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,11 @@ from roundhouse.plans.catalog import build_catalog
 from roundhouse.session import get_spark
 from roundhouse.sources.features import read_feature_order, read_features, write_feature_order
 from roundhouse.sources.rounds import read_items, read_requests, read_rounds, read_set, write_sample_boards
-from roundhouse.streaming.scorer import stream_score
+from roundhouse.streaming.scorer import stream_checked, stream_score
 
 EXTRACTORS = {
     "extract-baseline-features": extract.extract_baseline_features,
+    "extract-sparse-features": extract.extract_sparse_features,
     "extract-cnn-features": extract.extract_cnn_features,
     "extract-vit-features": extract.extract_vit_features,
 }
@@ -42,12 +44,22 @@ def parser() -> argparse.ArgumentParser:
         return sub
 
     for name in EXTRACTORS:
-        job(name, "raw-path", "feature-path", "dims").add_argument("--short-key", action="store_true", help="leave the player out of the round key")
-    job("train-baseline", "feature-path", "model-path").add_argument("--test-size", type=float, default=0.2)
+        sub = job(name, "raw-path", "feature-path", "dims")
+        sub.add_argument("--short-key", action="store_true", help="leave the player out of the round key")
+        sub.add_argument("--chunk", help="name of new files' chunk: they are numbered and added behind the chunks extracted before")
+    sub = job("split-features", "feature-path", "out")
+    sub.add_argument("--train-split", type=float, default=0.8)
+    sub.add_argument("--val-split", type=float, default=0.1)
+    sub = job("train-baseline", "feature-path", "model-path")
+    sub.add_argument("--test-size", type=float, default=0.2)
+    sub.add_argument("--dims", help="for features as words: the folder of the dimensions they were extracted with")
+    sub.add_argument("--iterations", type=int, default=20)
     for name in ("train-cnn", "train-vit"):
         sub = job(name, "feature-path", "model-path")
         sub.add_argument("--train-split", type=float, default=0.8)
         sub.add_argument("--val-split", type=float, default=0.1)
+        for option, kind, default in (("seed", int, 0), ("augment", float, 0.5), ("decay", float, None), ("iterations", int, 30), ("regularisation", float, 0.01)):
+            sub.add_argument(f"--{option}", type=kind, default=default)
     for name in ("hpo-cnn", "hpo-vit"):
         sub = job(name, "feature-path", "out")
         sub.add_argument("--n-trials", type=int, default=30)
@@ -68,6 +80,7 @@ def parser() -> argparse.ArgumentParser:
     sub = job("stream-score", "raw-path", "out", "model-path", "dims", "state")
     sub.add_argument("--kind", choices=("vit", "cnn", "xgboost"), default="vit")
     sub.add_argument("--keep-running", action="store_true")
+    sub.add_argument("--quarantine", action="store_true", help="keep boards that break a rule apart, in valid=false of the output")
     return top
 
 
@@ -79,9 +92,10 @@ def shown_names(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
 
 def load_scorer(spark: SparkSession, path: str, kind: str) -> score.Scorer:
-    """A saved model, with its feature order when it is tabular."""
-    order = tuple(read_feature_order(spark, path)) if kind == "xgboost" else ()
-    return score.Scorer(PipelineModel.load(path), kind, order)
+    """A saved model, with its feature order when it takes columns."""
+    model = PipelineModel.load(path)
+    columns = kind == "xgboost" and not isinstance(model.stages[0], CountVectorizerModel)
+    return score.Scorer(model, kind, tuple(read_feature_order(spark, path)) if columns else ())
 
 
 def save(trained: train.Trained, spark: SparkSession, path: str) -> None:
@@ -95,18 +109,28 @@ def save(trained: train.Trained, spark: SparkSession, path: str) -> None:
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     """Run one parsed job."""
     if args.job in EXTRACTORS:
-        EXTRACTORS[args.job](spark, args.raw_path, args.feature_path, Dims.read(spark, args.dims), include_player=not args.short_key)
+        EXTRACTORS[args.job](spark, args.raw_path, args.feature_path, Dims.read(spark, args.dims), include_player=not args.short_key, chunk=args.chunk)
+    elif args.job == "split-features":
+        extract.split_features(spark, args.feature_path, args.out, (args.train_split, args.val_split))
     elif args.job == "train-baseline":
         features = read_features(spark, args.feature_path)
-        names = [c for c in features.columns if c not in extract.KEYS]
-        trained = train.train_tabular(features, names, test_size=args.test_size)
+        names = [c for c in features.columns if c not in (*extract.KEYS, "split", "chunk")]
+        if "words" in names:
+            if not args.dims:
+                raise SystemExit("features as words need --dims")
+            names = Dims.read(spark, args.dims).wide_names
+        trained = train.train_tabular(features, names, test_size=args.test_size, params={"maxIter": args.iterations})
         save(trained, spark, args.model_path)
         print(f"accuracy on the training rows: {trained.train_accuracy}")
         train.top_importances(trained).show(truncate=False)
     elif args.job in ("train-cnn", "train-vit"):
         features = read_features(spark, args.feature_path)
-        fractions = (args.train_split, args.val_split)
-        save(train.train_board(features, trait_ids=args.job == "train-vit", fractions=fractions), spark, args.model_path)
+        trained = train.train_board(
+            features, trait_ids=args.job == "train-vit", fractions=(args.train_split, args.val_split), augment=args.augment, seed=args.seed,
+            decay=args.decay, params={"maxIter": args.iterations, "regParam": args.regularisation},
+        )
+        save(trained, spark, args.model_path)
+        print(f"accuracy on the training rows: {trained.train_accuracy}")
     elif args.job in ("hpo-cnn", "hpo-vit"):
         trials, best = train.search_board(
             read_features(spark, args.feature_path), BOARD_SPACE, n_trials=args.n_trials, seed=args.seed, trait_ids=args.job == "hpo-vit"
@@ -136,7 +160,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         rejected.select("request_id", "violations").write.mode("overwrite").parquet(args.out + "_rejected")
     else:
         scorer = load_scorer(spark, args.model_path, args.kind)
-        query = stream_score(
+        query = (stream_checked if args.quarantine else stream_score)(
             spark, args.raw_path, args.out, args.state, scorer, Dims.read(spark, args.dims), once=not args.keep_running
         )
         query.awaitTermination()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from roundhouse.functions.arrays import let
 from roundhouse.operators.assemble import quoted
 from roundhouse.operators.augment import augment_sides, with_recency_weight
 from roundhouse.operators.metrics import best_trial, brier, class_report, log_loss, roc_auc
-from roundhouse.operators.split import chrono_split
+from roundhouse.operators.split import chrono_split, with_tie
 from roundhouse.schema import CELLS, CHANNELS
 from roundhouse.session import materialise
 
@@ -74,27 +74,47 @@ def evaluate(predicted: DataFrame, *, label: str = LABEL, score: str = "score")
     return metrics, report
 
 
-def with_tie(features: DataFrame, key: str = "round_idx") -> DataFrame:
-    """A whole-number tie-breaker for rounds of equal time."""
-    return features.withColumn("_tie", F.xxhash64(key))
+def split_rows_of(features: DataFrame, fractions: Sequence[float], key: str) -> DataFrame:
+    """The features with their ``split``: the one they were written with, else one made now."""
+    if "split" in features.columns:
+        return features
+    return chrono_split(with_tie(features, key), "timestamp", "_tie", fractions).drop("_tie")
+
+
+def wide_stages(features: DataFrame, names: Sequence[str]) -> list:
+    """Pipeline stages that make the feature vector, in the order of ``names``: a sparse one of words, or one of columns."""
+    if "words" in features.columns:
+        counts = CountVectorizerModel.from_vocabulary(list(names[:-2]), inputCol="words", outputCol="counts")
+        return [counts, VectorAssembler(inputCols=["counts", *names[-2:]], outputCol="features")]
+    return [VectorAssembler(inputCols=short_names(names), outputCol="features")]
 
 
 def train_tabular(
     features: DataFrame, names: Sequence[str], *, test_size: float = 0.2, params: Mapping | None = None, key: str = "round_idx"
 ) -> Trained:
-    """Gradient-boosted trees on the wide columns: oldest rounds train, newest test; the accuracy on the training rows is told too."""
-    split = chrono_split(with_tie(features, key), "timestamp", "_tie", (1.0 - test_size,)).drop("_tie")
-    rows = assembled(split, names).withColumn(LABEL, F.col(LABEL).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    """Gradient-boosted trees: oldest rounds train, newest test; the accuracy on the training rows is told too.
+
+    ``features`` has the wide columns, or ``words`` and the two costs, which go into a sparse vector in the order of ``names``.
+    Rows that have a ``split`` keep it; those of ``val`` take no part.
+    """
+    rows = split_rows_of(features, (1.0 - test_size,), key)
+    rows = (rows if "words" in rows.columns else assembled(rows, names)).withColumn(LABEL, F.col(LABEL).cast("double"))
     boosted = GBTClassifier(labelCol=LABEL, featuresCol="features", seed=0, **{"maxIter": 20, "maxDepth": 5, **(params or {})})
-    stages = [VectorAssembler(inputCols=short_names(names), outputCol="features"), boosted]
-    model = Pipeline(stages=stages).fit(rows.filter("split = 'train'"))
-    scored = model.transform(rows.filter("split = 'test'"))
+    fit, test = (rows.filter(F.col("split") == name) for name in ("train", "test"))
+    fit = fit.persist(StorageLevel.MEMORY_AND_DISK)
+    model = Pipeline(stages=[*wide_stages(features, names), boosted]).fit(fit)
+    scored = model.transform(test)
     metrics, report = evaluate(scored.select(LABEL, probability(scored).alias("score")))
-    fitted = model.transform(rows.filter("split = 'train'")).agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
-    rows.unpersist()
+    fitted = train_accuracy(model, fit)
+    fit.unpersist()
     return Trained(model, metrics, report, list(names), fitted)
 
 
+def train_accuracy(model: PipelineModel, rows: DataFrame) -> float | None:
+    """Share of the rows that a model trained on them gets right."""
+    return model.transform(rows).agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
+
+
 def top_importances(trained: Trained, k: int = 10) -> DataFrame:
     """The ``k`` most important features of a tree model."""
     weights = trained.model.stages[-1].featureImportances.toArray().tolist()
@@ -147,7 +167,8 @@ def train_board(
     ``decay`` weights rounds by recency when the features hold ``patch_id``. This stands in for an image network: it trains
     on any cluster, and is not expected to reach its scores.
     """
-    rows = split_rows if split_rows is not None else chrono_split(with_tie(features, key), "timestamp", "_tie", fractions).drop("_tie")
+    rows = split_rows if split_rows is not None else split_rows_of(features, fractions, key)
+    rows = rows.filter(F.col("split").isin("train", measured))
     if augment > 0:
         rows = augment_sides(rows, key, prob=augment, seed=seed, where=F.col("split") == "train")
     weights = {}
@@ -164,8 +185,9 @@ def train_board(
     model = Pipeline(stages=[hashing, LogisticRegression(labelCol=LABEL, **weights, **options)]).fit(words.filter("split = 'train'"))
     scored = model.transform(words.filter(F.col("split") == measured))
     metrics, report = evaluate(scored.select(LABEL, probability(scored).alias("score")))
+    fitted = train_accuracy(model, words.filter("split = 'train'"))
     words.unpersist()
-    return Trained(model, metrics, report, ["words"])
+    return Trained(model, metrics, report, ["words"], fitted)
 
 
 # -- search ------------------------------------------------------------------------------------------------------------
@@ -230,7 +252,7 @@ def search_board(
     key: str = "round_idx",
 ) -> tuple[DataFrame, DataFrame]:
     """Search the board model's parameters; each trial is measured by its log-loss on the validation split."""
-    rows = chrono_split(with_tie(features, key), "timestamp", "_tie").drop("_tie").filter("split <> 'test'")
+    rows = split_rows_of(features, (0.8, 0.1), key).filter("split <> 'test'")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def loss(params: dict) -> float:

@@ -56,10 +56,3 @@ REQUESTS = T.StructType(
         T.StructField("opponent", T.ArrayType(PLACED_UNIT)),
     ]
 )
-
-# Set metadata, as far as it is used, in DDL.
-SET = (
-    "champions array<struct<apiName: string, name: string, cost: bigint, traits: array<string>>>, "
-    "traits array<struct<name: string, icon: string, effects: array<struct<minUnits: bigint>>>>"
-)
-ITEM = "struct<apiName: string, name: string, tags: array<string>, icon: string>"

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 ORDER_SUFFIX = "_columns"
 
 
-def write_features(df: DataFrame, path: str, *, ts: str = "timestamp", key: str = "round_idx", split: str | None = None) -> None:
+def write_features(df: DataFrame, path: str, *, ts: str = "timestamp", key: str = "round_idx", split: str | None = None, replace: bool = True) -> None:
     """Range-partition by time and sort inside each file, so that a time range or a split is a run of few files.
 
-    With ``split`` the table is also partitioned by that column and readers of one split open its files only.
+    With ``split`` the table is also partitioned by that column and readers of one split open its files only; without ``replace``
+    the folders of other values stay as they are.
     """
     leading = [split] if split else []
     ordered = df.repartitionByRange(*leading, ts, key).sortWithinPartitions(*leading, ts, key)
-    writer = ordered.write.mode("overwrite")
+    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "static" if replace else "dynamic")
     (writer.partitionBy(split) if split else writer).parquet(path)
 
 

@@ -283,11 +283,6 @@ def stage_sample_exact(spark, d):
     return picked.select("stage", "round_key", "match_uuid")
 
 
-@query("sample_boards")
-def sample_boards(spark, d):
-    return sample.sample_boards(adapter.nested_rounds(spark, d), dims(), key="round_key", min_units=1)
-
-
 # -- validation --------------------------------------------------------------------------------------------------------
 
 
