@@ -22,8 +22,8 @@ RUNS = re.compile(r"[ \t\n\r\x0b\x0c]{3}|[ \t\n\r\x0b\x0c]{2}\Z")
 #: a text without any of these has no such run
 RUN_STARTS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 PUNCTUATION = ".,;:!?()[]{}*#$%&|/+-=_<>@^~\"`"
-#: pieces and matches that a worker keeps, in each of two generations
-KEPT = 120_000
+#: words, and matches in other pieces, that a worker keeps, in each of two generations
+KEPT, KEPT_MATCHES = 400_000, 100_000
 #: longest text that is cut into pieces at once, in characters
 STEP = 1 << 20
 
@@ -49,17 +49,22 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memory(dict):
-    """Bytes by text in two generations: a full one becomes the old one, from which what is met again comes back."""
+    """Bytes by text in two generations: a full one becomes the old one, from which what is met again comes back.
 
-    def __init__(self, make):
+    ``make`` gives the bytes and whether to keep them.
+    """
+
+    def __init__(self, make, kept: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.kept, self.old = make, kept, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
-            value = self.make(key)
-        if len(self) >= KEPT:
+            value, keep = self.make(key)
+            if not keep:
+                return value
+        if len(self) >= self.kept:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -84,8 +89,8 @@ class Encoder:
         self.find = regex.compile(WORD_PATTERN if self.normal else BYTE_PATTERN).findall
         self.space = "" if self.normal else " "
         self.letters = byte_letters()
-        self.known = Memory(self.after_space)
-        self.matches = Memory(self.matched)
+        self.known = Memory(self.after_space, KEPT)
+        self.matches = Memory(lambda match: (self.matched(match), True), KEPT_MATCHES)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -100,18 +105,23 @@ class Encoder:
             text = text.lower() if text.isascii() else self.normal(text)
         return b"".join(map(self.matches.__getitem__, self.find(text)))
 
-    def after_space(self, piece: str) -> bytes:
-        """Ids of a piece that follows a space; letters with punctuation behind them need no pattern."""
+    def after_space(self, piece: str) -> tuple[bytes, bool]:
+        """Ids of a piece that follows a space, and whether to keep them.
+
+        Letters alone are one match. Letters with punctuation behind them are the word's ids and the punctuation's; only the word is kept,
+        so that memory holds each word once.
+        """
         core = piece.rstrip(PUNCTUATION)
         if not core.isalpha():
-            return self.piece(" " + piece)
-        mark = piece[len(core) :]
+            return self.piece(" " + piece), True
+        word = core
         if self.normal:
-            core = core.lower() if core.isascii() else self.normal(core)
-            if not core.isalpha():
-                return self.piece(" " + piece)
-        ids = self.matches[self.space + core]
-        return ids + self.matches[mark] if mark else ids
+            word = core.lower() if core.isascii() else self.normal(core)
+            if not word.isalpha():
+                return self.piece(" " + piece), True
+        if len(core) == len(piece):
+            return self.matched(self.space + word), True
+        return self.known[core] + self.matches[piece[len(core) :]], False
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """One bytes object for each text; null counts as empty."""
