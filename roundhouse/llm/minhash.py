@@ -110,7 +110,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``row, elements`` (sorted 64-bit numbers) for wanted ``row, doc_id, d1, d2``; the text is found by id and told by its digest."""
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("row", "d1", "d2", "text")
+    own = wanted.select(F.col("doc_id").alias("own"), "row", "d1", "d2")
+    rows = docs.select("doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("own"))).select("row", "d1", "d2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -220,13 +221,16 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, scratch:
     while True:
         at = left if label is None else left.join(label.withColumnRenamed("node", "row"), "row", "left")
         at = at.withColumn("label", F.coalesce(F.col("label"), F.col("row")) if label is not None else F.col("row"))
-        open_buckets = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        same = [F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.shiftright(F.xxhash64("row", F.lit(1)), 24)).alias("y"), F.count("*").alias("z")]
+        open_buckets = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *same).where("lo < hi")
+        open_buckets = open_buckets.groupBy("x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket")  # of buckets with the same nodes one
         at = scratch.save(at.join(open_buckets, "bucket"))
         if at.isEmpty():
             break
         if step == 1:
             sets = scratch.save(sets_of(docs, nodes.select("row", "doc_id", "d1", "d2").join(at.select("row").distinct(), "row"), words))
-            at = at.drop("c").join(element_counts(sets, scratch), "row").where(F.col("c") * 100 >= F.col("n") * percent)
+            able = element_counts(sets, scratch).join(nodes.select("row", F.col("n").alias("own")), "row").where(F.col("c") * 100 >= F.col("own") * percent)
+            at = at.drop("c").join(scratch.save(able.select("row", "c")), "row")
         at = at.withColumn("h", F.struct((F.col("n") - F.col("c")) / F.col("n"), F.xxhash64("row", F.lit(step))))
         if step < 2:
             chosen = at.groupBy("bucket").agg(F.min(F.struct("h", "row", "n", "c", "label")).alias("p"))
