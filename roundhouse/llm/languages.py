@@ -145,6 +145,7 @@ class Model:
         self.languages = sorted(languages)
         self.families = sorted({family(x) for x in languages})
         self.pairs = sorted(machines)
+        self.places = {pair: place for place, pair in enumerate(self.pairs)}
         size = len(SIZES) * SLOTS
         self.weights = np.stack([machines[p][:size] for p in self.pairs], axis=1).astype(np.float32) if self.pairs else np.zeros((size, 0), np.float32)
         self.bias = np.array([machines[p][size] for p in self.pairs])
@@ -154,7 +155,9 @@ class Model:
         votes, sums, least = (np.zeros((len(margins), len(names))) for _ in range(3))
         least += np.inf
         for a, b in itertools.combinations(range(len(names)), 2):
-            m = margins[:, self.pairs.index((names[a], names[b]))]
+            if (names[a], names[b]) not in self.places:  # neither side had an example
+                continue
+            m = margins[:, self.places[names[a], names[b]]]
             for k, v in ((a, m), (b, -m)):
                 votes[:, k] += v > 0
                 sums[:, k] += v
@@ -177,11 +180,11 @@ class Model:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of every language that rows outside the held-out part are labelled with, or None if there is none."""
+    """A model of every language that rows with a letter outside the held-out part are labelled with, or None if there is none."""
     bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("text"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    chosen = labelled.where("text IS NOT NULL").select("i", "l").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).select("i", "l").distinct()
+    chosen = labelled.where(F.regexp_like("text", F.lit(r"\p{L}"))).select("i", "l").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).select("i", "l").distinct()
     sample = labelled.join(F.broadcast(chosen), ["i", "l"]).where(F.regexp_like("text", F.lit(r"\p{L}")))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,7 @@ def prediction(model: Model | None, text: Column) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row, by a model of the same table's labelled rows.
 
-    Without labelled rows every text is ``und``. Rows that repeat an id are predicted each for itself. An empty table gives no rows.
+    Without labelled rows that hold a letter every text is ``und``. Rows that repeat an id are predicted each for itself. An empty table gives no rows.
     """
     model = learn(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), prediction(model, F.col(text_col)).alias("p"))
@@ -243,6 +246,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose language could be told, with all their columns."""
+    """The rows whose language could be told, with all their columns: null texts and texts without a letter go, and without labelled rows all."""
     model = learn(docs, id_col, text_col, lang_col)
     return docs.where(prediction(model, F.col(text_col))["lang"] != UNKNOWN)
