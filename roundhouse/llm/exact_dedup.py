@@ -21,6 +21,8 @@ from roundhouse.llm.shared import Scratch, fresh
 
 #: fingerprints in a segment of the merged filter, about
 SEGMENT_ROWS = 1 << 20
+#: slots of 64 bits in the largest bitmap of fingerprints that is broadcast
+MOST_SLOTS = 1 << 19
 SEGMENT = "segment bigint, runs binary, remainders binary, counts binary"
 
 
@@ -111,19 +113,47 @@ def repeated(prints: DataFrame, rows: int) -> DataFrame:
     return filters.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "fp bigint, n bigint")
 
 
-def classes(docs: DataFrame, text: Column, scratch: Scratch, prints: DataFrame) -> DataFrame:
-    """``fp, sha, keep_id, keep_row, group_size`` of each text that occurs more than once.
+def bitmap(prints: DataFrame, many: int) -> tuple[DataFrame, int]:
+    """``slot, bits`` of fingerprints, and the number of slots: a table that can be broadcast however many there are.
 
-    ``prints`` is a written table ``doc_id, row, fp, sha`` of ``docs``. Different texts with equal SHA-256 and fingerprint would end the job.
+    With more fingerprints than ``MOST_SLOTS`` has bits it lets more rows through, never fewer.
+    """
+    size = min(MOST_SLOTS, 1 << max(8, math.ceil(math.log2(many / 4 + 1))))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("fp").bitwiseAND(F.lit(63)).cast("int"))
+    return prints.select(slot_of(F.col("fp"), size).alias("slot"), one.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")), size
+
+
+def slot_of(fp: Column, size: int) -> Column:
+    return F.shiftrightunsigned(fp, 6).bitwiseAND(F.lit(size - 1))
+
+
+def flagged(rows: DataFrame, fp: str, bits: DataFrame, size: int, name: str) -> DataFrame:
+    """Add ``name``: whether a row's fingerprint may be in the bitmap. Nothing is shuffled."""
+    slot, mask = fresh([*rows.columns, name], "slot", "bits")
+    bits = bits.select(F.col("slot").alias(slot), F.col("bits").alias(mask))
+    joined = rows.withColumn(name, slot_of(F.col(fp), size)).join(F.broadcast(bits), F.col(name) == F.col(slot), "left")
+    place = F.col(fp).bitwiseAND(F.lit(63)).cast("int")
+    found = F.coalesce(F.call_function("shiftright", F.col(mask), place).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return joined.withColumn(name, found).drop(slot, mask)
+
+
+def classes(docs: DataFrame, text: Column, scratch: Scratch, prints: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``fp, sha, keep_id, keep_row, group_size`` of each text that occurs more than once, and a bitmap of their fingerprints.
+
+    ``prints`` is a written table ``doc_id, row, fp, sha`` of ``docs``. A text moves only if its fingerprint may be repeated. Different texts
+    with equal SHA-256 and fingerprint would end the job.
     """
     twice = scratch.save(repeated(prints, prints.count()))
-    bodies = docs.select(F.xxhash64(text).alias("fp"), text.alias("text"))
+    bits, size = bitmap(twice, twice.count())
+    bits = scratch.save(bits)
+    bodies = flagged(docs.select(F.xxhash64(text).alias("fp"), text.alias("text")), "fp", bits, size, "again").where("again").drop("again")
     by_bytes = bodies.join(twice.select("fp"), "fp").groupBy("fp", "text").agg(F.count("*").alias("group_size")).where("group_size > 1")
     verified = scratch.save(by_bytes.select("fp", F.sha2("text", 256).alias("sha"), "group_size"))
     one = verified.groupBy("fp", "sha").agg(F.count("*").alias("texts"), F.max("group_size").alias("group_size"))
     one = one.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error("different texts have the same SHA-256")))
     last = prints.join(twice.select("fp"), "fp").groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "row")).alias("keep"))
-    return scratch.save(last.join(one, ["fp", "sha"]).select("fp", "sha", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size"))
+    found = last.join(one, ["fp", "sha"]).select("fp", "sha", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size")
+    return scratch.save(found), bits, size
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +164,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(docs.sparkSession, "exact")
     text = F.coalesce(F.col(text_col), F.lit(""))
     prints = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("sha")))
-    found = prints.join(classes(docs, text, scratch, prints), ["fp", "sha"], "left")
+    found = prints.join(classes(docs, text, scratch, prints)[0], ["fp", "sha"], "left")
     return found.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -145,14 +175,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Rows that are alone aren't shuffled unless Spark joins by sorting."""
+    """The rows that stay, with all their columns; null text counts as empty, null ids are smallest.
+
+    Only rows whose fingerprint may be repeated are shuffled; a bitmap of bounded size, broadcast, tells the others apart in the scan.
+    """
     scratch = Scratch(docs.sparkSession, "exact")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    names = ["fp", "sha", "keep_id", "single"]
-    fp, sha, keep, single = fresh(docs.columns, *names)
+    fp, sha, keep, again = fresh(docs.columns, "fp", "sha", "keep_id", "again")
     prints = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("sha")))
-    groups = classes(docs, text, scratch, prints).select(F.col("fp").alias(fp), F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.lit(False).alias(single))
-    marked = docs.withColumns({fp: F.xxhash64(text), sha: F.sha2(text, 256)}).join(groups, [fp, sha], "left")
-    alone = marked.where(F.col(single).isNull())
-    last = marked.where(~F.col(single) & F.col(id_col).eqNullSafe(F.col(keep))).dropDuplicates([fp, sha])
-    return alone.unionByName(last).select(*docs.columns)
+    groups, bits, size = classes(docs, text, scratch, prints)
+    groups = groups.select(F.col("fp").alias(fp), F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.lit(True).alias(again))
+    rows = flagged(docs.withColumn(fp, F.xxhash64(text)), fp, bits, size, again)
+    alone = rows.where(~F.col(again)).select(*docs.columns)
+    told = rows.where(F.col(again)).drop(again).withColumn(sha, F.sha2(text, 256)).join(groups, [fp, sha], "left")
+    single = told.where(F.col(again).isNull()).select(*docs.columns)
+    last = told.where(F.col(again) & F.col(id_col).eqNullSafe(F.col(keep))).dropDuplicates([fp, sha]).select(*docs.columns)
+    return alone.unionAll(single).unionAll(last)

@@ -247,3 +247,11 @@ def test_pipeline(spark, docs, tmp_path):
     assert kept["near_dedup"] <= kept["exact_dedup"] and kept["packing"] == kept["mixture"] <= kept["near_dedup"]
     assert len(kept["mixture"]) >= 0.8 * len(kept["near_dedup"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frame.count()
+
+
+def test_languages_without_a_letter_are_left_out(spark):
+    rows = [(i, t, n, None, None) for i, (t, n) in enumerate([("1 2 3", "en"), ("...", "de"), ("4", "fr"), ("hello there friend", "en"), ("the dog runs", "en"), ("77", "ru"), ("88", "uk")] * 8)]
+    found = languages.identify(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.lang_pred for r in found} == {"en", "und"}
+    numbers = spark.createDataFrame([(i, "1 2", n, None, None) for i, n in enumerate(["en", "de", "ru"] * 9)], SCHEMA)
+    assert {r.lang_pred for r in languages.identify(numbers).collect()} == {"und"}

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roundhouse.llm import exact_dedup, minhash
 from roundhouse.llm.components import components
@@ -158,3 +159,18 @@ def test_filters_merge_without_loss():
             own = top == s
             one = exact_dedup.QuotientFilter.of(a[own], counts[own], 4, 12)
             assert (one.fingerprints(int(s), 4, 12) == a[own]).all() and one.runs.sum() == own.sum()
+
+
+def test_null_ids_keep_links(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (5, base), (7, base + " x"), (9, base + " y z"), (None, None), (11, "alone here")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).coalesce(1)
+    found = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(docs, words=2, percent=80).collect()}
+    assert {k: v for k, v in found.items() if k[1] > 1 or k[0] == 11} == {(None, 59): (5, False), (5, 59): (5, True), (7, 60): (5, False), (9, 61): (5, False), (11, 1): (11, True)}
+
+
+def test_few_slots_only_let_more_rows_through(spark, edge_docs, monkeypatch):
+    wide = edge_docs.withColumn("FP", F.lit(1)).withColumn("again", F.lit("x"))
+    whole = sorted(map(str, exact_dedup.without_duplicates(wide).collect()))
+    monkeypatch.setattr(exact_dedup, "MOST_SLOTS", 1)
+    assert sorted(map(str, exact_dedup.without_duplicates(wide).collect())) == whole
