@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from roundhouse.llm.shared import bound_batches
+from roundhouse.llm.shared import bound_batches, fresh
 from roundhouse.llm.words import buffers
 
 #: training rows of a language: those of the least hashed ids; learning needs no more, and every group that trains stays bounded
@@ -179,13 +179,28 @@ class Model:
         return out.tolist(), score
 
 
+def least_hashed(rows: DataFrame, most: int) -> DataFrame:
+    """Of ``i, l`` the ``most`` rows of the least hashes for each ``l``, without repeats.
+
+    Hashes are counted in steps that widen with the hash, an eighth of a power of two each, so the steps that reach ``most`` rows hold few
+    more than that, however many rows or tasks there are; only those rows move.
+    """
+    step = F.floor(F.log2(F.xxhash64("i").cast("double") + (2.0**63 + 1)) * 8)
+    counts = rows.groupBy("l", step.alias("step")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("l").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before", before).where(F.col("before") < most).groupBy("l").agg(F.max("step").alias("last"))
+    near = rows.join(F.broadcast(last), "l").where(step <= F.col("last"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= most).select("i", "l").distinct()
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of every language that rows with a letter outside the held-out part are labelled with, or None if there is none."""
     bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    chosen = labelled.where(F.regexp_like("text", F.lit(r"\p{L}"))).select("i", "l").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).select("i", "l").distinct()
-    sample = labelled.join(F.broadcast(chosen), ["i", "l"]).where(F.regexp_like("text", F.lit(r"\p{L}")))
+    labelled = labelled.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    chosen = least_hashed(labelled.select("i", "l"), SAMPLE_PER_LANGUAGE)
+    sample = labelled.join(F.broadcast(chosen), ["i", "l"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +247,8 @@ def prediction(model: Model | None, text: Column) -> Column:
 
     letters = F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
     nothing = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
-    return F.when(letters, run(text)).otherwise(nothing)
+    # called non-deterministic, so that a filter on the result isn't moved below it, where it would be computed again
+    return F.when(letters, run.asNondeterministic()(text)).otherwise(nothing)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -246,6 +262,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose language could be told, with all their columns: null texts and texts without a letter go, and without labelled rows all."""
+    """The rows whose language could be told, with all their columns; a null language is filled by the prediction.
+
+    Null texts and texts without a letter go, and without labelled rows all. Rows that repeat an id, and those without one, are told each for
+    itself. An empty table gives no rows.
+    """
     model = learn(docs, id_col, text_col, lang_col)
-    return docs.where(prediction(model, F.col(text_col))["lang"] != UNKNOWN)
+    (found,) = fresh(docs.columns, "found")
+    told = docs.withColumn(found, prediction(model, F.col(text_col))["lang"]).where(F.col(found) != UNKNOWN)
+    return told.withColumn(lang_col, F.coalesce(lang_col, found)).select(*docs.columns)

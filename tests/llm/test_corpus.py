@@ -76,6 +76,23 @@ def test_recall_on_given_vectors(spark):
     assert np.mean(hits) >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_recall_of_registered_settings(spark, kind):
+    """Normally distributed vectors, the hardest to search, in one graph of the largest size; scores to the last digit."""
+    rng = np.random.default_rng(3)
+    matrix = rng.normal(size=(neighbours.SHARD_ROWS, 64))
+    matrix = matrix.astype(np.float32).astype(np.float64) if kind == "float" else matrix
+    frame = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(matrix)], f"vec_id bigint, embedding array<{kind}>, shard string")
+    found = neighbours.nearest(frame).toPandas()
+    scores = matrix[::20] @ matrix.T
+    scores[np.arange(len(scores)), np.arange(len(scores)) * 20] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    by_query = found.groupby("query_id").vec_id.apply(set)
+    assert len(by_query) == len(scores) and len(found) == 20 * len(scores)
+    assert np.mean([len(by_query[20 * k] & set(b)) / 20 for k, b in enumerate(best)]) >= 0.95
+    assert np.allclose(found.score, (matrix[found.query_id] * matrix[found.vec_id]).sum(1), rtol=1e-12, atol=1e-12)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t &amp; u</title><style>p{}</style><script>var x="</p><article>";</script></head><body class="home">
 <header>Site</header><nav><ul><li><a href="/a">Menu {n}</a></li></ul></nav><!-- <p>no</p> --><div class="ad">Buy {n}</div>
 <{tag} class="{cls}"><h1>Head&nbsp;line &lt;{n}&gt;</h1><p>One <b>bo</b>ld &eacute;<br>two {n}<p>Three<div class="comments"><p>first!</p></div></{tag}>
@@ -249,6 +266,40 @@ def test_pipeline(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frame.count()
 
 
+def test_pipeline_edges(spark, docs, edge_docs, no_docs, tmp_path):
+    """Empty, repeated, null and clashing: every stage takes what the one before kept."""
+    extra = edge_docs.withColumn("Found", F.lit(1)).withColumn("slot", F.lit(2)).withColumn("gone_id", F.lit(3)).withColumn("rank", F.lit(4)).withColumn("tokens_", F.lit(5))
+    nulls = extra.where("doc_id < 12").withColumn("doc_id", F.lit(None).cast("bigint"))
+    for name, frame in (("none", no_docs), ("edges", extra.unionAll(nulls).unionAll(extra.where("doc_id = 30")))):
+        counts = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, frame, str(tmp_path))
+            assert k == 4 or out.columns == frame.columns
+            out.write.parquet(f"{tmp_path}/{name}{k}")
+            frame = spark.read.schema(out.schema).parquet(f"{tmp_path}/{name}{k}")
+            counts.append(frame.count())
+        assert (name == "none") == (sum(counts) == 0) and counts[:4] == sorted(counts[:4], reverse=True)
+    kept = spark.read.parquet(f"{tmp_path}/edges1").groupBy("text").count().collect()
+    assert all(r["count"] == 1 for r in kept) and len(kept) == edge_docs.where(r"text RLIKE '\\p{L}'").select("text").distinct().count()
+
+
+def test_null_languages_are_filled(docs):
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang"))).withColumn("FOUND", F.lit(0))
+    told = {r.doc_id: r.lang for r in languages.identified(some).collect()}
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    assert set(told) == set(truth) and all(told[i] == truth[i] for i in truth if i % 3)
+    filled = [i for i in truth if i % 3 == 0]
+    assert sum(told[i] == truth[i] for i in filled) >= 0.95 * len(filled)
+
+
+@pytest.mark.parametrize("most", [1, 7, 400])
+def test_least_hashed(spark, most):
+    rows = spark.createDataFrame([(i % 900, "ab"[i % 3 == 0]) for i in range(3000)], "i bigint, l string").repartition(7)
+    order = languages.Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
+    plain = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("i", "l").distinct()
+    assert sorted(plain.collect()) == sorted(languages.least_hashed(rows, most).collect())
+
+
 def test_languages_without_a_letter_are_left_out(spark):
     rows = [(i, t, n, None, None) for i, (t, n) in enumerate([("1 2 3", "en"), ("...", "de"), ("4", "fr"), ("hello there friend", "en"), ("the dog runs", "en"), ("77", "ru"), ("88", "uk")] * 8)]
     found = languages.identify(spark.createDataFrame(rows, SCHEMA)).collect()
