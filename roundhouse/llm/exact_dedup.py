@@ -175,7 +175,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; null text counts as empty, null ids are smallest.
+    """The rows that stay, with all their columns; null text counts as empty, null ids are smallest. An empty table gives no rows.
 
     Only rows whose fingerprint may be repeated are shuffled; a bitmap of bounded size, broadcast, tells the others apart in the scan.
     """
@@ -184,6 +184,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fp, sha, keep, again = fresh(docs.columns, "fp", "sha", "keep_id", "again")
     prints = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("sha")))
     groups, bits, size = classes(docs, text, scratch, prints)
+    scratch.drop(prints)
     groups = groups.select(F.col("fp").alias(fp), F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.lit(True).alias(again))
     rows = flagged(docs.withColumn(fp, F.xxhash64(text)), fp, bits, size, again)
     alone = rows.where(~F.col(again)).select(*docs.columns)

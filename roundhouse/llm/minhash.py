@@ -258,15 +258,14 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, scratch:
     return label
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, th`` for every row (``th``: hash of the text, to tell rows that repeat an id).
 
     Documents are linked if their sets of ``words``-word runs, A-Z in lower case, share ``percent`` of their union, and ``component_id`` is
     the least id that links reach. Null text, or text without words, has an empty set and no links. Rows with one id and one set are
     one node, and all of them are kept or none. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     numbered = plain.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("th"), "text")
@@ -288,11 +287,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: one document of each group."""
+    """The rows that stay, with all their columns: one document of each group.
+
+    Only the list of rows that go is left of the tables written on the way. Rows without words stay; so does a null id that no other row is
+    linked with. An empty table gives no rows.
+    """
     from roundhouse.llm.shared import fresh
 
     key, th = fresh(docs.columns, "gone_id", "gone_hash")
-    gone = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col("doc_id").alias(key), F.col("th").alias(th)).distinct()
-    gone = Scratch(docs.sparkSession, "near").save(gone)
+    scratch = Scratch(docs.sparkSession, "near")
+    gone = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col, scratch=scratch).where("NOT kept").select(F.col("doc_id").alias(key), F.col("th").alias(th)).distinct()
+    gone = Scratch(docs.sparkSession, "near-gone").save(gone)
+    scratch.clear()
     same = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(th))
     return docs.join(gone, same, "left_anti")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: rows and bytes of text that a Python task is handed at a time, unless the session says otherwise; long texts make small batches
 BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "8m")}
 _LOCAL: dict[str, str] = {}
+_OPENED: ContextVar[list[Scratch] | None] = ContextVar("opened", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +44,8 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         bound_batches(spark)
+        if _OPENED.get() is not None:
+            _OPENED.get().append(self)
 
     def path(self) -> str:
         self.count += 1
@@ -57,12 +62,31 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete written tables that no later step reads."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for frame in frames:
             for path in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
                 if f"/{self.folder.rsplit('/', 1)[1]}/" in path:
-                    place = hadoop(path)
-                    place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+                    self.delete(path)
+
+    def clear(self) -> None:
+        """Delete all tables of the call; what is made of them must have been written."""
+        self.delete(self.folder)
+
+    def delete(self, path: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Delete the tables of all calls made inside when it ends; results that are still wanted must have been written elsewhere by then."""
+    opened: list[Scratch] = []
+    before = _OPENED.set(opened)
+    try:
+        yield
+    finally:
+        _OPENED.reset(before)
+        for scratch in opened:
+            scratch.clear()
 
 
 def fresh(taken: Iterable[str], *names: str) -> list[str]:

@@ -174,3 +174,19 @@ def test_few_slots_only_let_more_rows_through(spark, edge_docs, monkeypatch):
     whole = sorted(map(str, exact_dedup.without_duplicates(wide).collect()))
     monkeypatch.setattr(exact_dedup, "MOST_SLOTS", 1)
     assert sorted(map(str, exact_dedup.without_duplicates(wide).collect())) == whole
+
+
+def test_cleared_calls_leave_nothing(spark, docs, tmp_path):
+    from pathlib import Path
+
+    from roundhouse.llm.shared import Scratch, cleared, shared_folder
+
+    place = Path(shared_folder(spark).removeprefix("file://"))
+    before = {x.name for x in place.iterdir()}
+    with cleared():
+        out = minhash.without_near_duplicates(docs)
+        assert {x.name.rsplit("-", 1)[0] for x in place.iterdir() if x.name not in before} == {"near-gone"}
+        out.write.parquet(f"{tmp_path}/kept")
+    assert {x.name for x in place.iterdir()} == before
+    Scratch(spark, "later").save(docs.limit(1))  # calls outside keep theirs
+    assert len({x.name for x in place.iterdir()} - before) == 1
