@@ -5,10 +5,15 @@ A window is ``length`` consecutive words of a document. Every word covered by a
 1. Anchors: in each window the run of ``GRAM`` words with the least hash. Equal windows have equal anchors, so a window whose anchor occurs
    once can't recur. There are a few anchors for every hundred words.
 2. Windows: for documents with a recurring anchor, the windows over one. Their hashes (96 bits) are counted; a task first counts by itself,
-   so a passage that a third of all documents share is one row a batch, not one row a document.
-3. Automata: each document's recurring windows are tiled to phrases (windows side by side), and each shard of documents compiles the
-   phrases found in it to an Aho-Corasick automaton over word numbers. All words of the shard's documents stream through it, and every
-   occurrence of a phrase is marked. Documents without a recurring anchor have no phrase and pass unchanged.
+   so a passage that a third of all documents share is one row a batch, not one row a document. This only proposes passages.
+3. Passages: each stretch of recurring windows is tiled by windows that begin where the anchor changes (and by its first and last), so
+   copies of a passage are tiled alike wherever they stand. Distinct passages, told apart by their words, are dealt to shards by their anchor.
+4. Automata: a shard's passages become an Aho-Corasick automaton over numbers of words. From every document the words around its recurring
+   anchors stream through the shards that own these anchors, where any occurrence of a passage must be; words are compared as they are.
+   Only what the automata find is removed, and only if a passage is found at two places or more.
+
+A document streams only through shards that can hold one of its passages, so work grows with the text and not with text times shards. Stretches
+are dealt to tasks by range of (shard, document), so a shard that a third of all documents visit is shared by many tasks.
 
 Windows are judged on the input; removal changes nothing that is counted.
 """
@@ -16,8 +21,9 @@ Windows are judged on the input; removal changes nothing that is counted.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundhouse.llm.shared import Scratch
+from roundhouse.llm.tokenfiles import place
 from roundhouse.llm.words import U, documents, mix, runs
 
 LENGTH = 35
 GRAM = 8
 BATCH = 2048
-SHARD = 256
+#: passages of an automaton, about; a shard that has more is worked off in pieces
+SHARD = 1 << 14
 OTHER = U(0x5851F42D4C957F2D)
 
 
@@ -90,12 +98,11 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def windowed(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``doc_id, text, known, single, checks, at, many, many_checks`` of documents with their recurring anchors (``doc_id, text, anchors``).
+    """``row, known, single, checks, at, many, many_checks`` of documents with their recurring anchors (``row, text, anchors``).
 
     Windows over such an anchor: begin positions ``known`` to recur from the batch alone; hash, check and begin of those ``single`` in it.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text", "known", "single", "checks", "at", "many", "many_checks"]
+    names = ["row", "known", "single", "checks", "at", "many", "many_checks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -122,64 +129,154 @@ def windowed(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 places = [x[alone[a:b]].astype(np.int32) for x, (a, b) in zip(begins, cut)]
                 empty = [many[:0]] * (len(cut) - 1)
                 arrays = [lists(known, pa.int32()), lists(single, pa.int64()), lists(own_checks, pa.int32()), lists(places, pa.int32()), lists([x.view(np.int64) for x in [many, *empty]], pa.int64()), lists([many_checks, *([many_checks[:0]] * len(empty))], pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text string, known array<int>, single array<bigint>, checks array<int>, at array<int>, many array<bigint>, many_checks array<int>")
+    return docs.mapInArrow(run, "row bigint, known array<int>, single array<bigint>, checks array<int>, at array<int>, many array<bigint>, many_checks array<int>")
 
 
-def tiles(begins: np.ndarray, length: int) -> np.ndarray:
-    """Of sorted window begins, those needed to cover the same words: side by side in each stretch, and the stretch's last."""
+def tiles(begins: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of sorted window begins, those needed to cover the same words: where the window's anchor (``at``) is another than the window's before,
+    and the first and last of each stretch. Windows share an anchor for fewer than their length, so no word of a stretch is left out."""
     if not len(begins):
         return begins
-    edges = np.flatnonzero(np.diff(begins) > 1) + 1
-    chosen = []
-    for part in np.split(begins, edges):
-        chosen.append(np.unique(np.append(np.arange(part[0], part[-1] + 1, length), part[-1])))
-    return np.concatenate(chosen)
+    gap = np.diff(begins) > 1
+    first, last = np.append(True, gap), np.append(gap, True)
+    changed = np.append(True, np.diff(at[begins]) != 0)
+    return begins[first | last | changed]
 
 
-def cleaned(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id, n_words, n_removed, text`` of ``doc_id, text, known, found``, the begins of recurring windows; ``text`` is what is kept."""
+def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``anchor, words`` of the passages that tile the recurring windows of ``text, known, found`` (their begins); distinct in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = set()
+            for i, data, words, _, _ in documents(batch.column(0)):
+                begins = [np.asarray(c[i].values, np.int64) for c in (batch.column(1), batch.column(2)) if c[i].is_valid]
+                begins = np.unique(np.concatenate(begins)) if begins else np.zeros(0, np.int64)
+                if not len(begins):
+                    continue
+                at, grams = anchors(words, length, gram)
+                own = data.tobytes().split()
+                met.update((int(grams[at[b]].view(np.int64)), b" ".join(own[b : b + length])) for b in tiles(begins, at).tolist())
+            listed = list(met)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in listed], pa.int64()), pa.array([x[1] for x in listed], pa.binary())], names=["anchor", "words"])
+
+    return docs.mapInArrow(run, "anchor bigint, words binary")
+
+
+def dealt(found: DataFrame, shards: int, path: str) -> str:
+    """Write passages (``id, anchor, words``) to a folder for each shard."""
+    own = F.pmod(F.col("anchor"), F.lit(shards)).cast("int").alias("shard")
+    found.select("id", "words", own).repartition("shard").write.partitionBy("shard").parquet(path)
+    return path
+
+
+def stretches(docs: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
+    """``row, shard, begin, words`` of ``row, text, anchors``: for each shard the words in which a window over one of its anchors can lie."""
+    before = length - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(start, BATCH)
+                rows, owners, begins, texts = [], [], [], []
+                ids = batch.column(0).to_pylist()
+                for i, data, words, _, _ in documents(batch.column(1)):
+                    at, grams = anchors(words, length, gram)
+                    places = np.unique(at)
+                    places = places[np.isin(grams[places], np.asarray(batch.column(2)[i].values, np.int64).view(U))]
+                    if not len(places):
+                        continue
+                    owner = np.mod(grams[places].view(np.int64), shards)
+                    order = np.lexsort((places, owner))
+                    places, owner = places[order], owner[order]
+                    low, high = np.maximum(places - before, 0), np.minimum(places + length, len(words))
+                    new = np.append(True, (owner[1:] != owner[:-1]) | (low[1:] > high[:-1]))
+                    edges = np.flatnonzero(new)
+                    own = data.tobytes().split()
+                    for a, b, shard in zip(low[edges].tolist(), high[np.append(edges[1:], len(places)) - 1].tolist(), owner[edges].tolist()):
+                        rows.append(ids[i]), owners.append(shard), begins.append(a), texts.append(b" ".join(own[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(owners, pa.int32()), pa.array(begins, pa.int64()), pa.array(texts, pa.binary())], names=["row", "shard", "begin", "words"])
+
+    return docs.mapInArrow(run, "row bigint, shard int, begin bigint, words binary")
+
+
+def automaton(listed: list[bytes]) -> tuple[object, dict[bytes, int]]:
+    """An automaton that tells the number of a passage, over numbers of words; words that no passage has are 0."""
     import ahocorasick
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    store, key = ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE
+    numbers: dict[bytes, int] = {}
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for k, passage in enumerate(listed):
+        machine.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in passage.split(b" ")]), k)
+    machine.make_automaton()
+    return machine, numbers
+
+
+def located(parts: DataFrame, folder: str, length: int, size: int) -> DataFrame:
+    """``row, ids, at``: what the automata of the shards in ``folder`` find in the stretches, which lie in the order of their shards.
+
+    An automaton holds ``size`` passages at most.
+    """
+
+    def compiled(shard: int) -> Iterator[tuple[np.ndarray, object, dict[bytes, int]]]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, inner = place(f"{folder}/shard={shard}")
+        if system.get_file_info(inner).type == fs.FileType.NotFound:  # no passage has an anchor of this shard
+            return
+        for batch in ds.dataset(inner, filesystem=system, format="parquet").to_batches(columns=["id", "words"], batch_size=size):
+            if batch.num_rows:
+                yield np.asarray(batch.column(0)), *automaton(batch.column(1).to_pylist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+        held, machines = None, []
+        for batch in batches:
+            rows, begins, texts = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            owners = np.asarray(batch.column(1))
+            edges = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else []
+            found_rows, found_ids, found_at = [], [], []
+            for a, b in zip(edges, [*edges[1:], len(owners)]):
+                if held != owners[a]:
+                    held, machines = owners[a], []
+                    first = compiled(held)
+                    machines = list(islice(first, 1))
+                    many = next(first, None) is not None
+                for ids, machine, numbers in compiled(held) if many else machines:
+                    for k in range(a, b):
+                        hits = list(machine.iter(tuple(map(numbers.get, texts[k].split(b" "), repeat(0)))))
+                        if hits:
+                            ends, which = np.array(hits, np.int64).T
+                            found_rows.append(rows[k])
+                            found_ids.append(ids[which])
+                            found_at.append(begins[k] + ends + 1 - length)
+            yield pa.RecordBatch.from_arrays([pa.array(found_rows, pa.int64()), lists(found_ids, pa.int64()), lists(found_at, pa.int64())], names=["row", "ids", "at"])
+
+    return parts.mapInArrow(run, "row bigint, ids array<bigint>, at array<bigint>")
 
+
+def cleaned(docs: DataFrame, length: int) -> DataFrame:
+    """``doc_id, n_words, n_removed, text`` of ``doc_id, text, at``, the begins of what was found; ``text`` is what is kept."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, SHARD):
-                batch = whole.slice(start, SHARD)
-                held = [(data, words) for _, data, words, _, _ in documents(batch.column(1))]
-                phrases = []
-                for i, (_, words) in enumerate(held):
-                    begins = [np.asarray(c[i].values, np.int64) for c in (batch.column(2), batch.column(3)) if c[i].is_valid]
-                    for at in tiles(np.unique(np.concatenate(begins)), length) if begins else ():
-                        phrases.append(words[at : at + length])
-                vocabulary = np.unique(np.concatenate(phrases)) if phrases else np.zeros(0, U)
-
-                def numbers(words: np.ndarray, vocabulary: np.ndarray = vocabulary) -> tuple[int, ...]:
-                    if not len(vocabulary):
-                        return ()
-                    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-                    return tuple(np.where(vocabulary[at] == words, at + 1, 0).tolist())
-
-                automaton = ahocorasick.Automaton(store, key)
-                for phrase in phrases:
-                    automaton.add_word(numbers(phrase))
-                automaton.make_automaton()
+            for start in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(start, BATCH)
                 n_words, removed, kept = [], [], []
-                for data, words in held:
-                    n_words.append(len(words))
-                    marks = np.zeros(len(words) + 1, np.int32)
-                    if phrases:
-                        for last, n in automaton.iter(numbers(words)):
-                            marks[last + 1 - n] += 1
-                            marks[last + 1] -= 1
-                    keep = np.cumsum(marks[:-1]) == 0
-                    removed.append(int((~keep).sum()))
-                    kept.append(b" ".join(compress(data.tobytes().split(), keep.tolist())))
+                for text, found in zip(batch.column(1), batch.column(2)):
+                    own = text.as_buffer().to_pybytes().split()
+                    n_words.append(len(own))
+                    removed.append(0)
+                    if found.is_valid:
+                        begins = np.asarray(found.values, np.int64)
+                        marks = np.bincount(begins, minlength=len(own) + 1) - np.bincount(begins + length, minlength=len(own) + 1)
+                        keep = np.cumsum(marks[:-1]) == 0
+                        removed[-1] = int((~keep).sum())
+                        own = compress(own, keep.tolist())
+                    kept.append(b" ".join(own))
                 texts = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), texts], names=["doc_id", "n_words", "n_removed", "text"])
 
@@ -197,28 +294,45 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     the others as ``doc_id, n_words, sha`` (SHA-256 of all words joined by one space; nothing is removed).
 
     Null text has no words. Documents of fewer than ``length`` words keep all. Rows that repeat an id are documents of their own, and
-    equal texts recur in each other. An empty table gives no rows. Texts are told apart by 128 bits.
+    equal texts recur in each other. An empty table gives no rows. Texts are told apart by 128 bits, what is removed by its words.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = plain.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
-    first = scratch.save(anchored(keyed, length, gram).withColumn("row", F.monotonically_increasing_id()))
-    single = first.select("row", F.explode("single").alias("anchor"))
-    counted = single.select("anchor", F.lit(1).alias("n")).unionAll(first.select(F.explode("many").alias("anchor"), F.lit(2).alias("n")))
+    met = scratch.save(anchored(keyed, length, gram).withColumn("row", F.monotonically_increasing_id()))
+    first = scratch.save(met.select("doc_id", "k1", "k2", "n_words", "sha"))
+    single = met.select("row", F.explode("single").alias("anchor"))
+    counted = single.select("anchor", F.lit(1).alias("n")).unionAll(met.select(F.explode("many").alias("anchor"), F.lit(2).alias("n")))
     again = single.join(recurring(counted), "anchor").groupBy("row").agg(F.collect_list("anchor").alias("found"))
-    found = first.where(F.size("single") + F.size("known") > 0).select("row", "k1", "k2", "known").join(again, "row", "left")
+    found = met.where(F.size("single") + F.size("known") > 0).select("row", "k1", "k2", "known").join(again, "row", "left")
     found = found.select("row", "k1", "k2", F.concat("known", F.coalesce("found", F.array().cast("array<bigint>"))).alias("anchors")).where(F.size("anchors") > 0)
     found = scratch.save(found)
+    scratch.drop(met)
     # copies of a text have anchors by batch, so the text's are those of all its rows, as many as it has windows
     by_text = found.select("k1", "k2", F.explode("anchors").alias("a")).distinct().groupBy("k1", "k2").agg(F.collect_list("a").alias("anchors"))
-    second = windowed(keyed.join(by_text, ["k1", "k2"]).select("doc_id", "text", "anchors"), length, gram)
-    second = scratch.save(second.withColumn("row", F.monotonically_increasing_id()))
+    texts = scratch.save(keyed.join(by_text, ["k1", "k2"]).select("doc_id", "text", "anchors").withColumn("row", F.monotonically_increasing_id()))
+    second = scratch.save(windowed(texts.select("row", "text", "anchors"), length, gram))
     window = second.select("row", F.explode(F.arrays_zip("single", "checks", "at")).alias("w")).select("row", F.col("w.single").alias("hash"), F.col("w.checks").alias("check"), F.col("w.at").alias("at"))
     many = second.select(F.explode(F.arrays_zip("many", "many_checks")).alias("w")).select(F.col("w.many").alias("hash"), F.col("w.many_checks").alias("check"), F.lit(2).alias("n"))
     repeated = recurring(window.select("hash", "check", F.lit(1).alias("n")).unionAll(many))
     places = window.join(repeated, ["hash", "check"]).groupBy("row").agg(F.collect_list("at").alias("found"))
-    hit = cleaned(second.select("row", "doc_id", "text", "known").join(places, "row", "left").select("doc_id", "text", "known", "found"), length)
+    places = second.select("row", "known").join(places, "row", "left").where(F.col("found").isNotNull() | (F.size("known") > 0))
+    places = scratch.save(places)
+    scratch.drop(second)
+    proposed = passages(texts.select("row", "text").join(places, "row").select("text", "known", "found"), length, gram).distinct()
+    proposed = scratch.save(proposed.withColumn("id", F.monotonically_increasing_id()))
+    scratch.drop(places)
+    shards = max(1, math.ceil(proposed.count() / SHARD))
+    folder = dealt(proposed, shards, scratch.path())
+    scratch.drop(proposed)
+    parts = scratch.save(stretches(texts.select("row", "text", "anchors"), length, gram, shards))
+    hits = scratch.save(located(parts.repartitionByRange("shard", "row").sortWithinPartitions("shard"), folder, length, SHARD))
+    scratch.drop(parts)
+    once_only = scratch.save(hits.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n < 2").select("id"))
+    marks = hits.select("row", F.explode(F.arrays_zip("ids", "at")).alias("w")).select("row", F.col("w.ids").alias("id"), F.col("w.at").alias("at"))
+    marks = marks.join(once_only, "id", "left_anti").groupBy("row").agg(F.collect_list("at").alias("at"))
+    hit = cleaned(texts.select("row", "doc_id", "text").join(marks, "row", "left").select("doc_id", "text", "at"), length)
     untouched = first.join(by_text.select("k1", "k2"), ["k1", "k2"], "left_anti").select("doc_id", "n_words", "sha")
     return hit, untouched
 

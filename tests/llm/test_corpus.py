@@ -41,6 +41,26 @@ def test_phrases(spark, edge_docs, no_docs):
     assert phrases.digests(no_docs).collect() == []
 
 
+def test_phrases_by_automata(spark, monkeypatch):
+    """Many shards, some in pieces, give the same rows; a passage that no automaton holds is not removed."""
+    words = [f"t{i}" for i in np.random.default_rng(3).integers(0, 300, 500)]
+    rows = [(1, " ".join(words)), (2, "a b c " + " ".join(words[:120]) + " d " + " ".join(words[200:330])), (3, " ".join(words[60:260])), (4, "x " * 50), (None, " ".join(words[400:]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    wanted = plain_phrases([(i or 0, t) for i, t in rows], 35)
+
+    def found():
+        return sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in phrases.digests(frame, 35).collect())
+
+    monkeypatch.setattr(phrases, "SHARD", 2)
+    assert found() == wanted
+    dealt = phrases.dealt
+    monkeypatch.setattr(phrases, "dealt", lambda proposed, shards, path: dealt(proposed.where("NOT startswith(decode(words, 'UTF-8'), 'x ')"), shards, path))
+    left = {i: n for i, _, n, _ in found()}
+    assert left[4] == 0 and {i: n for i, n in left.items() if i != 4} == {i: n for i, _, n, _ in wanted if i != 4}
+    monkeypatch.setattr(phrases, "dealt", lambda proposed, shards, path: dealt(proposed.where("false"), shards, path))
+    assert not any(n for _, _, n, _ in found())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
