@@ -8,7 +8,7 @@ A window is ``length`` consecutive words of a document. Every word covered by a
    so a passage that a third of all documents share is one row a batch, not one row a document. This only proposes passages.
 3. Passages: each stretch of recurring windows is tiled by windows that begin where the anchor changes (and by its first and last), so
    copies of a passage are tiled alike wherever they stand. Distinct passages, told apart by their words, are dealt to shards by their anchor.
-4. Automata: a shard's passages become an Aho-Corasick automaton over numbers of words. From every document the words around its recurring
+4. Automata: a shard's passages become an Aho-Corasick automaton over words (two letters each). From every document the words around its recurring
    anchors stream through the shards that own these anchors, where any occurrence of a passage must be; words are compared as they are.
    Only what the automata find is removed, and only if a passage is found at two places or more.
 
@@ -38,7 +38,7 @@ LENGTH = 35
 GRAM = 8
 BATCH = 2048
 #: passages of an automaton, about; a shard that has more is worked off in pieces
-SHARD = 1 << 14
+SHARD = 1 << 13
 OTHER = U(0x5851F42D4C957F2D)
 
 
@@ -48,8 +48,13 @@ def anchors(words: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     width = length - gram + 1
     if len(words) < length:
         return np.zeros(0, np.int64), grams
-    least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
-    return least + np.arange(len(least)), grams
+    least, wide = np.arange(len(grams)), 1  # first least of the ``wide`` runs from each place on
+    while wide < width:
+        step = min(wide, width - wide)
+        left, right = least[:-step], least[step:]
+        least = np.where(grams[left] <= grams[right], left, right)
+        wide += step
+    return least, grams
 
 
 def once(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,16 +207,21 @@ def stretches(docs: DataFrame, length: int, gram: int, shards: int) -> DataFrame
     return docs.mapInArrow(run, "row bigint, shard int, begin bigint, words binary")
 
 
-def automaton(listed: list[bytes]) -> tuple[object, dict[bytes, int]]:
-    """An automaton that tells the number of a passage, over numbers of words; words that no passage has are 0."""
+def automaton(listed: list[bytes]) -> tuple[object, dict[bytes, str]]:
+    """An automaton that tells the number of a passage, and the two letters that stand for each of its words.
+
+    Letters at odd and even places differ, so what is found begins with a word; two letters keep the children of a node few.
+    """
     import ahocorasick
 
-    numbers: dict[bytes, int] = {}
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    words = dict.fromkeys(w for passage in listed for w in passage.split(b" "))
+    side = math.isqrt(len(words)) + 1
+    letters = {w: chr(0x10000 + k // side) + chr(0x80000 + k % side) for k, w in enumerate(words)}
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for k, passage in enumerate(listed):
-        machine.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in passage.split(b" ")]), k)
+        machine.add_word("".join([letters[w] for w in passage.split(b" ")]), k)
     machine.make_automaton()
-    return machine, numbers
+    return machine, letters
 
 
 def located(parts: DataFrame, folder: str, length: int, size: int) -> DataFrame:
@@ -220,7 +230,7 @@ def located(parts: DataFrame, folder: str, length: int, size: int) -> DataFrame:
     An automaton holds ``size`` passages at most.
     """
 
-    def compiled(shard: int) -> Iterator[tuple[np.ndarray, object, dict[bytes, int]]]:
+    def compiled(shard: int) -> Iterator[tuple[np.ndarray, object, dict[bytes, str]]]:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
@@ -244,14 +254,14 @@ def located(parts: DataFrame, folder: str, length: int, size: int) -> DataFrame:
                     first = compiled(held)
                     machines = list(islice(first, 1))
                     many = next(first, None) is not None
-                for ids, machine, numbers in compiled(held) if many else machines:
+                for ids, machine, letters in compiled(held) if many else machines:
                     for k in range(a, b):
-                        hits = list(machine.iter(tuple(map(numbers.get, texts[k].split(b" "), repeat(0)))))
+                        hits = list(machine.iter("".join(map(letters.get, texts[k].split(b" "), repeat("\0\0")))))
                         if hits:
                             ends, which = np.array(hits, np.int64).T
                             found_rows.append(rows[k])
                             found_ids.append(ids[which])
-                            found_at.append(begins[k] + ends + 1 - length)
+                            found_at.append(begins[k] + (ends + 1) // 2 - length)
             yield pa.RecordBatch.from_arrays([pa.array(found_rows, pa.int64()), lists(found_ids, pa.int64()), lists(found_at, pa.int64())], names=["row", "ids", "at"])
 
     return parts.mapInArrow(run, "row bigint, ids array<bigint>, at array<bigint>")
