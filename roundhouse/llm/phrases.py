@@ -7,7 +7,7 @@ A window is ``length`` consecutive words of a document. Every word covered by a
 2. Windows: for documents with a recurring anchor, the windows over one. Their hashes (96 bits) are counted; a task first counts by itself,
    so a passage that a third of all documents share is one row a batch, not one row a document. This only proposes passages.
 3. Passages: each stretch of recurring windows is tiled by windows that begin where the anchor changes (and by its first and last), so
-   copies of a passage are tiled alike wherever they stand. Distinct passages, told apart by their words, are dealt to shards by their anchor.
+   copies of a passage are soon tiled alike wherever they stand. Distinct passages, told apart by their words, are dealt to shards by their anchor.
 4. Automata: a shard's passages become an Aho-Corasick automaton over words (two letters each). From every document the words around its recurring
    anchors stream through the shards that own these anchors, where any occurrence of a passage must be; words are compared as they are.
    Only what the automata find is removed, and only if a passage is found at two places or more.
@@ -139,15 +139,25 @@ def windowed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "row bigint, known array<int>, single array<bigint>, checks array<int>, at array<int>, many array<bigint>, many_checks array<int>")
 
 
-def tiles(begins: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of sorted window begins, those needed to cover the same words: where the window's anchor (``at``) is another than the window's before,
-    and the first and last of each stretch. Windows share an anchor for fewer than their length, so no word of a stretch is left out."""
+def tiles(begins: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Of sorted window begins, some that cover the same words.
+
+    Candidates are where the window's anchor (``at``) is another than the window's before, and the first and last of each stretch. As windows share
+    an anchor for fewer than their length, the farthest candidate that still touches the last tile leaves no word out.
+    """
     if not len(begins):
         return begins
     gap = np.diff(begins) > 1
     first, last = np.append(True, gap), np.append(gap, True)
     changed = np.append(True, np.diff(at[begins]) != 0)
-    return begins[first | last | changed]
+    possible = begins[first | last | changed]
+    farthest = np.searchsorted(possible, possible + length, "right") - 1
+    following = np.maximum(farthest, np.arange(len(possible)) + 1).tolist()
+    chosen, k = [], 0
+    while k < len(possible):
+        chosen.append(k)
+        k = following[k]
+    return possible[chosen]
 
 
 def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -163,7 +173,7 @@ def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     continue
                 at, grams = anchors(words, length, gram)
                 own = data.tobytes().split()
-                met.update((int(grams[at[b]].view(np.int64)), b" ".join(own[b : b + length])) for b in tiles(begins, at).tolist())
+                met.update((int(grams[at[b]].view(np.int64)), b" ".join(own[b : b + length])) for b in tiles(begins, at, length).tolist())
             listed = list(met)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in listed], pa.int64()), pa.array([x[1] for x in listed], pa.binary())], names=["anchor", "words"])
 
