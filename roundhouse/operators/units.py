@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roundhouse.dims import Dims
-from roundhouse.functions.arrays import literal_lookup
+from roundhouse.functions.arrays import dense, literal_lookup
 from roundhouse.functions.cells import bare, board_cell, cell_code, code_col, code_row
 from roundhouse.functions.scalars import item_at, tier_multiplier
 from roundhouse.schema import CHANNELS, MAX_ITEMS, MAX_UNITS, TEAMS, TIERS
@@ -57,11 +57,19 @@ def unit_tier_names(dims: Dims) -> list[str]:
 
 
 def unit_tier_pivot(units: DataFrame, key: Sequence[str], dims: Dims) -> DataFrame:
-    """One count column per team, known unit and tier. The explicit value list saves a pass and fixes the columns."""
+    """One count column per team, known unit and tier, zeros for rounds without such a unit.
+
+    Until it is written a round is the list of its few counts, at most one per column; a pivot would hold a buffer with every
+    column for each round of a task. Counts move by round before they are collected, so no task holds both tables at once.
+    """
     names = unit_tier_names(dims)
+    place = literal_lookup({name: number for number, name in enumerate(names)}, "int")
     feature = F.concat("team", F.lit("_"), "unit", F.lit("_"), F.col("tier").cast("string"))
-    wide = units.select(*key, feature.alias("feature")).groupBy(*key).pivot("feature", names).agg(F.count(F.lit(1)))
-    return wide.fillna(0, names)
+    counted = units.select(*key, place(feature).alias("_slot")).groupBy(*key, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.when(F.col("_slot").isNotNull(), F.struct(F.col("_slot").alias("idx"), F.col("_n").alias("n")))
+    lists = counted.repartition(*key).groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    wide = lists.select(*key, dense(F.col("_entries"), len(names), "bigint").alias("_counts"))
+    return wide.select(*key, *[F.get("_counts", F.lit(number)).alias(name) for number, name in enumerate(names)]).fillna(0, names)
 
 
 def place_units(units: DataFrame, dims: Dims) -> DataFrame:
