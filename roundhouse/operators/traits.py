@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundhouse.dims import Dims
-from roundhouse.functions.arrays import pad
+from roundhouse.functions.arrays import literal_array, literal_lookup, pad, tally
 from roundhouse.functions.scalars import trait_class
 from roundhouse.operators.units import enrich_units
 from roundhouse.schema import MAX_TRAITS, TEAMS
@@ -17,10 +17,17 @@ from roundhouse.schema import MAX_TRAITS, TEAMS
 def innate_counts(units: DataFrame, key: Sequence[str], dims: Dims, *, distinct_units: bool) -> DataFrame:
     """``key, team, trait, n`` from unit rows; ``distinct_units`` counts each unit of a board once.
 
-    Copies are dropped before the traits are attached, so only names are shuffled.
+    Distinct units are collected as one set a board, which holds at most the known units, and their traits are counted inside the
+    row: no task keeps a table of units or of traits.
     """
-    rows = units.select(*key, "team", "unit")
-    rows = enrich_units(rows.distinct() if distinct_units else rows, dims)
+    if distinct_units:
+        place = literal_lookup({name: number for number, name in enumerate(dims.units)}, "int")
+        traits = literal_array([list(unit.traits) for unit in dims.units.values()], "array<string>")
+        sets = units.select(*key, "team", place(F.col("unit")).alias("_unit")).groupBy(*key, "team").agg(F.collect_set("_unit").alias("_units"))
+        carried = F.flatten(F.transform("_units", lambda p: F.get(traits, p)))
+        each = sets.select(*key, "team", F.inline(tally(carried)).alias("trait", "n"))
+        return each.withColumn("n", F.col("n").cast("bigint"))
+    rows = enrich_units(units.select(*key, "team", "unit"), dims)
     return rows.select(*key, "team", F.explode("traits").alias("trait")).groupBy(*key, "team", "trait").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,8 +1,11 @@
 """What a task holds and how often rows are read, on rows of the tests' own."""
 
+import re
 from collections import Counter
 
-from roundhouse.operators import units
+from roundhouse import Dims
+from roundhouse.dims import Unit
+from roundhouse.operators import traits, units
 
 
 def plan(df):
@@ -25,3 +28,13 @@ def test_pivot_keeps_no_buffer_of_all_columns(spark, dims):
     got = {row.k: [row[n] for n in names] for row in wide.collect()}
     assert got == {k: [counts[k, n] for n in names] for k in (1, 2, None, 4)}
     assert "pivotfirst" not in plan(wide)
+
+
+def test_distinct_units_are_one_set_a_board(spark):
+    dims = Dims(units={"U1": Unit(1, ("A", "B")), "U2": Unit(1, ("A", "unlisted")), "U3": Unit(1, ())}, traits={"A": (1,), "B": (1,)})
+    counts = traits.innate_counts(unit_rows(spark), ["k"], dims, distinct_units=True)
+    boards = {(k, team) for k, team, unit, _ in UNITS if unit == "U1"}
+    each = [("A", 2), ("B", 1), ("unlisted", 1)]
+    assert Counter(map(tuple, counts.collect())) == Counter((k, team, *entry) for k, team in boards for entry in each)
+    keyed = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan(counts))
+    assert keyed and not any("unit" in keys or "trait" in keys for keys in keyed)
