@@ -53,8 +53,8 @@ def pick_exact(rows: DataFrame, key: str, match: str, per_stage: int) -> DataFra
     one order, so the rounds end, when every proposal is held, with what the walk takes. Only a match's first row per stage can
     be taken, and while a stage has room the walk meets at most ``per_stage * stages`` matches in it, so no stage looks further.
     """
-    firsts = first_per_match(rows, ["stage", match], key)
-    stages = rows.agg(F.count_distinct("stage")).first()[0]
+    firsts = materialise(first_per_match(rows, ["stage", match], key))  # of all rows with their boards there is one pass
+    stages = firsts.agg(F.count_distinct("stage")).first()[0]
     candidates = materialise(top_per_stage(firsts, per_stage * max(stages, 1)))
     place = F.struct("shuffle_key", key)
     proposed = candidates

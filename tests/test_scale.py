@@ -5,7 +5,8 @@ from collections import Counter
 
 from roundhouse import Dims
 from roundhouse.dims import Unit
-from roundhouse.operators import traits, units
+from roundhouse.operators import sample, traits, units
+from testbed import adapter
 
 
 def plan(df):
@@ -38,3 +39,21 @@ def test_distinct_units_are_one_set_a_board(spark):
     assert Counter(map(tuple, counts.collect())) == Counter((k, team, *entry) for k, team in boards for entry in each)
     keyed = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan(counts))
     assert keyed and not any("unit" in keys or "trait" in keys for keys in keyed)
+
+
+def test_boards_are_sampled_in_one_pass(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(k, f"M{k % 7}", str(k % 3), f"{k:03d}") for k in range(60)], "key bigint, match string, stage string, shuffle_key string")
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    picked = sample.pick_exact(rows.mapInArrow(count, rows.schema), "key", "match", 2)
+    assert picked.count() == 6 and read.value == 60
+
+
+def test_one_file_of_orders_is_dealt_to_all_cores(spark):
+    nested = adapter.nested_rounds(spark, "/root/testdata/sf0.001")
+    assert nested.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
