@@ -3,9 +3,15 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+from test_models import game
+
 from roundhouse import Dims
 from roundhouse.dims import Unit
-from roundhouse.operators import sample, traits, units
+from roundhouse.operators import ordering, sample, traits, units
+from roundhouse.plans import extract
+from roundhouse.session import tasks_for
+from roundhouse.sources import features
 from testbed import adapter
 
 
@@ -41,6 +47,42 @@ def test_distinct_units_are_one_set_a_board(spark):
     assert keyed and not any("unit" in keys or "trait" in keys for keys in keyed)
 
 
+def test_tasks_grow_with_the_rows(spark):
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark, 10 * own, 10) is None and tasks_for(spark, 10 * own + 1, 10) == own + 1
+
+
+def test_numbering_and_features_are_dealt_by_their_rows(spark, dims, tmp_path, monkeypatch):
+    import roundhouse.session as session
+
+    few = lambda spark, rows: session.tasks_for(spark, rows, 5)
+    raw = game(spark, 100)
+    plain = extract.prepared_rounds(raw)
+    extract.write_features(extract.wide_rows(plain, dims), str(tmp_path / "plain"))
+    monkeypatch.setattr(ordering, "tasks_for", few)
+    monkeypatch.setattr(features, "tasks_for", few)
+    dealt = extract.prepared_rounds(raw)
+    assert re.search(r"hashpartitioning\([^)]*, 20\), REPARTITION_BY_NUM", plan(dealt))
+    raw.write.parquet(str(tmp_path / "raw"))
+    extract.extract_baseline_features(spark, str(tmp_path / "raw"), str(tmp_path / "dealt"), dims)
+    one, two = (spark.read.parquet(str(tmp_path / name)) for name in ("plain", "dealt"))
+    assert one.columns == two.columns and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    assert two.select(F.input_file_name()).distinct().count() > 8 > one.select(F.input_file_name()).distinct().count()
+
+
+def test_features_are_made_behind_the_sort(spark, tmp_path):
+    seen = []
+    df = spark.createDataFrame([(f"r{n}", n * 37 % 100) for n in range(100)], "round_idx string, timestamp bigint")
+
+    def encode(ordered):
+        seen.append(plan(ordered))
+        return ordered.withColumn("made", F.col("timestamp") + 1)
+
+    features.write_features(df, str(tmp_path / "f"), encode=encode)
+    assert "rangepartitioning" in seen[0] and "Sort" in seen[0]
+    assert features.read_features(spark, str(tmp_path / "f")).filter("made = timestamp + 1").count() == 100
+
+
 def test_boards_are_sampled_in_one_pass(spark, tmp_path):
     read = spark.sparkContext.accumulator(0)
     rows = spark.createDataFrame([(k, f"M{k % 7}", str(k % 3), f"{k:03d}") for k in range(60)], "key bigint, match string, stage string, shuffle_key string")
