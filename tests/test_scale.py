@@ -9,7 +9,7 @@ from test_models import game
 from roundhouse import Dims
 from roundhouse.dims import Unit
 from roundhouse.operators import ordering, sample, traits, units
-from roundhouse.plans import extract
+from roundhouse.plans import extract, train
 from roundhouse.session import tasks_for
 from roundhouse.sources import features
 from testbed import adapter
@@ -96,6 +96,16 @@ def test_boards_are_sampled_in_one_pass(spark, tmp_path):
     assert picked.count() == 6 and read.value == 60
 
 
+def test_words_of_both_sides_are_those_of_turned_boards(spark, dims):
+    prepared = extract.prepared_rounds(game(spark, 30))
+    rows = extract.trait_id_rows(prepared, dims).withColumn("split", F.lit("train"))
+    both = train.both_words(rows, trait_ids=True)
+    for prob, column in ((0.0, "words"), (1.0, "swapped_words")):
+        turned = train.augment_sides(rows, "round_idx", prob=prob)
+        tokens = turned.select("round_idx", train.board_tokens(F.col("tensor"), F.col("traits"), trait_ids=True).alias("w"))
+        assert sorted(map(str, tokens.collect())) == sorted(map(str, both.select("round_idx", F.col(column).alias("w")).collect()))
+
+
 def test_one_file_of_orders_is_dealt_to_all_cores(spark):
     nested = adapter.nested_rounds(spark, "/root/testdata/sf0.001")
     assert nested.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
