@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import io
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -33,9 +34,9 @@ BATCH = 256
 MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint, bytes bigint, dictionary string"
 
 
-def encoded_ids(texts: list[str | None], tokenizer: str, end_id: int, plain: bool) -> list[bytes]:
+def encoded_ids(texts: list[str | None], tokenizer: str, end_id: int, plain: bool) -> Iterator[bytes]:
     end = int(end_id).to_bytes(4, "little")
-    return [ids + end for ids in encoder(tokenizer, plain).encode(texts)]
+    return (ids + end for ids in encoder(tokenizer, plain).encode(texts))
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, plain: bool = True) -> bytes:
@@ -44,7 +45,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, plain: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(encoded_ids(batch.column(0).to_pylist(), tokenizer, end_id, plain), pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(encoded_ids(batch.column(0).to_pylist(), tokenizer, end_id, plain)), pa.binary())], names=["ids"])
 
     sample = docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS)
     samples = [bytes(r[0]) for r in sample.select("text").mapInArrow(run, "ids binary").collect()]
@@ -80,13 +81,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         out, index, total, docs_here, at, path = None, [], 0, 0, HEADER, ""
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary_of(data)).compress
         for whole in batches:
+            encoded = encoded_ids(whole.column(1).to_pylist(), tokenizer, end_id, plain)
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
                 if out is None:
                     path = own_path(folder, ".tokz")
                     out = create(path)
                     out.write(MAGIC + bytes.fromhex(digest))
-                ids = encoded_ids(batch.column(1).to_pylist(), tokenizer, end_id, plain)
+                ids = list(islice(encoded, BATCH))
                 frames = [compress(b) for b in ids]
                 offsets = []
                 for frame in frames:

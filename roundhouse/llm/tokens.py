@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: anything but Latin, Greek, Cyrillic and Armenian text with usual punctuation; also separators on which pattern engines differ
@@ -22,10 +24,10 @@ RUNS = re.compile(r"[ \t\n\r\x0b\x0c]{3}|[ \t\n\r\x0b\x0c]{2}\Z")
 #: a text without any of these has no such run
 RUN_STARTS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 PUNCTUATION = ".,;:!?()[]{}*#$%&|/+-=_<>@^~\"`"
-#: words, and matches in other pieces, that a worker keeps, in each of two generations
-KEPT, KEPT_MATCHES = 400_000, 100_000
-#: longest text that is cut into pieces at once, in characters
-STEP = 1 << 20
+#: pieces that a worker keeps, their most bytes, and matches in other pieces in each of two generations
+KEPT, LONGEST, KEPT_MATCHES = 600_000, 64, 30_000
+#: longest text that is cut into pieces at once, in characters, and about so many characters of texts are encoded together
+STEP, TOGETHER = 1 << 20, 1 << 22
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -49,21 +51,16 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memory(dict):
-    """Bytes by text in two generations: a full one becomes the old one, from which what is met again comes back.
+    """Bytes by text in two generations: a full one becomes the old one, from which what is met again comes back."""
 
-    ``make`` gives the bytes and whether to keep them.
-    """
-
-    def __init__(self, make, kept: int):
+    def __init__(self, make: Callable[[str], bytes], kept: int):
         super().__init__()
         self.make, self.kept, self.old = make, kept, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
-            value, keep = self.make(key)
-            if not keep:
-                return value
+            value = self.make(key)
         if len(self) >= self.kept:
             self.old = dict(self)
             self.clear()
@@ -71,6 +68,10 @@ class Memory(dict):
         return value
 
 
+def strings(values: pa.Array, places: np.ndarray) -> list:
+    return values.take(pa.array(places)).to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to those of the tokenizer on each whole text.
 
@@ -89,15 +90,17 @@ class Encoder:
         self.find = regex.compile(WORD_PATTERN if self.normal else BYTE_PATTERN).findall
         self.space = "" if self.normal else " "
         self.letters = byte_letters()
-        self.known = Memory(self.after_space, KEPT)
-        self.matches = Memory(lambda match: (self.matched(match), True), KEPT_MATCHES)
+        self.lead = self.space.translate(self.letters)
+        self.coded = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.matches = Memory(self.matched, KEPT_MATCHES)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def matched(self, match: str) -> bytes:
         found = self.merge(match.encode().decode("latin-1").translate(self.letters))
-        return b"".join([t.id.to_bytes(4, "little") for t in found])
+        return b"".join([self.coded[t.id] for t in found])
 
     def piece(self, text: str) -> bytes:
         """Ids of a short stretch by the tokenizer's steps."""
@@ -105,35 +108,80 @@ class Encoder:
             text = text.lower() if text.isascii() else self.normal(text)
         return b"".join(map(self.matches.__getitem__, self.find(text)))
 
-    def after_space(self, piece: str) -> tuple[bytes, bool]:
-        """Ids of a piece that follows a space, and whether to keep them.
-
-        Letters alone are one match. Letters with punctuation behind them are the word's ids and the punctuation's; only the word is kept,
-        so that memory holds each word once.
-        """
-        core = piece.rstrip(PUNCTUATION)
+    def word(self, core: str) -> str | None:
+        """Letters as the tokenizer merges them, or None if there is anything else."""
         if not core.isalpha():
-            return self.piece(" " + piece), True
-        word = core
-        if self.normal:
-            word = core.lower() if core.isascii() else self.normal(core)
-            if not word.isalpha():
-                return self.piece(" " + piece), True
-        if len(core) == len(piece):
-            return self.matched(self.space + word), True
-        return self.known[core] + self.matches[piece[len(core) :]], False
+            return None
+        if not self.normal:
+            return core
+        word = core.lower() if core.isascii() else self.normal(core)
+        return word if word.isalpha() else None
+
+    def after_space(self, piece: str) -> bytes:
+        """Ids of a piece that follows a space; letters alone are one match."""
+        word = self.word(piece)
+        if word is None:
+            return self.piece(" " + piece)
+        if word.isascii():  # letters that stand for themselves
+            return b"".join([self.coded[t.id] for t in self.merge(self.lead + word)])
+        return self.matched(self.space + word)
+
+    def look_up(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids, and for each of the distinct pieces, all of which follow a space, the place of its own among them.
+
+        Letters with punctuation behind them are the word's ids and the punctuation's. Pieces and their words are remembered; a full
+        memory goes on with those of this call. Very long ones are not kept.
+        """
+        n = len(pieces)
+        both = pa.concat_arrays([pieces, pc.utf8_rtrim(pieces, characters=PUNCTUATION)]).dictionary_encode()
+        asked, core = both.dictionary, np.asarray(both.indices)[n:]
+        at = np.array(pc.index_in(asked, value_set=self.words).fill_null(-1), np.int64)
+        new = np.flatnonzero(at < 0)
+        ends_so = np.zeros(len(asked), bool)
+        ends_so[:n] = core != np.arange(n)
+        bare, tailed = new[~ends_so[new]], new[ends_so[new]]
+        ids = pa.concat_arrays([self.ids, pa.array(map(self.after_space, strings(asked, bare)), pa.large_binary())])
+        at[bare] = np.arange(len(self.ids), len(ids))
+        known = strings(ids, at[core[tailed]])
+        made = [
+            self.piece(" " + piece) if self.word(word) is None else begin + self.matches[piece[len(word) :]]
+            for piece, word, begin in zip(strings(asked, tailed), strings(asked, core[tailed]), known)
+        ]
+        at[tailed] = np.arange(len(ids), len(ids) + len(made))
+        ids = pa.concat_arrays([ids, pa.array(made, pa.large_binary())])
+        short = np.asarray(pc.binary_length(asked)) <= LONGEST
+        new = new[short[new]]
+        if len(self.words) + len(new) > KEPT:
+            new = np.flatnonzero(short)[:KEPT]
+            self.words, self.ids = self.words.slice(0, 0), self.ids.slice(0, 0)
+        self.words = pa.concat_arrays([self.words, asked.take(pa.array(new))])
+        self.ids = pa.concat_arrays([self.ids, ids.take(pa.array(at[new]))])
+        return ids, at[:n]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """One bytes object for each text; null counts as empty."""
+        """One bytes object for each text; null counts as empty. Texts of about ``TOGETHER`` characters are encoded at a time."""
+        held, size = [], 0
         for text in texts:
-            if not text:
-                yield b""
-            elif UNSURE.search(text) or any(x in text for x in self.added) or (any(x in text for x in RUN_STARTS) and RUNS.search(text)):
-                yield self.whole(text)
-            elif len(text) <= STEP:
-                yield self.pieces(text, True)
-            else:
-                yield b"".join(self.steps(text))
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= TOGETHER:
+                yield from self.together(held)
+                held, size = [], 0
+        yield from self.together(held)
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        found, rest = [b""] * len(texts), []
+        for k, text in enumerate(texts):
+            if UNSURE.search(text) or any(x in text for x in self.added) or (any(x in text for x in RUN_STARTS) and RUNS.search(text)):
+                found[k] = self.whole(text)
+            elif len(text) > STEP:
+                found[k] = b"".join(self.steps(text))
+            elif text:
+                rest.append(k)
+        for k, ids in zip(rest, self.pieces([texts[k] for k in rest], True)):
+            found[k] = ids
+        pa.default_memory_pool().release_unused()
+        return found
 
     def steps(self, text: str) -> Iterator[bytes]:
         """A very long text, a stretch at a time; each ends before a space."""
@@ -141,13 +189,23 @@ class Encoder:
         while start < len(text):
             end = text.find(" ", start + STEP)
             end = len(text) if end < 0 else end
-            yield self.pieces(text[start + (start > 0) : end], start == 0)
+            yield from self.pieces([text[start + (start > 0) : end]], start == 0)
             start = end
 
-    def pieces(self, text: str, first: bool) -> bytes:
-        pieces = text.split(" ")
-        head = self.piece(pieces.pop(0)) if first else b""
-        return head + b"".join(map(self.known.__getitem__, pieces))
+    def pieces(self, texts: list[str], first: bool) -> list[bytes]:
+        """Ids of each text, which begins a document (``first``) or follows a space. Each distinct piece is looked up once."""
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        places = np.asarray(split.offsets)
+        listed = split.values.dictionary_encode()
+        ids, at = self.look_up(listed.dictionary)
+        which = at[np.asarray(listed.indices)]
+        if first:
+            which[places[:-1]] = np.arange(len(ids), len(ids) + len(texts))
+            ids = pa.concat_arrays([ids, pa.array([self.piece(text.split(" ", 1)[0]) for text in texts], pa.large_binary())])
+        joined = ids.take(pa.array(which))
+        _, offsets, data = joined.buffers()
+        ends, data = np.frombuffer(offsets, np.int64)[places].tolist(), memoryview(data or b"")
+        return [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

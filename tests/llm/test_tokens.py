@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,41 @@ def test_encoder_is_the_tokenizer(docs, name):
     assert got == plain_ids(texts, name, 7)
 
 
+def test_memory_of_many_words():
+    """A worker that has met 800,000 words holds them in some tens of MB."""
+    import subprocess
+    import sys
+
+    made = """
+import resource
+from roundhouse.llm.tokens import BYTE_BPE, Encoder
+e = Encoder(BYTE_BPE)
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(5))
+sum(map(len, e.encode(" ".join(map(name, range(s, s + 100))) for s in range(0, 40_000, 100))))
+before = peak()
+for start in range(40_000, 840_000, 40_000):
+    sum(map(len, e.encode(" ".join(map(name, range(s, s + 100))) for s in range(start, start + 40_000, 100))))
+print(peak() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", made], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(done.stdout) < 90
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_full_memory_goes_on(monkeypatch, name):
+    from roundhouse.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 20)
+    monkeypatch.setattr(tokens, "LONGEST", 6)
+    monkeypatch.setattr(tokens, "TOGETHER", 40)
+    texts = ["one two, three. two", None, "", "two, (three) four five six-seven", "É été, étés; don't x2, ...", "abcdefgh abcdefgh, one"] * 3
+    small = Encoder(name)
+    assert [np.frombuffer(b, "<u4").tolist() + [7] for b in small.encode(texts)] == plain_ids(texts, name, 7)
+    assert len(small.words) == len(small.ids) <= 20
+    assert max(map(len, small.words.to_pylist())) <= 6
+
+
 def test_long_text_in_steps(monkeypatch):
     from roundhouse.llm import tokens
 
