@@ -11,6 +11,7 @@ No row is shuffled: steps 1 and 3 keep the input's partitions, and what is broad
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -39,9 +40,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
 
         tokens, part, before = encoder(tokenizer, plain), TaskContext.get().partitionId(), 0
         for whole in batches:
+            encoded = tokens.encode(whole.column(1).to_pylist())
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                ids = [b + end for b in tokens.encode(batch.column(1).to_pylist())]
+                ids = [b + end for b in islice(encoded, BATCH)]
                 counts = [len(b) // 4 for b in ids]
                 places = []
                 for n in counts:

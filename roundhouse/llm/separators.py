@@ -9,6 +9,7 @@ run over any number of blocks and files.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -47,12 +48,13 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dtype:
             return pa.RecordBatch.from_arrays([ids, pa.array([part] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array([path] * n, pa.string()), pa.array([None] * (n - 1) + [n_ids], pa.int64())], names=["doc_id", *LABELS.names])
 
         for whole in batches:
+            encoded = encoder(tokenizer, plain=True).encode(whole.column(1).to_pylist())
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
                 if out is None:
                     path = own_path(folder, ".ids")
                     out = create(path)
-                ids = np.frombuffer(b"".join(b + end for b in encoder(tokenizer, plain=True).encode(batch.column(1).to_pylist())), "<u4")
+                ids = np.frombuffer(b"".join(b + end for b in islice(encoded, BATCH)), "<u4")
                 if ids.max() > limit:
                     raise ValueError(f"ids up to {ids.max()} don't fit {dtype}")
                 out.write(ids.astype(dtype).tobytes())
