@@ -8,9 +8,9 @@ A window is ``length`` consecutive words of a document. Every word covered by a
    so a passage that a third of all documents share is one row a batch, not one row a document. This only proposes passages.
 3. Passages: each stretch of recurring windows is tiled by windows that begin where the anchor changes (and by its first and last), so
    copies of a passage are soon tiled alike wherever they stand. Distinct passages, told apart by their words, are dealt to shards by their anchor.
-4. Automata: a shard's passages become an Aho-Corasick automaton over words (two letters each). From every document the words around its recurring
-   anchors stream through the shards that own these anchors, where any occurrence of a passage must be; words are compared as they are.
-   Only what the automata find is removed, and only if a passage is found at two places or more.
+4. Automata: a shard's passages become an Aho-Corasick automaton over words (two letters each). From every document the windows over anchors that
+   any passage has stream through the shards that own these anchors, where any occurrence of a passage must be; words are compared as they
+   are. Only what the automata find is removed, and only if a passage is found at two places or more.
 
 A document streams only through shards that can hold one of its passages, so work grows with the text and not with text times shards. Stretches
 are dealt to tasks by range of (shard, document), so a shard that a third of all documents visit is shared by many tasks.
@@ -23,22 +23,25 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import compress, islice, repeat
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundhouse.llm.shared import Scratch
 from roundhouse.llm.tokenfiles import place
-from roundhouse.llm.words import U, documents, mix, runs
+from roundhouse.llm.words import U, chunks, mix, runs
 
 LENGTH = 35
 GRAM = 8
 BATCH = 2048
-#: passages of an automaton, about; a shard that has more is worked off in pieces
+#: passages of an automaton at most; shards have half as many on average, and one that has more is worked off in pieces
 SHARD = 1 << 13
+#: bytes of stretches that pass through the pieces of a shard together, about
+HELD = 1 << 23
 OTHER = U(0x5851F42D4C957F2D)
 
 
@@ -63,13 +66,31 @@ def once(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (counts == 1)[inverse], found[counts > 1]
 
 
-def as_ints(values: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(values).view(np.int64))
+def ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Lists of so many values each."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values))
 
 
-def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.cumsum([0] + [len(p) for p in parts], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
+def over_anchors(words: np.ndarray, first: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose words lie end to end from ``first`` on, the windows that share an anchor: text, first and last begin, hash of the anchor."""
+    counts = np.maximum(np.diff(first) - length + 1, 0)
+    text = np.repeat(np.arange(len(counts)), counts)
+    if not len(text):
+        return text, text, text, np.zeros(0, U)
+    begins = np.arange(len(text)) + (first[:-1] - np.cumsum(counts) + counts)[text]
+    at, grams = anchors(words, length, gram)
+    at = at[begins]
+    heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return text[heads], begins[heads], begins[np.append(heads[1:], len(at)) - 1], grams[at[heads]]
+
+
+def among(text: np.ndarray, anchor: np.ndarray, listed: pa.Array) -> np.ndarray:
+    """Whether an anchor is in its text's list."""
+    values = np.asarray(listed.flatten(), np.int64).view(U)
+    owner = np.repeat(np.arange(len(listed)), np.asarray(listed.value_lengths()))
+    _, number = np.unique(np.concatenate([anchor, values]), return_inverse=True)
+    keys = number + np.concatenate([text, owner]) * len(number)
+    return np.isin(keys[: len(text)], keys[len(text) :])
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -85,19 +106,24 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                n, shas, found = [], [], []
-                for _, data, words, _, _ in documents(batch.column(3)):
-                    at, grams = anchors(words, length, gram)
-                    n.append(len(words))
-                    shas.append(hashlib.sha256(b" ".join(data.tobytes().split())).hexdigest())
-                    found.append(grams[np.unique(at)])
-                ends = np.cumsum([0] + [len(x) for x in found])
-                alone, many = once(np.concatenate(found))
-                known = [np.unique(x[~alone[a:b]]) for x, a, b in zip(found, ends[:-1], ends[1:])]
-                single = [x[alone[a:b]] for x, a, b in zip(found, ends[:-1], ends[1:])]
-                listed = [many] + [many[:0]] * (len(found) - 1)
-                arrays = [lists([x.view(np.int64) for x in part], pa.int64()) for part in (known, single, listed)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(shas), *arrays], names=names)
+                n, shas, found, owners = [], [], [], []
+                for row, part, own, words, _, _, first in chunks(batch.column(3)):
+                    text, _, _, anchor = over_anchors(words, first, length, gram)
+                    n.append(np.diff(first))
+                    found.append(anchor)
+                    owners.append(text + row)
+                    data = part.tobytes()
+                    shas += [hashlib.sha256(b" ".join(data[a:b].split())).hexdigest() for a, b in pairwise(own.tolist())]
+                found, owners = np.concatenate(found), np.concatenate(owners)
+                alone, many = once(found)
+                again, whose = found[~alone], owners[~alone]
+                order = np.lexsort((again, whose))
+                again, whose = again[order], whose[order]
+                new = np.append(True, (again[1:] != again[:-1]) | (whose[1:] != whose[:-1]))[: len(again)]
+                counts = [np.bincount(x, minlength=batch.num_rows) for x in (whose[new], owners[alone])]
+                listed = np.append(len(many), np.zeros(batch.num_rows - 1, np.int64))
+                arrays = [ragged(x.view(np.int64), c) for x, c in zip((again[new], found[alone], many), (*counts, listed))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.concatenate(n), pa.int64()), pa.array(shas), *arrays], names=names)
 
     return docs.mapInArrow(run, f"doc_id {kind}, k1 bigint, k2 bigint, n_words bigint, sha string, known array<bigint>, single array<bigint>, many array<bigint>")
 
@@ -113,27 +139,25 @@ def windowed(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                begins, hashes, checks = [], [], []
-                for i, _, words, _, _ in documents(batch.column(1)):
-                    at, grams = anchors(words, length, gram)
-                    recurring = np.asarray(batch.column(2)[i].values, np.int64).view(U)
-                    places = np.flatnonzero(np.isin(grams[at], recurring))
-                    begins.append(places)
-                    hashes.append(runs(words, length)[places] if len(places) else np.zeros(0, U))
-                    checks.append((runs(mix(words ^ OTHER), length)[places] >> U(33)).astype(np.int32) if len(places) else np.zeros(0, np.int32))
-                ends = np.cumsum([0] + [len(x) for x in begins])
-                all_hashes, all_checks = np.concatenate(hashes), np.concatenate(checks)
-                pairs = mix(all_hashes) ^ all_checks.astype(U) * OTHER
+                owners, begins, hashes, checks = [], [], [], []
+                for row, _, own, words, _, _, first in chunks(batch.column(1)):
+                    text, low, last, anchor = over_anchors(words, first, length, gram)
+                    wanted = among(text, anchor, batch.column(2).slice(row, len(own) - 1))
+                    text, low, counts = text[wanted], low[wanted], (last - low + 1)[wanted]
+                    places = np.arange(counts.sum()) + np.repeat(low - np.cumsum(counts) + counts, counts)
+                    text = np.repeat(text, counts)
+                    owners.append(text + row)
+                    begins.append(places - first[text])
+                    hashes.append(runs(words, length)[places])
+                    checks.append((runs(mix(words ^ OTHER), length)[places] >> U(33)).astype(np.int32))
+                owners, begins, hashes, checks = (np.concatenate(x) for x in (owners, begins, hashes, checks))
+                begins = begins.astype(np.int32)
+                pairs = mix(hashes) ^ checks.astype(U) * OTHER
                 alone, _ = once(pairs)
-                _, first = np.unique(pairs[~alone], return_index=True)
-                many, many_checks = all_hashes[~alone][first], all_checks[~alone][first]
-                cut = list(zip(ends[:-1], ends[1:]))
-                known = [x[~alone[a:b]].astype(np.int32) for x, (a, b) in zip(begins, cut)]
-                single = [x[alone[a:b]].view(np.int64) for x, (a, b) in zip(hashes, cut)]
-                own_checks = [x[alone[a:b]] for x, (a, b) in zip(checks, cut)]
-                places = [x[alone[a:b]].astype(np.int32) for x, (a, b) in zip(begins, cut)]
-                empty = [many[:0]] * (len(cut) - 1)
-                arrays = [lists(known, pa.int32()), lists(single, pa.int64()), lists(own_checks, pa.int32()), lists(places, pa.int32()), lists([x.view(np.int64) for x in [many, *empty]], pa.int64()), lists([many_checks, *([many_checks[:0]] * len(empty))], pa.int32())]
+                _, one = np.unique(pairs[~alone], return_index=True)
+                known, single = (np.bincount(owners[x], minlength=batch.num_rows) for x in (~alone, alone))
+                many = np.append(len(one), np.zeros(batch.num_rows - 1, np.int64))
+                arrays = [ragged(begins[~alone], known), ragged(hashes[alone].view(np.int64), single), ragged(checks[alone], single), ragged(begins[alone], single), ragged(hashes[~alone][one].view(np.int64), many), ragged(checks[~alone][one], many)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
     return docs.mapInArrow(run, "row bigint, known array<int>, single array<bigint>, checks array<int>, at array<int>, many array<bigint>, many_checks array<int>")
@@ -166,14 +190,14 @@ def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             met = set()
-            for i, data, words, _, _ in documents(batch.column(0)):
-                begins = [np.asarray(c[i].values, np.int64) for c in (batch.column(1), batch.column(2)) if c[i].is_valid]
-                begins = np.unique(np.concatenate(begins)) if begins else np.zeros(0, np.int64)
-                if not len(begins):
-                    continue
+            for row, part, own, words, starts, stops, first in chunks(batch.column(0)):
                 at, grams = anchors(words, length, gram)
-                own = data.tobytes().split()
-                met.update((int(grams[at[b]].view(np.int64)), b" ".join(own[b : b + length])) for b in tiles(begins, at, length).tolist())
+                data = part.tobytes()
+                for i, a in enumerate(first[:-1]):
+                    begins = [np.asarray(c[row + i].values, np.int64) for c in (batch.column(1), batch.column(2)) if c[row + i].is_valid]
+                    chosen = tiles(np.unique(np.concatenate(begins)) + a, at, length)
+                    spans = zip(grams[at[chosen]].view(np.int64).tolist(), starts[chosen].tolist(), stops[chosen + length - 1].tolist())
+                    met.update((anchor, b" ".join(data[start:stop].split())) for anchor, start, stop in spans)
             listed = list(met)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in listed], pa.int64()), pa.array([x[1] for x in listed], pa.binary())], names=["anchor", "words"])
 
@@ -188,59 +212,64 @@ def dealt(found: DataFrame, shards: int, path: str) -> str:
 
 
 def stretches(docs: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
-    """``row, shard, begin, words`` of ``row, text, anchors``: for each shard the words in which a window over one of its anchors can lie."""
-    before = length - gram
+    """``row, shard, begin, words`` of ``row, text, anchors``: for each shard the words of the windows over its anchors, as they stand in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
                 rows, owners, begins, texts = [], [], [], []
-                ids = batch.column(0).to_pylist()
-                for i, data, words, _, _ in documents(batch.column(1)):
-                    at, grams = anchors(words, length, gram)
-                    places = np.unique(at)
-                    places = places[np.isin(grams[places], np.asarray(batch.column(2)[i].values, np.int64).view(U))]
-                    if not len(places):
-                        continue
-                    owner = np.mod(grams[places].view(np.int64), shards)
-                    order = np.lexsort((places, owner))
-                    places, owner = places[order], owner[order]
-                    low, high = np.maximum(places - before, 0), np.minimum(places + length, len(words))
-                    new = np.append(True, (owner[1:] != owner[:-1]) | (low[1:] > high[:-1]))
+                for row, part, own, words, starts, stops, first in chunks(batch.column(1)):
+                    text, low, last, anchor = over_anchors(words, first, length, gram)
+                    wanted = among(text, anchor, batch.column(2).slice(row, len(own) - 1))
+                    text, low, high, owner = text[wanted], low[wanted], last[wanted] + length, np.mod(anchor[wanted].view(np.int64), shards)
+                    order = np.lexsort((low, owner, text))
+                    text, low, high, owner = text[order], low[order], high[order], owner[order]
+                    new = np.append(True, (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (low[1:] > high[:-1]))[: len(text)]
                     edges = np.flatnonzero(new)
-                    own = data.tobytes().split()
-                    for a, b, shard in zip(low[edges].tolist(), high[np.append(edges[1:], len(places)) - 1].tolist(), owner[edges].tolist()):
-                        rows.append(ids[i]), owners.append(shard), begins.append(a), texts.append(b" ".join(own[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(owners, pa.int32()), pa.array(begins, pa.int64()), pa.array(texts, pa.binary())], names=["row", "shard", "begin", "words"])
+                    text, owner, low, high = text[edges], owner[edges], low[edges], high[np.append(edges[1:], len(high))[: len(edges)] - 1]
+                    data = part.tobytes()
+                    rows.append(text + row), owners.append(owner), begins.append(low - first[text])
+                    texts += [data[a:b] for a, b in zip(starts[low].tolist(), stops[high - 1].tolist())]
+                rows, owners, begins = (np.concatenate(x) for x in (rows, owners, begins))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(owners, pa.int32()), pa.array(begins, pa.int64()), pa.array(texts, pa.binary())], names=["row", "shard", "begin", "words"])
 
     return docs.mapInArrow(run, "row bigint, shard int, begin bigint, words binary")
 
 
-def automaton(listed: list[bytes]) -> tuple[object, dict[bytes, str]]:
-    """An automaton that tells the number of a passage, and the two letters that stand for each of its words.
+def spelt(words: pa.Array, known: pa.Array, side: int) -> np.ndarray:
+    """Two code points for each word by its place in ``known``; zeros for any other."""
+    places = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+    return np.where((places < 0)[:, None], 0, np.stack([0x10000 + places % side, 0x80000 + places // side], axis=1)).astype("<u4")
+
+
+def automaton(listed: pa.Array) -> tuple[object, pa.Array, int]:
+    """An automaton that tells the number of a passage, and what ``spelt`` needs: two letters stand for each word.
 
-    Letters at odd and even places differ, so what is found begins with a word; two letters keep the children of a node few.
+    Letters at odd and even places differ, so what is found begins with a word; two letters keep the children of a node few. Most words of a
+    text begin no passage and are looked up at the root and below it, so there are as many first letters as keep both small.
     """
     import ahocorasick
 
-    words = dict.fromkeys(w for passage in listed for w in passage.split(b" "))
-    side = math.isqrt(len(words)) + 1
-    letters = {w: chr(0x10000 + k // side) + chr(0x80000 + k % side) for k, w in enumerate(words)}
+    words = pc.ascii_split_whitespace(listed.cast(pa.string()))
+    known = words.values.unique()
+    starts = len(words.values.take(words.offsets[:-1]).unique())
+    side = max(math.isqrt(starts), len(known) >> 19) + 1
+    text = spelt(words.values, known, side).tobytes().decode("utf-32-le")
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k, passage in enumerate(listed):
-        machine.add_word("".join([letters[w] for w in passage.split(b" ")]), k)
+    for k, (a, b) in enumerate(pairwise(words.offsets.to_pylist())):
+        machine.add_word(text[2 * a : 2 * b], k)
     machine.make_automaton()
-    return machine, letters
+    return machine, known, side
 
 
 def located(parts: DataFrame, folder: str, length: int, size: int) -> DataFrame:
     """``row, ids, at``: what the automata of the shards in ``folder`` find in the stretches, which lie in the order of their shards.
 
-    An automaton holds ``size`` passages at most.
+    An automaton holds ``size`` passages at most. If a shard has several, each is made once for about ``HELD`` bytes of stretches.
     """
 
-    def compiled(shard: int) -> Iterator[tuple[np.ndarray, object, dict[bytes, str]]]:
+    def compiled(shard: int) -> Iterator[tuple[np.ndarray, object, pa.Array, int]]:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
@@ -249,30 +278,45 @@ def located(parts: DataFrame, folder: str, length: int, size: int) -> DataFrame:
             return
         for batch in ds.dataset(inner, filesystem=system, format="parquet").to_batches(columns=["id", "words"], batch_size=size):
             if batch.num_rows:
-                yield np.asarray(batch.column(0)), *automaton(batch.column(1).to_pylist())
+                yield np.asarray(batch.column(0)), *automaton(batch.column(1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, machines = None, []
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+        """Neighbouring stretches of a shard, about ``HELD`` bytes at a time."""
+        shard, held = None, []
         for batch in batches:
-            rows, begins, texts = (batch.column(k).to_pylist() for k in (0, 2, 3))
             owners = np.asarray(batch.column(1))
-            edges = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else []
-            found_rows, found_ids, found_at = [], [], []
-            for a, b in zip(edges, [*edges[1:], len(owners)]):
-                if held != owners[a]:
-                    held, machines = owners[a], []
-                    first = compiled(held)
-                    machines = list(islice(first, 1))
-                    many = next(first, None) is not None
-                for ids, machine, letters in compiled(held) if many else machines:
-                    for k in range(a, b):
-                        hits = list(machine.iter("".join(map(letters.get, texts[k].split(b" "), repeat("\0\0")))))
-                        if hits:
-                            ends, which = np.array(hits, np.int64).T
-                            found_rows.append(rows[k])
-                            found_ids.append(ids[which])
-                            found_at.append(begins[k] + (ends + 1) // 2 - length)
-            yield pa.RecordBatch.from_arrays([pa.array(found_rows, pa.int64()), lists(found_ids, pa.int64()), lists(found_at, pa.int64())], names=["row", "ids", "at"])
+            edges = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))[: len(owners)].tolist()
+            for a, b in pairwise([*edges, len(owners)]):
+                if held and (owners[a] != shard or sum(x.nbytes for x in held) > HELD):
+                    yield shard, pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                shard = int(owners[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield shard, pa.Table.from_batches(held).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, piece = None, ()
+        for shard, part in together(batches):
+            rows, _, begins, texts = (column.chunk(0) for column in part.columns)
+            words = pc.ascii_split_whitespace(texts.cast(pa.string()))
+            ends = np.asarray(words.offsets, np.int64) + np.arange(len(words) + 1)  # a word that is none follows each stretch
+            letters = np.zeros((ends[-1], 2), "<u4")
+            places = np.ones(ends[-1], bool)
+            places[ends[1:] - 1] = False
+            pieces = 0
+            for piece in [piece] if kept == shard else compiled(shard):
+                pieces += 1
+                ids, machine, known, side = piece
+                letters[places] = spelt(words.values, known, side)
+                hits = np.fromiter(machine.iter(letters.tobytes().decode("utf-32-le")), np.dtype((np.int64, 2)))
+                at = hits[:, 0] // 2
+                stretch = np.searchsorted(ends, at, "right") - 1
+                at += np.asarray(begins)[stretch] - ends[stretch] + 1 - length
+                counts = np.bincount(stretch, minlength=len(rows))
+                found, counts = rows.filter(pa.array(counts > 0)), counts[counts > 0]
+                yield pa.RecordBatch.from_arrays([found, ragged(ids[hits[:, 1]], counts), ragged(at, counts)], names=["row", "ids", "at"])
+            kept = shard if pieces == 1 else None  # a shard's only automaton serves its next stretches as well
 
     return parts.mapInArrow(run, "row bigint, ids array<bigint>, at array<bigint>")
 
@@ -343,10 +387,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     proposed = passages(texts.select("row", "text").join(places, "row").select("text", "known", "found"), length, gram).distinct()
     proposed = scratch.save(proposed.withColumn("id", F.monotonically_increasing_id()))
     scratch.drop(places)
-    shards = max(1, math.ceil(proposed.count() / SHARD))
+    shards = max(1, math.ceil(2 * proposed.count() / SHARD))
     folder = dealt(proposed, shards, scratch.path())
+    # only where a passage's anchor stands can the passage
+    asked = texts.select("row", F.explode("anchors").alias("anchor")).join(proposed.select("anchor").distinct(), "anchor", "left_semi")
+    asked = asked.groupBy("row").agg(F.collect_list("anchor").alias("anchors"))
+    parts = scratch.save(stretches(texts.select("row", "text").join(asked, "row"), length, gram, shards))
     scratch.drop(proposed)
-    parts = scratch.save(stretches(texts.select("row", "text", "anchors"), length, gram, shards))
     hits = scratch.save(located(parts.repartitionByRange("shard", "row").sortWithinPartitions("shard"), folder, length, SHARD))
     scratch.drop(parts)
     once_only = scratch.save(hits.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n < 2").select("id"))

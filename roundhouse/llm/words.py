@@ -106,8 +106,9 @@ def long_document(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
 
-def documents(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: its row, its bytes, and hash, begin and end of its words."""
+def chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """About ``STEP`` bytes of whole texts at a time: row of the first, bytes, where texts begin in them (and the end), hash, begin and end of
+    all words, and the number of each text's first word (and of all)."""
     data, offsets = buffers(texts)
     row, n = 0, len(offsets) - 1
     while row < n:
@@ -121,8 +122,13 @@ def documents(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.nd
         else:
             begins, ends = spans(part, own) if len(part) else (np.zeros(0, np.int64),) * 2
             words = hashed(part, begins, ends)
-        first = np.searchsorted(begins, own)
-        for i in range(stop - row):
+        yield row, part, own, words, begins, ends, np.searchsorted(begins, own)
+        row = stop
+
+
+def documents(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: its row, its bytes, and hash, begin and end of its words."""
+    for row, part, own, words, begins, ends, first in chunks(texts, lower):
+        for i in range(len(own) - 1):
             a, b = first[i], first[i + 1]
             yield row + i, part[own[i] : own[i + 1]], words[a:b], begins[a:b] - own[i], ends[a:b] - own[i]
-        row = stop

@@ -61,6 +61,33 @@ def test_phrases_by_automata(spark, monkeypatch):
     assert not any(n for _, _, n, _ in found())
 
 
+def test_phrases_pieces_once(spark, monkeypatch, tmp_path):
+    """A shard's automata are made once for many batches of stretches, not once for each batch."""
+    words = [f"t{i}" for i in range(100)]
+    listed = [(k, 0, " ".join(words[k : k + 35]).encode()) for k in range(10)]
+    folder = phrases.dealt(spark.createDataFrame(listed, "id bigint, anchor bigint, words binary").coalesce(1), 1, f"file://{tmp_path}/dealt")
+    log, made = str(tmp_path / "made"), phrases.automaton
+
+    def counted(passages):
+        with open(log, "a") as file:
+            file.write("x")
+        return made(passages)
+
+    monkeypatch.setattr(phrases, "automaton", counted)
+    parts = [(r, 0, 5, " \t".join([*words[:40], "?", *words[1:36]]).encode()) for r in range(200)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        found = phrases.located(spark.createDataFrame(parts, "row bigint, shard int, begin bigint, words binary").coalesce(1), folder, 35, 4).collect()
+    finally:
+        spark.conf.set(name, before)
+    hits = sorted((x.row, i, at) for x in found for i, at in zip(x.ids, x.at))
+    assert hits == sorted((r, i, at) for r in range(200) for i, at in [*((k, 5 + k) for k in range(6)), (1, 46)])
+    with open(log) as file:
+        assert len(file.read()) == 3
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
