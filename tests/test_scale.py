@@ -109,3 +109,7 @@ def test_words_of_both_sides_are_those_of_turned_boards(spark, dims):
 def test_one_file_of_orders_is_dealt_to_all_cores(spark):
     nested = adapter.nested_rounds(spark, "/root/testdata/sf0.001")
     assert nested.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_traits_are_turned_once_a_board():
+    assert str(train.board_tokens(F.col("tensor"), F.reverse("traits"), trait_ids=True)).count("reverse(") == 1
